@@ -1,0 +1 @@
+"""All jobs of this package are batch jobs, so there is no streaming code."""
