@@ -7,7 +7,7 @@ same predicates in shared passes.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +17,10 @@ from plumbline.functions.compare import (
     any_flag,
     beyond,
     differs,
+    differs_null_safe,
     differs_or_left_null,
     gap_ratio,
+    gap_ratio_safe,
     money,
     percent,
     unresolved_key,
@@ -163,12 +165,26 @@ RECORD_RULES = {
 }
 
 
+# The comparisons of MV-12, MV-13 and MV-15 with null against a value as a difference.
+RECORD_VARIANTS = {
+    f"{i}-null-safe": replace(
+        RECORD_RULES[i],
+        violates=lambda cfg, t=t, r=r: differs_null_safe(F.col(t), F.col(r)),
+    )
+    for i, t, r in (
+        ("MV-12", "tgt_monthly", "ref_monthly"),
+        ("MV-13", "tgt_weekly", "ref_weekly"),
+        ("MV-15", "tgt_plan_sk", "ref_plan_sk"),
+    )
+}
+
+
 def matched_records(cfg: SuiteConfig, tables: Tables, check_ids: list[str]) -> DataFrame:
     """Target and reference values side by side for the given checks, with ``pairs``."""
     target: dict[str, Column] = {}
     reference: dict[str, Column] = {}
     for check_id in check_ids:
-        rule = RECORD_RULES[check_id]
+        rule = RECORD_RULES.get(check_id) or RECORD_VARIANTS[check_id]
         target |= {name: make().alias(name) for name, make in rule.target.items()}
         reference |= {name: make().alias(name) for name, make in rule.reference.items()}
     keys = cfg.match_keys
@@ -180,7 +196,8 @@ def matched_records(cfg: SuiteConfig, tables: Tables, check_ids: list[str]) -> D
 
 
 def record_violations(cfg: SuiteConfig, tables: Tables, check_id: str) -> DataFrame:
-    rule = RECORD_RULES[check_id]
+    """Violations of a record check; the ids of the variants below work as well."""
+    rule = RECORD_RULES.get(check_id) or RECORD_VARIANTS[check_id]
     hits = repeat_pairs(matched_records(cfg, tables, [check_id]).where(rule.violates(cfg)))
     rows = hits.select(*cfg.match_keys, *rule.columns)
     if rule.difference is None:
@@ -212,8 +229,10 @@ def row_gap() -> Column:
     return gap_ratio(F.col("tgt_rows"), F.col("ref_rows"))
 
 
-def total_gap() -> Column:
-    return gap_ratio(F.col("tgt_total"), F.col("ref_total"))
+def total_gap(safe: bool = False) -> Column:
+    """Gap of the totals; the safe form also sees gaps to a negative reference total."""
+    ratio = gap_ratio_safe if safe else gap_ratio
+    return ratio(F.col("tgt_total"), F.col("ref_total"))
 
 
 TOTAL_GROUPS = {
@@ -240,17 +259,17 @@ def row_count_violations(cfg: SuiteConfig, tables: Tables) -> DataFrame:
     )
 
 
-def total_violations(cfg: SuiteConfig, tables: Tables, check_id: str) -> DataFrame:
+def total_violations(cfg: SuiteConfig, tables: Tables, check_id: str, safe: bool = False) -> DataFrame:
     group = TOTAL_GROUPS[check_id]
     both = target_totals(cfg, tables, group).join(reference_totals(cfg, tables, group), group)
     return (
-        both.where(total_gap() > cfg.total_tolerance)
+        both.where(total_gap(safe) > cfg.total_tolerance)
         .select(
             *group,
             money(F.col("tgt_total")).alias("tgt_total"),
             money(F.col("ref_total")).alias("ref_total"),
             money(F.abs(F.col("tgt_total") - F.col("ref_total"))).alias("variance"),
-            percent(total_gap(), 6).alias("pct_variance"),
+            percent(total_gap(safe), 6).alias("pct_variance"),
         )
         .orderBy(F.desc("pct_variance"), *group)
     )
@@ -322,6 +341,13 @@ def target_only_keys(cfg: SuiteConfig, tables: Tables) -> DataFrame:
     return lost.groupBy(*keys).agg(F.count(F.lit(1)).alias("target_rows"))
 
 
+def reference_only_keys(cfg: SuiteConfig, tables: Tables) -> DataFrame:
+    """Keys of the reference that the target does not hold, whatever their value."""
+    keys = cfg.match_keys
+    lost = missing_from(keyed_reference(cfg, tables).select(*keys), target_slice(cfg, tables), keys)
+    return lost.groupBy(*keys).agg(F.count(F.lit(1)).alias("reference_rows"))
+
+
 # --- catalogue ------------------------------------------------------------------------------
 
 
