@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from oracle.queries import ORACLE_SQL  # noqa: E402
-from plumbline.plans import checks, rebuild, suite, transactions  # noqa: E402
+from plumbline.plans import checks, rebuild, suite, transactions, verdict  # noqa: E402
 from plumbline.plans.variance import reference_variance, source_variance  # noqa: E402
 from plumbline.sources.star import star_config, star_tables  # noqa: E402
 
@@ -118,7 +118,7 @@ def queries() -> dict[str, Query]:
         ),
         "suite_results": _job(suite.suite_results),
         "suite_summary": _job(lambda cfg, tables: suite.summary(suite.suite_results(cfg, tables))),
-        "suite2_verdict": _job(suite.report_verdict),
+        "suite2_verdict": _job(verdict.report_verdict),
         "month_end_window": _trx(_month_end, "month_end", "window_side"),
         "biz_day_rank": _trx(
             lambda cfg, tables: transactions.business_day_rank(_month_end(cfg, tables)),

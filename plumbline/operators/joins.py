@@ -8,6 +8,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Rows that one task writes out for one block of equal pairs.
+REPEAT_BLOCK = 100_000
+
 
 def match_values(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner match of two tables on ``keys``, one row per pair of *distinct* values, with ``pairs``.
@@ -22,13 +25,20 @@ def match_values(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     return counted_left.join(counted_right, keys).withColumn("pairs", F.col("left_rows") * F.col("right_rows"))
 
 
-def repeat_pairs(matched: DataFrame) -> DataFrame:
-    """Give each row back as often as a plain join would have."""
-    one = F.lit(1).cast("bigint")
+def repeat_pairs(matched: DataFrame, keys: list[str]) -> DataFrame:
+    """Give each row back as often as a plain join would have.
+
+    Large counts are cut into blocks, and the blocks are spread over the cluster before
+    they are written out row by row, so no task holds or emits one huge group alone.
+    """
+    pairs, block = F.col("pairs"), F.col("_block")
+    last = F.floor((pairs - 1) / REPEAT_BLOCK)
+    inside = F.least(F.lit(REPEAT_BLOCK).cast("bigint"), pairs - block * REPEAT_BLOCK)
     return (
-        matched.withColumn("_l", F.explode(F.sequence(one, F.col("left_rows"))))
-        .withColumn("_r", F.explode(F.sequence(one, F.col("right_rows"))))
-        .drop("_l", "_r", "left_rows", "right_rows", "pairs")
+        matched.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        .hint("rebalance", *keys, "_block")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), inside)))
+        .drop("_block", "_copy", "left_rows", "right_rows", "pairs")
     )
 
 

@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 from plumbline.operators.skew import hot_groups, is_hot
 
 
+def sort_once(rows: DataFrame, order: list[Column | str], spread: list[str]) -> DataFrame:
+    """Global sort of a small part of a large table.
+
+    A global sort samples its input first, which would read the large table twice. A
+    shuffle of the few rows in front is read twice instead. ``rebalance`` lets AQE merge
+    its small partitions and split the large ones.
+    """
+    return rows.hint("rebalance", *spread).orderBy(*order)
+
+
 def rank_dates(df: DataFrame, groups: list[str], day: str, distance: Column, name: str) -> DataFrame:
     """Dense rank of the dates in each group by ``distance``; equal dates share a rank.
 

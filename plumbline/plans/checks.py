@@ -26,6 +26,7 @@ from plumbline.functions.compare import (
     unresolved_key,
 )
 from plumbline.operators.joins import match_values, missing_from, repeat_pairs
+from plumbline.operators.ordered import sort_once
 from plumbline.plans.slices import (
     Tables,
     expected_value,
@@ -81,7 +82,7 @@ TARGET_RULES = {
 def target_violations(cfg: SuiteConfig, tables: Tables, check_id: str) -> DataFrame:
     rule = TARGET_RULES[check_id]
     rows = target_slice(cfg, tables).where(rule.violates()).select(*rule.columns)
-    return rows.orderBy(*rule.order()) if rule.order() else rows
+    return sort_once(rows, rule.order(), KEYS) if rule.order() else rows
 
 
 def null_plan_totals(cfg: SuiteConfig, tables: Tables) -> DataFrame:
@@ -198,7 +199,7 @@ def matched_records(cfg: SuiteConfig, tables: Tables, check_ids: list[str]) -> D
 def record_violations(cfg: SuiteConfig, tables: Tables, check_id: str) -> DataFrame:
     """Violations of a record check; the ids of the variants below work as well."""
     rule = RECORD_RULES.get(check_id) or RECORD_VARIANTS[check_id]
-    hits = repeat_pairs(matched_records(cfg, tables, [check_id]).where(rule.violates(cfg)))
+    hits = repeat_pairs(matched_records(cfg, tables, [check_id]).where(rule.violates(cfg)), cfg.match_keys)
     rows = hits.select(*cfg.match_keys, *rule.columns)
     if rule.difference is None:
         return rows
@@ -328,10 +329,9 @@ def high_value_missing(cfg: SuiteConfig, tables: Tables) -> DataFrame:
     )
     lost = missing_from(high, target_slice(cfg, tables), cfg.match_keys)
     names = dict(zip(KEYS, REFERENCE_KEYS, strict=True))
-    return (
-        lost.select(*[F.col(k).alias(names.get(k, k)) for k in cfg.match_keys], "expected_mv")
-        .orderBy(F.desc("expected_mv"), *[names.get(k, k) for k in cfg.match_keys])
-    )
+    keys = [names.get(k, k) for k in cfg.match_keys]
+    rows = lost.select(*[F.col(k).alias(n) for k, n in zip(cfg.match_keys, keys, strict=True)], "expected_mv")
+    return sort_once(rows, [F.desc("expected_mv"), *keys], keys)
 
 
 def target_only_keys(cfg: SuiteConfig, tables: Tables) -> DataFrame:

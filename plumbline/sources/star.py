@@ -73,11 +73,12 @@ def holdings(spark: SparkSession, root: str) -> DataFrame:
     parts = _read(spark, root, "part").select("p_partkey", "p_retailprice")
     day = F.col("extract_date")
     fault = (F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17 + F.col("l_partkey")) % 1000
+    # Every input is named once, as filters on the price are evaluated in this form.
+    factor = F.when(_foreign(), _rate(F.col("l_shipdate"))).otherwise(F.lit(1).cast("decimal(8,4)"))
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .withColumn("extract_date", _shift(F.col("l_shipdate")))
-        .withColumn("raw_price", _raw_price())
         .select(
             F.col("o_custkey").cast("string").alias("account"),
             _company().alias("company"),
@@ -86,15 +87,13 @@ def holdings(spark: SparkSession, root: str) -> DataFrame:
             day,
             F.col("l_suppkey").cast("string").alias("dealer_code"),
             _dec("l_quantity", 12, 4).alias("units"),
-            F.when(_foreign(), _dec(F.col("raw_price") * _rate(F.col("l_shipdate")), 12, 4))
-            .otherwise(F.col("raw_price"))
-            .alias("price"),
+            _dec(_raw_price() * factor, 12, 4).alias("price"),
             (F.col("l_partkey") % 7 + 1).alias("plan_sk"),
             (F.col("l_partkey") + 1).alias("fund_sk"),
             (F.year("l_shipdate") * 1000 + F.month("l_shipdate")).cast("bigint").alias("date_sk"),
             (day == F.last_day(day)).alias("monthly"),
             (F.dayofweek(day) == 6).alias("weekly"),
-            F.when(F.month(day).isin(*FAULT_MONTHS), fault).otherwise(999).alias("h"),
+            F.when(F.month("l_shipdate").isin(*FAULT_MONTHS), fault).otherwise(999).alias("h"),
         )
     )
 
@@ -150,11 +149,12 @@ def wealth_assets(spark: SparkSession, root: str) -> DataFrame:
         .alias("plan_identifier_sk"),
         F.when(_h(35, 37), 0).when(_h(38, 39), None).otherwise(F.col("fund_sk")).alias("fund_sk"),
         F.when(_h(40, 42), 0).when(_h(43, 44), None).otherwise(F.col("date_sk")).alias("extract_date_sk"),
-        F.when(_h(60, 64), ~F.col("monthly")).otherwise(F.col("monthly")).alias("monthly_extract_indicator"),
-        F.when(_h(65, 69), ~F.col("weekly")).otherwise(F.col("weekly")).alias("weekly_extract_indicator"),
+        (F.col("monthly") != _h(60, 64)).alias("monthly_extract_indicator"),
+        (F.col("weekly") != _h(65, 69)).alias("weekly_extract_indicator"),
         *[_h(45 + i).alias(name) for i, name in enumerate(GUARANTEE_FLAGS)],
     ]
-    signed = F.when(_h(25, 29), -F.col("t_value")).otherwise(F.col("t_value")).cast("decimal(18,2)")
+    sign = F.when(_h(25, 29), -1).otherwise(1).cast("decimal(1,0)")
+    signed = _dec(F.col("t_value") * sign, 18, 2)
     ours = rows.where(F.col("h") >= 5).select(
         F.lit(SOURCE_SYSTEM).alias("source_system"), *shared, signed.alias("market_value"), *keys
     )
