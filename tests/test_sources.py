@@ -1,0 +1,62 @@
+"""Tab-separated extracts and the planted faults of the sample tables."""
+
+from datetime import date
+from decimal import Decimal
+
+import pyarrow.parquet as pq
+from conftest import DATA
+
+from plumbline.plans.checks import TARGET_RULES, target_violations
+from plumbline.sources import delimited as d
+from plumbline.sources.star import star_config, star_tables
+
+TEXT = "A\tB\tA\tC\r\nx\tNULL\ty\t2025-01-31\r\n\t1.5\tz\tno date\r\n"
+
+
+def test_repeated_names_and_nulls(spark, tmp_path):
+    path = tmp_path / "e.tsv"
+    path.write_bytes(TEXT.encode())
+    assert d.header_of(spark, str(path)) == ["A", "B", "A", "C"]
+    wanted = {1: ("first", "string"), 2: ("b", "decimal(9,2)"), 3: ("second", "string"), 4: ("day", "date")}
+    plain = [tuple(r) for r in d.read_extract(spark, str(path), wanted, 4).collect()]
+    assert plain == [("x", None, "y", date(2025, 1, 31)), (None, Decimal("1.50"), "z", None)]
+    kept = [tuple(r) for r in d.read_extract(spark, str(path), wanted, 4, keep_empty=True).collect()]
+    assert kept == [("x", None, "y", date(2025, 1, 31)), ("", Decimal("1.50"), "z", None)]
+
+
+def test_month_end_layout(spark, tmp_path):
+    assert sorted(d.MONTH_END_COLUMNS) == list(range(1, d.MONTH_END_WIDTH + 1))
+    values = ["2025-01-31", "PRE", "2", "2025-01-30", "2025-01-30", "C", "T1", "3", "9", "REDTR", "R", "N", "1", "Sale",
+              "OUT", "4.10", "-4.10", "0", "0.125", "3", "3"]
+    path = tmp_path / "m.tsv"
+    path.write_text("\t".join(f"h{i}" for i in range(21)) + "\n" + "\t".join(values) + "\n")
+    (row,) = d.read_month_end_extract(spark, str(path)).collect()
+    assert (row["biz_day_rank"], row["signed_gross"], row["fund_code"]) == (2, Decimal("-4.10"), "T1")
+
+
+def test_wide_layout(spark, tmp_path):
+    cells = ["NULL"] * d.TYPED_TRX_WIDTH
+    cells[2], cells[10], cells[222], cells[252], cells[333] = "17", "4413", "4413", "-1", "S"
+    path = tmp_path / "w.tsv"
+    path.write_text("\t".join(["TRX"] * d.TYPED_TRX_WIDTH) + "\n" + "\t".join(cells) + "\n")
+    (row,) = d.read_typed_trx_extract(spark, str(path)).collect()
+    assert (row["trx_id"], row["trx_code"], row["type_code"], row["unit_factor"], row["summary_type"]) == (
+        17, 4413, 4413, -1, "S",
+    )
+    assert row["company"] is None
+
+
+def test_planted_faults_are_found(spark):
+    """Counts follow from the planting rule alone, computed here without either engine."""
+    lines = pq.read_table(f"{DATA}/lineitem.parquet").to_pandas()
+    known = set(pq.read_table(f"{DATA}/orders.parquet").column("o_orderkey").to_pylist())
+    parts = set(pq.read_table(f"{DATA}/part.parquet").column("p_partkey").to_pylist())
+    lines = lines[lines.l_orderkey.isin(known) & lines.l_partkey.isin(parts)]
+    h = (lines.l_orderkey * 31 + lines.l_linenumber * 17 + lines.l_partkey) % 1000
+    h = h.where(lines.l_shipdate.dt.month.isin([3, 6, 9]), 999)
+    planted = {"MV-11": (30, 34), "MV-14": (45, 58), "MV-16": (35, 39), "MV-17": (40, 44), "MV-18": (25, 29),
+               "MV-19": (75, 79)}
+    cfg, tables = star_config(), star_tables(spark, DATA)
+    assert planted.keys() == TARGET_RULES.keys()
+    for check_id, (low, high) in planted.items():
+        assert target_violations(cfg, tables, check_id).count() == h.between(low, high).sum(), check_id
