@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 from operator import and_
 
@@ -42,6 +43,59 @@ def repeat_pairs(matched: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def count_disagreeing_pairs(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_value: str,
+    right_value: str,
+    tolerance: Decimal | None = None,
+    left_null_counts: bool = False,
+) -> DataFrame:
+    """Number of row pairs of equal ``keys`` whose values disagree, as column ``row_count``.
+
+    For keys with so many rows that their pairs cannot be gone through. All pairs of a key
+    are a product of two counts; the pairs that agree are found by an equi-join on the
+    value, or on a band of the width of ``tolerance``, where only few values meet. What is
+    left disagrees. Nulls disagree with nothing, except a null on the left with
+    ``left_null_counts``. A number beyond the range of bigint is given as its maximum.
+    """
+    wide = "decimal(19,0)"
+
+    def counted(df: DataFrame, value: str, rows: str) -> DataFrame:
+        return df.groupBy(*keys, F.col(value).alias(f"_{rows}_value")).agg(F.count(F.lit(1)).cast(wide).alias(rows))
+
+    lefts, rights = counted(left, left_value, "l"), counted(right, right_value, "r")
+    lv, rv = F.col("_l_value"), F.col("_r_value")
+
+    def sizes(df: DataFrame, rows: str) -> DataFrame:
+        known = F.when(F.col(f"_{rows}_value").isNotNull(), F.col(rows)).otherwise(F.lit(0))
+        return df.groupBy(*keys).agg(
+            F.sum(known).cast(wide).alias(f"{rows}_known"), F.sum(rows).cast(wide).alias(f"{rows}_all")
+        )
+
+    compared = F.col("l_known") * F.col("r_known")
+    if left_null_counts:
+        compared = compared + (F.col("l_all") - F.col("l_known")) * F.col("r_all")
+    every = sizes(lefts, "l").join(sizes(rights, "r"), keys).select(compared.alias("pairs"))
+
+    if tolerance:
+        # Values no further apart than the tolerance lie in the same or a neighbouring band;
+        # two neighbours on each side leave room for a rounded quotient.
+        width = F.lit(tolerance)
+        lefts = lefts.withColumn("_band", F.floor(lv / width))
+        rights = rights.withColumn("_band", F.explode(F.array(*[F.floor(rv / width) + i for i in range(-2, 3)])))
+        met = lefts.join(rights, [*keys, "_band"]).where(F.abs(lv - rv) <= width)
+    else:
+        lefts, rights = (d.withColumn("_same", v) for d, v in ((lefts, lv), (rights, rv)))
+        met = lefts.join(rights, [*keys, "_same"])
+    agreeing = met.select((-F.col("l") * F.col("r")).alias("pairs"))
+
+    zero, most = F.lit(0).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")
+    off = F.coalesce(F.sum("pairs"), zero)
+    return every.unionByName(agreeing).agg(F.least(off, most).cast("bigint").alias("row_count"))
+
+
 def missing_from(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``left`` whose key has no row in ``right``; a null key is never found."""
     return left.join(right.select(*keys), keys, "left_anti")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_GROUPS = 4096
-TRACKED_GROUPS = 65536
+# The sketch is taken apart for this many slices of the keys, so that merging is spread
+# over as many tasks. Each slice tracks SLICE_TRACKED groups and reports SLICE_TOP.
+SLICES = 16
+SLICE_TRACKED = 4096
+SLICE_TOP = 256
 
 
 def group_hash(keys: list[str]) -> Column:
@@ -14,16 +17,21 @@ def group_hash(keys: list[str]) -> Column:
 
 
 def hot_groups(df: DataFrame, keys: list[str], min_rows: int) -> list[int]:
-    """Hashes of the groups with about ``min_rows`` rows or more, largest first.
-
-    One scan of the key columns with a frequent-items sketch per task; only the merged
-    sketch is moved. At most MAX_HOT_GROUPS numbers reach the driver. The list is taken
-    once, so every use of it (and every rerun of a lost task) splits the same groups.
-    A group the sketch misses is handled like any other: results never depend on it.
+    """Hashes of the groups with about ``min_rows`` rows or more.
+
+    One scan of the key columns with a frequent-items sketch in every task; only the
+    sketches are moved. At most SLICES * SLICE_TOP numbers reach the driver. A group with
+    more than a fifty-thousandth of all rows is found for certain, smaller ones likely.
+    The list is taken once, so every use of it (and every rerun of a lost task) treats the
+    same groups as hot. A group it misses is handled like any other: results never depend
+    on it.
     """
-    sketch = F.expr(f"approx_top_k(h, {MAX_HOT_GROUPS}, {TRACKED_GROUPS})")
-    row = df.select(group_hash(keys).alias("h")).agg(sketch.alias("top")).first()
-    return [item["item"] for item in (row["top"] or []) if item["count"] >= min_rows]
+    hashed = df.select(group_hash(keys).alias("h"))
+    tops = hashed.groupBy(F.pmod("h", F.lit(SLICES)).alias("slice")).agg(
+        F.expr(f"approx_top_k(h, {SLICE_TOP}, {SLICE_TRACKED})").alias("top")
+    )
+    found = tops.select(F.explode("top").alias("g")).where(F.col("g.count") >= min_rows)
+    return sorted(row["h"] for row in found.select(F.col("g.item").alias("h")).collect())
 
 
 def is_hot(keys: list[str], hot: list[int]) -> Column:

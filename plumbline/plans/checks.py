@@ -106,19 +106,41 @@ def null_plan_totals(cfg: SuiteConfig, tables: Tables) -> DataFrame:
 
 @dataclass(frozen=True)
 class RecordRule:
-    """A comparison of a target value with a reference value of the same key."""
+    """A comparison of a target value with a reference value of the same key.
+
+    ``sides`` names the two compared columns; ``rule`` says when they disagree.
+    """
 
     target: dict[str, Callable[[], Column]]
     reference: dict[str, Callable[[], Column]]
-    violates: Callable[[SuiteConfig], Column]
+    sides: tuple[str, str]
+    rule: str
     columns: tuple[str, ...]
-    difference: tuple[str, Callable[[], Column]] | None = None
+    difference: str | None = None
+
+    def violates(self, cfg: SuiteConfig) -> Column:
+        left, right = (F.col(name) for name in self.sides)
+        if self.rule == "beyond":
+            return beyond(left, right, cfg.value_tolerance)
+        return COMPARISONS[self.rule](left, right)
+
+
+COMPARISONS = {
+    "differs": differs,
+    "differs_or_left_null": differs_or_left_null,
+    "differs_null_safe": differs_null_safe,
+}
 
 
 def _col(name: str) -> Callable[[], Column]:
     return lambda: F.col(name)
 
 
+def _same_column(name: str, short: str, rule: str) -> RecordRule:
+    t, r = f"tgt_{short}", f"ref_{short}"
+    return RecordRule({t: _col(name)}, {r: _col(name)}, (t, r), rule, (t, r))
+
+
 RECORD_RULES = {
     "MV-05": RecordRule(
         {"tgt_mv": _col("market_value")},
@@ -127,75 +149,51 @@ RECORD_RULES = {
             "ref_price": _col("canadian_unit_price"),
             "expected_mv": lambda: expected_value().cast("decimal(18,2)"),
         },
-        lambda cfg: beyond(F.col("tgt_mv"), F.col("expected_mv"), cfg.value_tolerance),
+        ("tgt_mv", "expected_mv"),
+        "beyond",
         ("ref_units", "ref_price", "expected_mv", "tgt_mv"),
-        ("variance", lambda: F.abs(F.col("tgt_mv") - F.col("expected_mv"))),
+        "variance",
     ),
     "MV-06": RecordRule(
         {"tgt_unit_value": _col("unit_value")},
         {"ref_price": _col("canadian_unit_price")},
-        lambda cfg: beyond(F.col("tgt_unit_value"), F.col("ref_price"), cfg.value_tolerance),
         ("tgt_unit_value", "ref_price"),
-        ("variance", lambda: F.abs(F.col("tgt_unit_value") - F.col("ref_price"))),
-    ),
-    "MV-07": RecordRule(
-        {"tgt_units": _col("number_of_units")},
-        {"ref_units": _col("number_of_units")},
-        lambda cfg: beyond(F.col("tgt_units"), F.col("ref_units"), cfg.value_tolerance),
-        ("tgt_units", "ref_units"),
-        ("diff", lambda: F.abs(F.col("tgt_units") - F.col("ref_units"))),
-    ),
-    "MV-12": RecordRule(
-        {"tgt_monthly": _col("monthly_extract_indicator")},
-        {"ref_monthly": _col("monthly_extract_indicator")},
-        lambda cfg: differs(F.col("tgt_monthly"), F.col("ref_monthly")),
-        ("tgt_monthly", "ref_monthly"),
-    ),
-    "MV-13": RecordRule(
-        {"tgt_weekly": _col("weekly_extract_indicator")},
-        {"ref_weekly": _col("weekly_extract_indicator")},
-        lambda cfg: differs(F.col("tgt_weekly"), F.col("ref_weekly")),
-        ("tgt_weekly", "ref_weekly"),
-    ),
-    "MV-15": RecordRule(
-        {"tgt_plan_sk": _col("plan_identifier_sk")},
-        {"ref_plan_sk": _col("plan_identifier_sk")},
-        lambda cfg: differs_or_left_null(F.col("tgt_plan_sk"), F.col("ref_plan_sk")),
-        ("tgt_plan_sk", "ref_plan_sk"),
+        "beyond",
+        ("tgt_unit_value", "ref_price"),
+        "variance",
     ),
+    "MV-07": replace(_same_column("number_of_units", "units", "beyond"), difference="diff"),
+    "MV-12": _same_column("monthly_extract_indicator", "monthly", "differs"),
+    "MV-13": _same_column("weekly_extract_indicator", "weekly", "differs"),
+    "MV-15": _same_column("plan_identifier_sk", "plan_sk", "differs_or_left_null"),
 }
 
 
 # The comparisons of MV-12, MV-13 and MV-15 with null against a value as a difference.
 RECORD_VARIANTS = {
-    f"{i}-null-safe": replace(
-        RECORD_RULES[i],
-        violates=lambda cfg, t=t, r=r: differs_null_safe(F.col(t), F.col(r)),
-    )
-    for i, t, r in (
-        ("MV-12", "tgt_monthly", "ref_monthly"),
-        ("MV-13", "tgt_weekly", "ref_weekly"),
-        ("MV-15", "tgt_plan_sk", "ref_plan_sk"),
-    )
+    f"{i}-null-safe": replace(RECORD_RULES[i], rule="differs_null_safe") for i in ("MV-12", "MV-13", "MV-15")
 }
 
 
-def matched_records(cfg: SuiteConfig, tables: Tables, check_ids: list[str]) -> DataFrame:
-    """Target and reference values side by side for the given checks, with ``pairs``."""
+def record_sides(cfg: SuiteConfig, tables: Tables, check_ids: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Keys and the values that the given checks look at, of target and reference."""
     target: dict[str, Column] = {}
     reference: dict[str, Column] = {}
     for check_id in check_ids:
         rule = RECORD_RULES.get(check_id) or RECORD_VARIANTS[check_id]
         target |= {name: make().alias(name) for name, make in rule.target.items()}
         reference |= {name: make().alias(name) for name, make in rule.reference.items()}
-    keys = cfg.match_keys
-    return match_values(
-        target_slice(cfg, tables).select(*keys, *target.values()),
-        keyed_reference(cfg, tables).select(*keys, *reference.values()),
-        keys,
+    return (
+        target_slice(cfg, tables).select(*cfg.match_keys, *target.values()),
+        keyed_reference(cfg, tables).select(*cfg.match_keys, *reference.values()),
     )
 
 
+def matched_records(cfg: SuiteConfig, tables: Tables, check_ids: list[str]) -> DataFrame:
+    """Target and reference values side by side for the given checks, with ``pairs``."""
+    return match_values(*record_sides(cfg, tables, check_ids), cfg.match_keys)
+
+
 def record_violations(cfg: SuiteConfig, tables: Tables, check_id: str) -> DataFrame:
     """Violations of a record check; the ids of the variants below work as well."""
     rule = RECORD_RULES.get(check_id) or RECORD_VARIANTS[check_id]
@@ -203,8 +201,8 @@ def record_violations(cfg: SuiteConfig, tables: Tables, check_id: str) -> DataFr
     rows = hits.select(*cfg.match_keys, *rule.columns)
     if rule.difference is None:
         return rows
-    name, make = rule.difference
-    return rows.withColumn(name, make()).orderBy(F.desc(name), *cfg.match_keys)
+    left, right = (F.col(name) for name in rule.sides)
+    return rows.withColumn(rule.difference, F.abs(left - right)).orderBy(F.desc(rule.difference), *cfg.match_keys)
 
 
 # --- checks on totals -----------------------------------------------------------------------

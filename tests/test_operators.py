@@ -2,6 +2,7 @@
 
 import random
 from datetime import date, timedelta
+from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,7 +10,13 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.joins import interval_join, match_values, missing_from, repeat_pairs
+from plumbline.operators.joins import (
+    count_disagreeing_pairs,
+    interval_join,
+    match_values,
+    missing_from,
+    repeat_pairs,
+)
 from plumbline.operators.ordered import running_total, sort_once
 from plumbline.operators.skew import group_hash, hot_groups
 
@@ -51,6 +58,35 @@ def test_match_is_the_plain_join(spark):
     assert rows_of(repeat_pairs(match_values(left, right, ["k"]), ["k"])) == rows_of(left.join(right, "k"))
 
 
+@pytest.mark.parametrize("tolerance", [None, "0.01", "0.03"])
+@pytest.mark.parametrize("left_null", [False, True])
+def test_counting_pairs_without_making_them(spark, tolerance, left_null):
+    rng = random.Random(3)
+
+    def side(name):
+        rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(0, 900, 50)])) for _ in range(150)]
+        df = spark.createDataFrame(rows, f"k string, {name} int")
+        return df.withColumn(name, (F.col(name).cast("decimal(9,0)") * F.expr("0.0001BD")).cast("decimal(12,4)"))
+
+    left, right = side("a"), side("b")
+    width = Decimal(tolerance) if tolerance else None
+    gap = F.abs(F.col("a") - F.col("b")) > F.lit(width) if width else F.col("a") != F.col("b")
+    expected = left.join(right, "k").where(gap | (F.col("a").isNull() & F.lit(left_null))).count()
+    got = count_disagreeing_pairs(left, right, ["k"], "a", "b", width, left_null).first()["row_count"]
+    assert got == expected
+
+
+def test_counting_pairs_of_nothing(spark):
+    none = spark.createDataFrame([], "k string, a int, b int")
+    assert count_disagreeing_pairs(none, none, ["k"], "a", "b").first()["row_count"] == 0
+
+
+def test_counting_very_many_pairs(spark):
+    """Ten thousand million pairs take no longer than their rows."""
+    many = spark.range(100_000).select(F.lit("k").alias("k"), F.lit(1).alias("a"), F.lit(2).alias("b"))
+    assert count_disagreeing_pairs(many, many, ["k"], "a", "b").first()["row_count"] == 10**10
+
+
 def test_missing_keeps_null_keys(spark):
     left = spark.createDataFrame([("k",), ("l",), (None,)], "k string")
     right = spark.createDataFrame([("k",), (None,)], "k string")

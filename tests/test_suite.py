@@ -68,6 +68,21 @@ def test_fused_counts_on_the_fund_grain(spark):
         assert counts[check_id] == CHECKS_BY_ID[check_id].build(cfg, tables).count()
 
 
+@pytest.mark.parametrize("hot_rows", [1, 3])
+def test_hot_keys_are_counted_alike(spark, cfg, tables, hot_rows):
+    """A key with a third of all rows, in copies and with distinct values on both sides."""
+    target = [target_row(value=20 + i % 3, plan_identifier_sk=i % 2 or None) for i in range(8)]
+    target += [target_row("P2", price="2.5"), target_row("P3", monthly_extract_indicator=None)] * 2
+    reference = [reference_row(units=10 + i % 2, weekly_extract_indicator=i % 2 == 0) for i in range(6)]
+    reference += [reference_row("P2"), reference_row("P3"), reference_row(None)]
+    both = tables(target, reference)
+    plain = {r["test_id"]: r["row_count"] for r in suite_counts(cfg, both).collect()}
+    split = {r["test_id"]: r["row_count"] for r in suite_counts(cfg.with_(hot_match_rows=hot_rows), both).collect()}
+    assert split == plain
+    for check_id in ("MV-05", "MV-06", "MV-07", "MV-12", "MV-13", "MV-15"):
+        assert plain[check_id] == CHECKS_BY_ID[check_id].build(cfg, both).count(), check_id
+
+
 def test_a_broken_table_spoils_only_its_checks(spark, cfg, tables):
     """Without one target column the checks on it end as ERROR, and the others still run."""
     both = tables([target_row(value=-1)], [reference_row()])
