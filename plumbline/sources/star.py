@@ -42,24 +42,35 @@ def _shift(day: Column) -> Column:
     return F.add_months(day.cast("date"), 12 * YEARS_AHEAD)
 
 
+def _ticks(value: Column, precision: int) -> Column:
+    """Whole ten-thousandths -> decimal. Prices are computed in whole numbers, which is exact and fast."""
+    return (value.cast("decimal(18,0)") * F.expr("0.0001BD")).cast(f"decimal({precision},4)")
+
+
+def _rate_ticks(day: Column) -> Column:
+    return F.day(day) * 10 + 12_500
+
+
 def _rate(day: Column) -> Column:
-    return _dec(F.lit(1.25).cast("decimal(4,2)") + _dec(F.day(day), 6, 4) * F.expr("0.001BD"), 8, 4)
+    return _ticks(_rate_ticks(day), 8)
 
 
 def _company() -> Column:
     return F.when(F.col("l_linestatus") == "O", "MAX").otherwise("CGF")
 
 
-def _raw_price() -> Column:
-    return _dec(
-        _dec("p_retailprice", 12, 2)
-        + _dec(F.day("l_shipdate"), 12, 4) * F.expr("0.01BD")
-        + _dec(F.col("l_partkey") % 97, 12, 4) * F.expr("0.0013BD"),
-        12,
-        4,
+def _parts(spark: SparkSession, root: str) -> DataFrame:
+    """Part key and the part of its price that does not depend on the day, in ticks."""
+    cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
+    return _read(spark, root, "part").select(
+        "p_partkey", (cents * 100 + F.col("p_partkey") % 97 * 13).alias("part_ticks")
     )
 
 
+def _raw_ticks() -> Column:
+    return F.col("part_ticks") + F.day("l_shipdate") * 100
+
+
 def _foreign() -> Column:
     return F.col("l_partkey") % 5 == 0
 
@@ -70,11 +81,12 @@ def holdings(spark: SparkSession, root: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus", "l_shipdate"
     )
     orders = _read(spark, root, "orders").select("o_orderkey", "o_custkey")
-    parts = _read(spark, root, "part").select("p_partkey", "p_retailprice")
+    parts = _parts(spark, root)
     day = F.col("extract_date")
     fault = (F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17 + F.col("l_partkey")) % 1000
     # Every input is named once, as filters on the price are evaluated in this form.
-    factor = F.when(_foreign(), _rate(F.col("l_shipdate"))).otherwise(F.lit(1).cast("decimal(8,4)"))
+    factor = F.when(_foreign(), _rate_ticks(F.col("l_shipdate"))).otherwise(10_000)
+    price = F.floor((_raw_ticks() * factor + 5_000) / 10_000)
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
@@ -87,7 +99,7 @@ def holdings(spark: SparkSession, root: str) -> DataFrame:
             day,
             F.col("l_suppkey").cast("string").alias("dealer_code"),
             _dec("l_quantity", 12, 4).alias("units"),
-            _dec(_raw_price() * factor, 12, 4).alias("price"),
+            _ticks(price, 12).alias("price"),
             (F.col("l_partkey") % 7 + 1).alias("plan_sk"),
             (F.col("l_partkey") + 1).alias("fund_sk"),
             (F.year("l_shipdate") * 1000 + F.month("l_shipdate")).cast("bigint").alias("date_sk"),
@@ -172,12 +184,12 @@ def fund_price(spark: SparkSession, root: str) -> DataFrame:
     quoted = (
         _read(spark, root, "lineitem").select("l_partkey", "l_linestatus", "l_shipdate").distinct()
     )
-    parts = _read(spark, root, "part").select("p_partkey", "p_retailprice")
+    parts = _parts(spark, root)
     return quoted.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_partkey").cast("string").alias("fund_code"),
         _company().alias("management_company_code"),
         _shift(F.col("l_shipdate")).alias("fund_price_date"),
-        _raw_price().alias("fund_price"),
+        _ticks(_raw_ticks(), 12).alias("fund_price"),
         F.when(_foreign(), "U").otherwise("C").alias("fund_price_currency"),
     )
 
