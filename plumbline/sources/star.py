@@ -7,7 +7,7 @@ violations. Money is exact decimal throughout.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,9 @@ def star_config(**changes) -> SuiteConfig:
     return SuiteConfig(source_system=SOURCE_SYSTEM, high_value=Decimal(HIGH_VALUE)).with_(**changes)
 
 
+@lru_cache(maxsize=64)
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One listing and one schema per file; several logical tables come from the same files."""
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
