@@ -18,6 +18,12 @@ from plumbline.plans import checks, rebuild, suite, transactions, verdict  # noq
 from plumbline.plans.variance import reference_variance, source_variance  # noqa: E402
 from plumbline.sources.star import star_config, star_tables  # noqa: E402
 
+try:  # these go together: without them all else works as before
+    import corpus_pipeline  # noqa: E402
+    from plumbline.llm import queries as llm_queries  # noqa: E402
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -158,8 +164,15 @@ def queries() -> dict[str, Query]:
             lambda cfg, tables: transactions.transfer_unmatched(tables["trx"]), "gross", "unit_factor"
         ),
     }
+    if llm_queries:
+        named |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
     return named
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    expected = dict(ORACLE_SQL)
+    if llm_queries:
+        expected |= llm_queries.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL:
+            expected["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return expected
