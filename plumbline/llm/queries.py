@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat_format, packing, secret_scan, token_blocks
+from plumbline.llm import (
+    chat_format,
+    language_id,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    simhash_dedup,
+    token_blocks,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +28,10 @@ def op1_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(documents(spark, root)))
 
 
+def op2_simhash_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return simhash_dedup.digest(simhash_dedup.near_duplicates(documents(spark, root)))
+
+
 def op4_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(documents(spark, root))
 
@@ -28,12 +41,34 @@ def op5_chat_format(spark: SparkSession, root: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows))
 
 
+def op6_quality_classifier(spark: SparkSession, root: str) -> DataFrame:
+    return quality_classifier.score_documents(documents(spark, root), spark.read.parquet(f"{root}/labels.parquet"))
+
+
+def op7_language_id(spark: SparkSession, root: str) -> DataFrame:
+    return language_id.identify(documents(spark, root))
+
+
 def op8_token_blocks(spark: SparkSession, root: str) -> DataFrame:
     folder = token_blocks.written(documents(spark, root))
     return token_blocks.digest(token_blocks.read_tokens(spark, folder))
 
 
+def op9_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    return quality_rules.digest(quality_rules.judge(documents(spark, root)))
+
+
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op1_secret_scan, op4_best_fit_packing, op5_chat_format, op8_token_blocks)
+    q.__name__: q
+    for q in (
+        op1_secret_scan,
+        op2_simhash_dedup,
+        op4_best_fit_packing,
+        op5_chat_format,
+        op6_quality_classifier,
+        op7_language_id,
+        op8_token_blocks,
+        op9_quality_rules,
+    )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_rules.oracle_sql()}
