@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import (
     chat_format,
+    decontaminate,
     language_id,
     packing,
     quality_classifier,
@@ -32,6 +33,10 @@ def op2_simhash_dedup(spark: SparkSession, root: str) -> DataFrame:
     return simhash_dedup.digest(simhash_dedup.near_duplicates(documents(spark, root)))
 
 
+def op3_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, root), spark.read.parquet(f"{root}/benchmark.parquet"))
+
+
 def op4_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(documents(spark, root))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Query] = {
     for q in (
         op1_secret_scan,
         op2_simhash_dedup,
+        op3_decontamination,
         op4_best_fit_packing,
         op5_chat_format,
         op6_quality_classifier,
