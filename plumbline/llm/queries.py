@@ -15,6 +15,7 @@ from plumbline.llm import (
     quality_rules,
     secret_scan,
     simhash_dedup,
+    suffix_dedup,
     token_blocks,
 )
 
@@ -63,6 +64,10 @@ def op9_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return quality_rules.digest(quality_rules.judge(documents(spark, root)))
 
 
+def op10_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, root), keep=False))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
         op7_language_id,
         op8_token_blocks,
         op9_quality_rules,
+        op10_suffix_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_rules.oracle_sql()}
