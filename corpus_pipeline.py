@@ -1,22 +1,47 @@
-"""Corpus pipeline (being built up): each stage is one operator of ``plumbline.llm``."""
+"""Corpus pipeline: documents pass five stages, each of which is one operator of ``plumbline.llm``.
+
+Each stage gets what its predecessor kept, reread from Parquet, and its decisions take effect: documents of low quality
+go, one document of each near-duplicate group stays, documents that hold benchmark items go, secrets are replaced in the
+texts, and the rest is packed into token sequences. All stages but the last return the columns they were given.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import packing, secret_scan
+from plumbline.llm import decontaminate, packing, quality_classifier, secret_scan, simhash_dedup
 from plumbline.llm.shared import stored
 
 
-def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_dedup.keep_one(docs, shingle=3, max_bits=3)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.redact_secrets(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.sequences(packing.pack(docs, keep_ids=True))
+    return packing.pack(docs)
+
 
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near-dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("secret scans", secret_stage),
+    ("best-fit packing", packing_stage),
+]
 
-STAGES = [("secret scans", secret_scan_stage), ("best-fit packing", packing_stage)]
+#: No stage but the pattern scan could be stated in SQL; tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -30,8 +30,8 @@ from plumbline.llm.tokens import default_path, encoder
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of one length that are numbered in one group, about.
-GROUP_ROWS = 100_000
+#: Pieces that make up a group of numbers, about, and the least number of groups.
+GROUP_ROWS, LEAST_GROUPS = 100_000, 64
 PLAN_TYPE = [("length", np.int64), ("rank", np.int64), ("times", np.int64), ("sequence", np.int64), ("offset", np.int64)]
 
 
@@ -131,7 +131,7 @@ def numbered(pieces: DataFrame, total: int) -> DataFrame:
     Pieces of a length are spread over groups by a hash of their document, so that a length which a third of all rows
     have is numbered by many tasks; the groups' sizes give where each starts.
     """
-    groups = max(1, -(-total // GROUP_ROWS))
+    groups = max(LEAST_GROUPS, -(-total // GROUP_ROWS))
     spread = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     sizes = spread.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("group").rowsBetween(W.unboundedPreceding, -1))

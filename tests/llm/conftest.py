@@ -1,0 +1,24 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from conftest_llm import CLASHES  # noqa: E402
+
+
+@pytest.fixture
+def documents(spark):
+    """Documents from (doc_id, text) pairs, with all other columns of the table and clashing extra ones."""
+
+    def make(rows, lang="en", source="s"):
+        full = [
+            (i, t, lang[k] if isinstance(lang, list) else lang, source[k] if isinstance(source, list) else source,
+             None if t is None else len(t))
+            for k, (i, t) in enumerate(rows)
+        ]
+        frame = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
+        return frame.selectExpr("*", *(f"'{k}' AS `{name}`" for k, name in enumerate(CLASHES)))
+
+    return make

@@ -1,0 +1,115 @@
+import random
+import re
+
+import pytest
+from conftest_llm import ODD_TEXTS, sorted_rows
+
+from plumbline.llm import decontaminate as d
+
+
+def plain_tiles(p, segments, least):
+    """Greedy string tiling by looking at all pairs of places for the longest match, again and again."""
+    t = [x for s in segments for x in [*s, None]]
+    free_p, free_t, out = [True] * len(p), [x is not None for x in t], []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(p)):
+            for j in range(len(t)):
+                k = 0
+                while i + k < len(p) and j + k < len(t) and free_p[i + k] and free_t[j + k] and p[i + k] == t[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        if k < least:
+            return sorted(out)
+        free_p[i : i + k] = free_t[j : j + k] = [False] * k
+        out.append((i, j, k))
+
+
+def test_tiles_equal_plain_search():
+    rnd = random.Random(5)
+    for _ in range(300):
+        letters = rnd.choice([2, 3, 6, 30])
+        p = [str(rnd.randrange(letters)) for _ in range(rnd.randrange(0, 40))]
+        segments = [[str(rnd.randrange(letters)) for _ in range(rnd.randrange(0, 30))] for _ in range(rnd.randrange(0, 3))]
+        if rnd.random() < 0.7 and p:
+            cut = rnd.randrange(len(p))
+            segments.append(p[cut:] + p[:cut])
+        got, expected = d.tiles(p, segments), plain_tiles(p, segments, 5)
+        assert sum(n for *_, n in got) == sum(n for *_, n in expected)
+        for i, j, n in got:
+            assert n >= 5 and p[i : i + n] == [x for s in segments for x in [*s, None]][j : j + n]
+
+
+def split(text):
+    return re.findall("[a-z0-9\u0080-\U0010ffff]+", (text or "").lower())
+
+
+def plain(rows, items):
+    out = []
+    for i, text in sorted(set(rows), key=str):
+        for k, item in sorted(set(items), key=str):
+            p = split(item)
+            found = plain_tiles(p, [split(text)], 5) if len(p) >= 5 else []
+            matched = sum(n for *_, n in found)
+            if p and matched >= 0.8 * len(p):
+                out.append((i, k, len(p), matched, matched / len(p)))
+    return out
+
+
+@pytest.fixture
+def benchmark(spark):
+    def make(items):
+        frame = spark.createDataFrame(items, "item_id long, text string")
+        return frame.selectExpr("*", "'a' AS key", "'b' AS words", "1 AS h")
+
+    return make
+
+
+def sentence(rnd, n):
+    return " ".join(rnd.choice("abcdefghij") + rnd.choice("klmnopqrst") + str(rnd.randrange(30)) for _ in range(n))
+
+
+def test_documents(documents, benchmark):
+    rnd = random.Random(6)
+    items = [(k, sentence(rnd, rnd.choice([5, 12, 30, 45]))) for k in range(12)]
+    items += [(90, "too short to count"), (91, None), (92, ""), (3, items[4][1]), (None, sentence(rnd, 20)), items[0]]
+    rows = list(ODD_TEXTS)
+    for k in range(60):
+        words = items[rnd.choice([*range(12), -2])][1].split()
+        kind = k % 6
+        if kind == 1:  # sentences in another order
+            cut = len(words) // 2
+            words = words[cut:] + sentence(rnd, 3).split() + words[:cut]
+        elif kind == 2:  # too little of it
+            words = words[: len(words) // 2]
+        elif kind == 3:
+            words[len(words) // 2] = "changed"
+        elif kind == 4:
+            words = [w.upper() + "," for w in words]
+        elif kind == 5:
+            words = []
+        rows.append((1000 + k, f"{sentence(rnd, 40)} {' '.join(words)}. {sentence(rnd, 40)}"))
+    rows += [rows[-6], (None, rows[-6][1]), (2000, "é" * 20_000 + " " + items[0][1])]
+    got = d.contaminated(documents(rows), benchmark(items)).collect()
+    assert sorted_rows({(r[0], r[1], r[2], r[3], r[5]) for r in got}) == sorted_rows(plain(rows, items))
+    assert all(r["n_tiles"] >= 1 for r in got)
+
+
+def test_clean_documents_stay(documents, benchmark):
+    rnd = random.Random(7)
+    item = sentence(rnd, 20)
+    rows = [*ODD_TEXTS, (500, f"before {item} after"), (None, item), (501, sentence(rnd, 50))]
+    docs = documents(rows)
+    out = d.keep_clean(docs, benchmark([(1, item)]))
+    assert out.columns == docs.columns
+    expected = [(i, t) for i, t in rows if item not in (t or "")]
+    assert sorted_rows((r["doc_id"], r["text"]) for r in out.collect()) == sorted_rows(expected)
+
+
+def test_empty_tables(documents, benchmark):
+    docs, items = documents(ODD_TEXTS), benchmark([(1, "one two three four five six")])
+    assert d.contaminated(docs.where("false"), items).collect() == []
+    assert d.contaminated(docs, items.where("false")).collect() == []
+    assert d.keep_clean(docs, items.where("false")).count() == len(ODD_TEXTS)

@@ -1,0 +1,77 @@
+import re
+from collections import Counter
+
+import pytest
+from conftest import DATA
+from conftest_llm import sorted_rows
+from test_decontaminate import plain as plain_leaks
+from test_packing import check, ids_of
+from test_secret_scan import base
+from test_simhash_dedup import fingerprint, roots
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from plumbline.llm import queries, secret_scan
+
+
+def test_stages_on_given_data(spark):
+    """Each stage against a plain version of it, on what its predecessor kept."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumnRenamed("n_chars", "n_chars").selectExpr("*", "doc_id AS fp", "'x' AS spans")
+    benchmark = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["quality classifier", "near-dedup", "decontamination", "secret scans", "best-fit packing"]
+    given = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+        out = corpus_pipeline.stored(stage(spark, docs, DATA), "test")
+        if name == "best-fit packing":
+            check(out.collect(), list(before.items()), 2048)
+            break
+        assert out.columns == given
+        rows = out.select("doc_id", "text", "n_chars").collect()
+        after = {r["doc_id"]: r["text"] for r in rows}
+        assert len(rows) == len(after)
+        if name == "quality classifier":
+            labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+            kept = Counter((labels[i], i in after) for i in before if i in labels)
+            assert kept[1, True] > 0.97 * (kept[1, True] + kept[1, False])
+            assert kept[0, False] > 0.8 * (kept[0, True] + kept[0, False])
+        elif name == "near-dedup":
+            ids = sorted(before)
+            assert sorted(after) == sorted(set(roots([fingerprint(before[i]) for i in ids], ids)))
+        elif name == "decontamination":
+            bad = {r[0] for r in plain_leaks([(i, t) for i, t in before.items() if _may_leak(t, benchmark)], benchmark)}
+            assert sorted(after) == sorted(set(before) - bad) and bad
+        else:
+            assert sorted(after) == sorted(before)
+            for r in rows:
+                found = base(before[r["doc_id"]])
+                assert (r["text"] != before[r["doc_id"]]) >= bool(found)
+                assert not base(r["text"]) and r["n_chars"] == len(r["text"])
+        docs = out
+
+
+def _may_leak(text, benchmark):
+    low = re.sub(r"\W+", " ", text.lower())
+    return any(" ".join(re.sub(r"\W+", " ", t.lower()).split()[:5]) in low for _, t in benchmark)
+
+
+def test_run_equals_its_stages(spark):
+    total = sum(r["length"] for r in corpus_pipeline.run(spark, DATA).collect())
+    assert total > 0
+    assert ids_of("a") and secret_scan.PLACEHOLDER
+
+
+def test_registered():
+    registered = entry.queries()
+    assert [n for n in registered if re.match(r"op\d+_", n)] == list(queries.QUERIES)
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert "pipeline" in registered
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_runs_twice_alike(name, spark):
+    rows = [queries.QUERIES[name](spark, DATA).drop("sequence_id", "offset").collect() for _ in range(2)]
+    assert sorted_rows(rows[0]) == sorted_rows(rows[1])
+    assert rows[0]

@@ -1,0 +1,102 @@
+import random
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+from comparison import duck, duck_bag, spark_bag
+from conftest import DATA
+from conftest_llm import ODD_TEXTS, sorted_rows
+
+from plumbline.llm import quality_rules as r
+
+
+def counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    seen = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(8)}
+    symbols = sum(c in "#*$%&|<>" for c in text)
+    n = len(words)
+    return n, sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered), n < 20 or 100 * len(covered) > 30 * n
+
+
+def texts(n):
+    rnd = random.Random(1)
+    out = list(ODD_TEXTS)
+    for k in range(n):
+        words = [rnd.choice(["aa", "bb", "c", "dé", "e#", "***", "f|", "gg,"]) for _ in range(rnd.randrange(0, 120))]
+        if k % 4 == 0 and len(words) > 20:
+            at = rnd.randrange(len(words) - 12)
+            words += words[at : at + 12]
+        out.append((1000 + k, "".join(w + rnd.choice([" ", " ", "\n", "\t ", "\n \n"]) for w in words)))
+    return out
+
+
+def test_counts_against_plain_python(documents):
+    rows = texts(150)
+    got = r.digest(r.judge(documents(rows))).collect()
+    assert sorted_rows(tuple(x)[:7] for x in got) == sorted_rows((i, *counts(t)) for i, t in rows)
+    assert not any(x["kept"] and x["base_failed"] for x in got)
+
+
+def test_same_as_sql(documents):
+    rows = texts(400)
+    rnd = random.Random(2)
+    langs = [rnd.choice(["en", "de", None]) for _ in rows]
+    sources = [rnd.choice(["a", "a", "b", None]) for _ in rows]
+    docs = documents(rows, langs, sources)
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "lang", "source").toPandas())
+    expected = con.sql(r.oracle_sql()).fetchall()
+    assert sorted_rows(r.digest(r.judge(docs)).collect()) == sorted_rows(expected)
+
+
+def test_given_data_against_sql(spark):
+    con = duck(DATA)
+    expected = duck_bag(con, r.oracle_sql())
+    con.close()
+    assert spark_bag(r.digest(r.judge(spark.read.parquet(f"{DATA}/documents.parquet")))) == expected
+
+
+def test_fences_follow_the_source(documents):
+    plain = "clean words of usual length in a row of twenty or more words that say nothing much at all here"
+    marked = " ".join(w + "#" for w in plain.split())
+    rows = [(k, plain) for k in range(150)] + [(200 + k, marked) for k in range(150)] + [(500, marked), (501, plain)]
+    sources = ["a"] * 150 + ["b"] * 150 + ["a", "b"]
+    kept = {x["doc_id"]: x["kept"] for x in r.judge(documents(rows, "en", sources)).collect()}
+    assert kept[0] and kept[200] and not kept[500] and kept[501] == False  # noqa: E712
+
+
+def test_sketch_merges_and_quantiles_are_near(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = rng.lognormal(5, 1, 4000).astype(int)
+    frame = spark.createDataFrame(
+        [("en", "s" + str(k % 3), 100, int(v), 0, 0, 0) for k, v in enumerate(values)],
+        "lang string, source string, n_words long, symbols long, dup_lines long, repeats long, word_length long",
+    )
+    sketch = r.sketches(frame).where("ratio = 'symbols'").groupBy("bucket").sum("n").orderBy("bucket").collect()
+    so_far = 0
+    for bucket, n in sketch:
+        so_far += n
+        if so_far >= 3000:
+            break
+    exact = np.sort(values)[2999]
+    assert bucket <= exact <= bucket * (1 + 1 / 16)
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_small_tables(documents, n):
+    docs = documents([(1, "too short")]).limit(n)
+    assert [x["kept"] for x in r.judge(docs).collect()] == [False] * n
+
+
+def test_no_python_in_the_plan(documents):
+    docs = documents(ODD_TEXTS)
+    for frame in (r.text_counts(docs), r.digest(r.judge(docs))):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
