@@ -12,12 +12,17 @@ def _rate(day: str) -> str:
     return f"CAST(1.25 + CAST(day({day}) AS DECIMAL(6,4)) * 0.001 AS DECIMAL(8,4))"
 
 
-_COMPANY = "CASE WHEN l_linestatus = 'O' THEN 'MAX' ELSE 'CGF' END"
+_COMPANY = "CASE WHEN l_partkey % 37 = 0 THEN 'OTH' WHEN l_linestatus = 'O' THEN 'MAX' ELSE 'CGF' END"
 
-_FLAGS = ",\n".join(f"h = {45 + i} AS {name}" for i, name in enumerate(GUARANTEE_FLAGS))
+
+def _february(day: str, number: int) -> str:
+    return f"(month({day}) = 2 AND day({day}) = {number})"
+
+
+_FLAGS = ",\n".join(f"CASE WHEN h NOT BETWEEN 81 AND 86 THEN h = {45 + i} END AS {name}" for i, name in enumerate(GUARANTEE_FLAGS))
 
 _TARGET_COLUMNS = f"""
-    account AS policy_number, company AS manufacturing_company_code, extract_date, fund_code,
+    account || CASE WHEN h = 80 THEN '-X' ELSE '' END AS policy_number, company AS manufacturing_company_code, extract_date, fund_code,
     CASE WHEN h BETWEEN 75 AND 79 THEN CAST(0 AS DECIMAL(12,4)) ELSE t_units END AS number_of_units,
     t_price AS unit_value, dealer_code,
     CASE WHEN h BETWEEN 30 AND 34 THEN NULL WHEN h BETWEEN 70 AND 74 THEN plan_sk + 1 ELSE plan_sk END
@@ -41,7 +46,9 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                    CAST(l_partkey AS VARCHAR) AS fund_code, l_partkey,
                    CAST(l_shipdate + INTERVAL 24 YEAR AS DATE) AS extract_date,
                    CAST(l_suppkey AS VARCHAR) AS dealer_code,
-                   CAST(l_quantity AS DECIMAL(12,4)) AS units,
+                   CAST(CAST(l_quantity AS DECIMAL(12,4)) * CASE WHEN {_february("l_shipdate", 29)} THEN -1
+                                                 WHEN {_february("l_shipdate", 28)} THEN 0 ELSE 1 END
+                        AS DECIMAL(12,4)) AS units,
                    {_RAW_PRICE} AS raw_price, {_rate("l_shipdate")} AS rate,
                    l_partkey % 5 = 0 AS foreign_fund,
                    l_partkey % 7 + 1 AS plan_sk, l_partkey + 1 AS fund_sk,
@@ -65,12 +72,12 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "faulty": (
         ("base",),
-        """
+        f"""
         SELECT *, CAST(round(t_price * t_units, 2) AS DECIMAL(18,2)) AS t_value
         FROM (
             SELECT *,
-                   CAST(price + CASE WHEN h BETWEEN 5 AND 14 THEN 0.05 WHEN month(extract_date) = 12 THEN 0.50
-                                     ELSE 0.00 END AS DECIMAL(12,4)) AS t_price,
+                   CAST(price + CASE WHEN h BETWEEN 5 AND 14 THEN 0.05 WHEN month(extract_date) = 12 OR {_february("extract_date", 29)}
+                                     THEN 0.50 ELSE 0.00 END AS DECIMAL(12,4)) AS t_price,
                    CAST(units + CASE WHEN h BETWEEN 15 AND 24 THEN 1 ELSE 0 END AS DECIMAL(12,4)) AS t_units
             FROM base
         )
@@ -94,7 +101,8 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT CAST(l_partkey AS VARCHAR) AS fund_code, {_COMPANY} AS management_company_code,
                CAST(l_shipdate + INTERVAL 24 YEAR AS DATE) AS fund_price_date, {_RAW_PRICE} AS fund_price,
                CASE WHEN l_partkey % 5 = 0 THEN 'U' ELSE 'C' END AS fund_price_currency
-        FROM (SELECT DISTINCT l_partkey, l_linestatus, l_shipdate FROM lineitem)
+        FROM (SELECT DISTINCT l_partkey, l_linestatus, l_shipdate FROM lineitem
+              WHERE (l_partkey + day(l_shipdate)) % 53 <> 0)
         JOIN part ON l_partkey = p_partkey
         """,
     ),
@@ -119,7 +127,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         ("base",),
         """
         SELECT account AS account_id, company AS management_company_code, fund_code,
-               strftime(extract_date, '%y%m%d') AS file_date, units AS shares_owned_amount
+               CASE WHEN l_partkey % 29 = 0 THEN '?' ELSE '' END || strftime(extract_date, '%y%m%d') AS file_date, units AS shares_owned_amount
         FROM base WHERE monthly
         """,
     ),
@@ -175,40 +183,45 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "trx": (
         (),
         f"""
-        SELECT o_custkey AS account_id, {_COMPANY} AS company,
-               CASE WHEN leg = 1 AND (l_orderkey + l_linenumber) % 80 = 0 THEN l_partkey + 1 ELSE l_partkey END
+        SELECT o_custkey AS investor_id, o_custkey * 10 + (l_orderkey + leg) % 3 AS account_id, {_COMPANY} AS company,
+               CASE WHEN leg > 0 AND (l_orderkey + l_linenumber) % 80 = 0 THEN l_partkey + 1 ELSE l_partkey END
                    AS fund_code,
                CAST(l_shipdate + INTERVAL 24 YEAR AS DATE) AS trade_date,
-               l_orderkey AS order_id, l_linenumber AS line_number, leg, l_returnflag AS trx_code,
-               CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CASE WHEN leg = 1 THEN -1 ELSE 1 END AS unit_factor,
+               l_orderkey AS order_id, l_linenumber AS line_number, leg,
+               CASE WHEN (l_orderkey + l_linenumber) % 97 = 5 THEN 'X' ELSE l_returnflag END AS trx_code,
+               CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CASE WHEN leg > 0 THEN -1 ELSE 1 END AS unit_factor,
                CASE WHEN l_returnflag = 'A' THEN 'IN' ELSE 'OUT' END AS direction,
                CAST(l_quantity AS DECIMAL(18,4)) AS units,
                CAST(CAST((cents * 100 + n // 2) // n
                          + CASE WHEN (l_orderkey + l_linenumber) % 200 = 7 THEN 100 ELSE 0 END AS DECIMAL(14,0))
                     * 0.0001 AS DECIMAL(18,4)) AS price,
                CAST(l_extendedprice AS DECIMAL(18,2)) AS gross,
-               [1, 4, 5, 9][l_partkey % 4 + 1] AS status_code
+               CAST(CASE WHEN l_partkey % 101 = 0 THEN -1 ELSE l_partkey % 25 END AS INTEGER) AS status_code
         FROM (
             SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents,
                    CAST(l_quantity AS BIGINT) AS n
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        ), (VALUES (0), (1)) v(leg)
-        WHERE leg = 0 OR (l_orderkey + l_linenumber) % 40 = 0
+        ), (VALUES (0), (1), (2)) v(leg)
+        WHERE leg = 0 OR (leg = 1 AND (l_orderkey + l_linenumber) % 40 = 0)
+           OR (leg = 2 AND (l_orderkey + l_linenumber) % 120 = 0)
         """,
     ),
     "status": (
         (),
         """
-        SELECT * FROM (VALUES (1, 'ACTIV', 'Active', 'Y'), (4, 'INACT', 'Inactive', 'N'),
-                              (5, 'FROZE', 'Frozen', 'N'), (9, 'REDTR', 'Red/Transfer/Switch', 'N'))
-            v(status_code, status_mnemonic, status_description, allows_order_entry)
+        SELECT CAST(n_nationkey AS INTEGER) AS status_code, left(n_name, 5) AS status_mnemonic,
+               lower(n_name) AS status_description,
+               CASE WHEN n_regionkey % 2 = 0 THEN 'Y' ELSE 'N' END AS allows_order_entry
+        FROM nation
         """,
     ),
     "trx_type": (
         (),
         """
-        SELECT * FROM (VALUES ('A', 'Accepted', 'I', 1), ('N', 'New', 'I', 1), ('R', 'Returned', 'O', -1))
-            v(trx_code, trx_description, flow_code, type_factor)
+        SELECT DISTINCT l_returnflag AS trx_code, 'type ' || lower(l_returnflag) AS trx_description,
+               CASE WHEN l_returnflag = 'R' THEN 'O' ELSE 'I' END AS flow_code,
+               CAST(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS INTEGER) AS type_factor
+        FROM lineitem
         """,
     ),
     "near_month_end": (

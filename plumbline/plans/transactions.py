@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.compare import beyond
-from plumbline.operators.ordered import rank_dates, running_total
+from plumbline.operators.ordered import HotChunks, hot_chunks, rank_dates, running_total
 
 BALANCE_TOLERANCE = Decimal("0.0011")
 BALANCE_KEYS = ["account_id", "fund_code"]
 BALANCE_ORDER = ["trade_date", "order_id", "line_number", "leg", "gross", "units", "unit_factor"]
-ORDERS_PER_CHUNK = 1_000_000
 
 
 def month_end_window(trx: DataFrame, days: int = 10) -> DataFrame:
@@ -53,10 +54,17 @@ def add_status(trx: DataFrame, statuses: DataFrame) -> DataFrame:
 
 
 def add_type(trx: DataFrame, types: DataFrame) -> DataFrame:
-    """Transaction code -> description, flow and unit factor of its type."""
+    """Transaction code -> description, flow and unit factor of its type. Unknown codes drop out: see ``untyped``."""
     return trx.join(types, "trx_code")
 
 
+def untyped(trx: DataFrame, types: DataFrame) -> DataFrame:
+    """Transactions that ``add_type`` loses, counted by their code: the dimension doesn't have it, or it is null."""
+    return trx.join(types.select("trx_code"), "trx_code", "left_anti").groupBy("trx_code").agg(
+        F.count(F.lit(1)).alias("trx_count")
+    )
+
+
 def month_end_report(trx: DataFrame, statuses: DataFrame, days: int = 10) -> DataFrame:
     """The month-end extract: window, rank, signed amount and status, PRE before POST."""
     rows = add_status(signed_gross(business_day_rank(month_end_window(trx, days))), statuses)
@@ -77,14 +85,19 @@ def month_end_totals(trx: DataFrame, days: int = 10) -> DataFrame:
     )
 
 
-def running_balance(trx: DataFrame, hot_rows: int, orders_per_chunk: int = ORDERS_PER_CHUNK) -> DataFrame:
+def balance_chunks(trx: DataFrame, hot_rows: int, chunk_rows: int | None = None) -> HotChunks | None:
+    """Accounts and funds with very many transactions, for ``running_balance``. A job of its own."""
+    return hot_chunks(trx, BALANCE_KEYS, BALANCE_ORDER, hot_rows, chunk_rows or hot_rows)
+
+
+def running_balance(trx: DataFrame, chunks: HotChunks | None = None) -> DataFrame:
     """Open and close unit balance of every transaction, per account and fund from zero.
 
-    The unit factor gives the sign, as the reported direction does not tell it.
+    The unit factor gives the sign, as the reported direction does not tell it. Groups named in ``chunks`` are spread
+    over several tasks.
     """
     moved = (F.col("units") * F.col("unit_factor")).cast("decimal(28,4)")
-    chunk = [F.col("trade_date"), F.floor(F.col("order_id") / orders_per_chunk)]
-    closed = running_total(trx, BALANCE_KEYS, BALANCE_ORDER, moved, "close_balance", chunk, hot_rows)
+    closed = running_total(trx, BALANCE_KEYS, BALANCE_ORDER, moved, "close_balance", chunks)
     kind = "decimal(28,4)"
     return closed.withColumns(
         {
@@ -122,30 +135,34 @@ def direction_exceptions(trx: DataFrame) -> DataFrame:
 
 # --- transfer legs --------------------------------------------------------------------------
 
-TRANSFER_KEYS = ["account_id", "gross", "trade_date"]
+TRANSFER_KEYS = ["investor_id", "gross", "trade_date"]
+# Legs of one side of a group in order; a leg beyond the other side's number stays unmatched.
+LEG_ORDER = ["order_id", "line_number", "leg", "account_id", "fund_code", "company", "units", "price"]
 
 
 def _leaves() -> Column:
     return F.col("unit_factor") < 0
 
 
+def _legs(trx: DataFrame, *more: Column) -> DataFrame:
+    return trx.groupBy(*TRANSFER_KEYS).agg(
+        F.count_if(_leaves()).alias("out_legs"), F.count_if(~_leaves()).alias("in_legs"), *more
+    )
+
+
 def transfer_pairs(trx: DataFrame) -> DataFrame:
-    """Groups that hold both an outgoing and an incoming leg of the same account, amount and day.
+    """Groups that hold both an outgoing and an incoming leg of the same investor, amount and day.
 
-    Legs are counted per group, never paired with each other, so the result has one row per
-    group. ``cross_fund`` tells that the two sides name different funds.
+    An investor may hold several accounts, and the legs of a transfer lie in any of them. Legs are counted per group,
+    never paired with each other, so the result has one row per group. ``cross_fund`` tells that the two sides name
+    different funds.
     """
 
     def funds(side: Column, name: str) -> list[Column]:
         fund = F.when(side, F.col("fund_code"))
         return [F.min(fund).alias(f"{name}_first_fund"), F.max(fund).alias(f"{name}_last_fund")]
 
-    groups = trx.groupBy(*TRANSFER_KEYS).agg(
-        F.count_if(_leaves()).alias("out_legs"),
-        F.count_if(~_leaves()).alias("in_legs"),
-        *funds(_leaves(), "out"),
-        *funds(~_leaves(), "in"),
-    )
+    groups = _legs(trx, *funds(_leaves(), "out"), *funds(~_leaves(), "in"))
     cross = (F.col("out_first_fund") != F.col("in_first_fund")) | (F.col("out_last_fund") != F.col("in_last_fund"))
     return groups.where((F.col("out_legs") > 0) & (F.col("in_legs") > 0)).select(
         *TRANSFER_KEYS,
@@ -157,7 +174,18 @@ def transfer_pairs(trx: DataFrame) -> DataFrame:
 
 
 def transfer_unmatched(trx: DataFrame) -> DataFrame:
-    """Legs without any leg of opposite sign in the same account, amount and day."""
-    signed = trx.withColumn("_sign", F.when(_leaves(), -1).otherwise(1))
-    opposite = signed.select(*TRANSFER_KEYS, (-F.col("_sign")).alias("_sign"))
-    return signed.join(opposite, [*TRANSFER_KEYS, "_sign"], "left_anti").drop("_sign")
+    """Legs without a partner: of the legs of one side of a group, those beyond the number on the other side.
+
+    Groups are counted first. A group with legs on one side only is returned as it is; only groups with legs on both
+    sides, and more on one, are put in order.
+    """
+    groups = _legs(trx).where("out_legs <> in_legs")
+    same = reduce(and_, [F.col(f"t.{k}").eqNullSafe(F.col(f"g.{k}")) for k in TRANSFER_KEYS])
+    listed = trx.alias("t").join(groups.alias("g"), same).select("t.*", "out_legs", "in_legs")
+    other = F.when(_leaves(), F.col("in_legs")).otherwise(F.col("out_legs"))
+    own = F.when(_leaves(), F.col("out_legs")).otherwise(F.col("in_legs"))
+    more = listed.where(own > other)
+    alone = more.where(other == 0)
+    surplus = Window.partitionBy(*TRANSFER_KEYS).orderBy(*LEG_ORDER)
+    ranked = more.where(other > 0).withColumn("_rank", F.row_number().over(surplus)).where(F.col("_rank") > other)
+    return alone.unionByName(ranked.drop("_rank")).drop("out_legs", "in_legs")

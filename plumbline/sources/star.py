@@ -7,7 +7,7 @@ violations. Money is exact decimal throughout.
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +29,17 @@ def star_config(**changes) -> SuiteConfig:
     return SuiteConfig(source_system=SOURCE_SYSTEM, high_value=Decimal(HIGH_VALUE)).with_(**changes)
 
 
-@lru_cache(maxsize=64)
-def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One listing and one schema per file; several logical tables come from the same files."""
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+class StarFiles:
+    """The files of one folder, each listed once; several logical tables come from the same files."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
+
+    def read(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._frames[name]
 
 
 def _dec(value, precision: int, scale: int) -> Column:
@@ -58,13 +65,25 @@ def _rate(day: Column) -> Column:
 
 
 def _company() -> Column:
-    return F.when(F.col("l_linestatus") == "O", "MAX").otherwise("CGF")
+    """Two companies whose daily positions are valued, and a third one that only the monthly file counts."""
+    return F.when(F.col("l_partkey") % 37 == 0, "OTH").when(F.col("l_linestatus") == "O", "MAX").otherwise("CGF")
+
+
+def _february(day: Column, number: int) -> Column:
+    return (F.month(day) == 2) & (F.day(day) == number)
+
 
+def _units() -> Column:
+    """Short positions on 29 February, none on the 28th: totals below zero and of zero."""
+    day = F.col("l_shipdate")
+    sign = F.when(_february(day, 29), -1).when(_february(day, 28), 0).otherwise(1)
+    return F.col("l_quantity").cast("decimal(12,4)") * sign.cast("decimal(1,0)")
 
-def _parts(spark: SparkSession, root: str) -> DataFrame:
+
+def _parts(files: StarFiles) -> DataFrame:
     """Part key and the part of its price that does not depend on the day, in ticks."""
     cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
-    return _read(spark, root, "part").select(
+    return files.read("part").select(
         "p_partkey", (cents * 100 + F.col("p_partkey") % 97 * 13).alias("part_ticks")
     )
 
@@ -77,13 +96,13 @@ def _foreign() -> Column:
     return F.col("l_partkey") % 5 == 0
 
 
-def holdings(spark: SparkSession, root: str) -> DataFrame:
+def holdings(files: StarFiles) -> DataFrame:
     """One row per line item: account, company, fund, day, units, price and the fault selector."""
-    lines = _read(spark, root, "lineitem").select(
+    lines = files.read("lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus", "l_shipdate"
     )
-    orders = _read(spark, root, "orders").select("o_orderkey", "o_custkey")
-    parts = _parts(spark, root)
+    orders = files.read("orders").select("o_orderkey", "o_custkey")
+    parts = _parts(files)
     day = F.col("extract_date")
     fault = (F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17 + F.col("l_partkey")) % 1000
     # Every input is named once, as filters on the price are evaluated in this form.
@@ -100,7 +119,7 @@ def holdings(spark: SparkSession, root: str) -> DataFrame:
             "l_partkey",
             day,
             F.col("l_suppkey").cast("string").alias("dealer_code"),
-            _dec("l_quantity", 12, 4).alias("units"),
+            _dec(_units(), 12, 4).alias("units"),
             _ticks(price, 12).alias("price"),
             (F.col("l_partkey") % 7 + 1).alias("plan_sk"),
             (F.col("l_partkey") + 1).alias("fund_sk"),
@@ -116,9 +135,9 @@ def _h(low: int, high: int | None = None) -> Column:
     return F.col("h").between(low, low if high is None else high)
 
 
-def asset_reference(spark: SparkSession, root: str) -> DataFrame:
+def asset_reference(files: StarFiles) -> DataFrame:
     value = F.col("price") * F.col("units") + F.when(_h(997), F.lit(1)).otherwise(0).cast("decimal(1,0)")
-    return holdings(spark, root).select(
+    return holdings(files).select(
         F.col("account").alias("contract_policy_number"),
         "fund_code",
         F.col("company").alias("fund_management_company_code"),
@@ -133,22 +152,22 @@ def asset_reference(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def wealth_assets(spark: SparkSession, root: str) -> DataFrame:
+def wealth_assets(files: StarFiles) -> DataFrame:
     """The reference rows with planted faults, and rows of a second source system."""
     bump = (
         F.when(_h(5, 14), F.expr("0.05BD"))
-        .when(F.month("extract_date") == 12, F.expr("0.5BD"))
+        .when((F.month("extract_date") == 12) | _february(F.col("extract_date"), 29), F.expr("0.5BD"))
         .otherwise(F.expr("0.00BD"))
     )
     no_units = _h(75, 79)
     rows = (
-        holdings(spark, root)
+        holdings(files)
         .withColumn("t_price", _dec(F.col("price") + bump, 12, 4))
         .withColumn("t_units", _dec(F.col("units") + F.when(_h(15, 24), 1).otherwise(0), 12, 4))
         .withColumn("t_value", _dec(F.round(F.col("t_price") * F.col("t_units"), 2), 18, 2))
     )
     shared = [
-        F.col("account").alias("policy_number"),
+        F.concat(F.col("account"), F.when(_h(80), "-X").otherwise("")).alias("policy_number"),
         F.col("company").alias("manufacturing_company_code"),
         "extract_date",
         "fund_code",
@@ -165,7 +184,7 @@ def wealth_assets(spark: SparkSession, root: str) -> DataFrame:
         F.when(_h(40, 42), 0).when(_h(43, 44), None).otherwise(F.col("date_sk")).alias("extract_date_sk"),
         (F.col("monthly") != _h(60, 64)).alias("monthly_extract_indicator"),
         (F.col("weekly") != _h(65, 69)).alias("weekly_extract_indicator"),
-        *[_h(45 + i).alias(name) for i, name in enumerate(GUARANTEE_FLAGS)],
+        *[F.when(~_h(81, 86), _h(45 + i)).alias(name) for i, name in enumerate(GUARANTEE_FLAGS)],
     ]
     sign = F.when(_h(25, 29), -1).otherwise(1).cast("decimal(1,0)")
     signed = _dec(F.col("t_value") * sign, 18, 2)
@@ -181,12 +200,13 @@ def wealth_assets(spark: SparkSession, root: str) -> DataFrame:
     return ours.unionByName(other)
 
 
-def fund_price(spark: SparkSession, root: str) -> DataFrame:
-    """One price per fund, company and day."""
+def fund_price(files: StarFiles) -> DataFrame:
+    """One price per fund, company and day; some days have none."""
     quoted = (
-        _read(spark, root, "lineitem").select("l_partkey", "l_linestatus", "l_shipdate").distinct()
+        files.read("lineitem").select("l_partkey", "l_linestatus", "l_shipdate").distinct()
     )
-    parts = _parts(spark, root)
+    parts = _parts(files)
+    quoted = quoted.where((F.col("l_partkey") + F.day("l_shipdate")) % 53 != 0)
     return quoted.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_partkey").cast("string").alias("fund_code"),
         _company().alias("management_company_code"),
@@ -196,18 +216,18 @@ def fund_price(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def usd_fx_rate(spark: SparkSession, root: str) -> DataFrame:
-    days = _read(spark, root, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
+def usd_fx_rate(files: StarFiles) -> DataFrame:
+    days = files.read("orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
     return days.select(
         _shift(F.col("d")).alias("currency_exchange_date"),
         _rate(F.col("d")).alias("currency_exchange_rate"),
     )
 
 
-def fund_position_daily(spark: SparkSession, root: str) -> DataFrame:
+def fund_position_daily(files: StarFiles) -> DataFrame:
     day = F.col("extract_date")
     return (
-        holdings(spark, root)
+        holdings(files)
         .where(~F.col("monthly"))
         .select(
             F.col("account").alias("account_id"),
@@ -220,21 +240,23 @@ def fund_position_daily(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def fund_position_monthly(spark: SparkSession, root: str) -> DataFrame:
+def fund_position_monthly(files: StarFiles) -> DataFrame:
     return (
-        holdings(spark, root)
+        holdings(files)
         .where(F.col("monthly"))
         .select(
             F.col("account").alias("account_id"),
             F.col("company").alias("management_company_code"),
             "fund_code",
-            F.date_format("extract_date", "yyMMdd").alias("file_date"),
+            F.concat(
+                F.when(F.col("l_partkey") % 29 == 0, "?").otherwise(""), F.date_format("extract_date", "yyMMdd")
+            ).alias("file_date"),
             F.col("units").alias("shares_owned_amount"),
         )
     )
 
 
-def fund_account(spark: SparkSession, root: str) -> DataFrame:
+def fund_account(files: StarFiles) -> DataFrame:
     """Two dealer periods per account and company; both hold on the day they share."""
 
     def period(company: str, dealer: Column, start: str, end: str) -> Column:
@@ -255,22 +277,25 @@ def fund_account(spark: SparkSession, root: str) -> DataFrame:
         )
     ]
     return (
-        _read(spark, root, "customer")
+        files.read("customer")
         .where(F.col("c_custkey") % 20 != 0)
         .select(F.col("c_custkey").cast("string").alias("account_id"), F.explode(F.array(*periods)).alias("p"))
         .select("account_id", "p.*")
     )
 
 
-def transactions(spark: SparkSession, root: str) -> DataFrame:
-    """Transactions of line items; every fortieth has a mirrored leg of opposite sign."""
-    lines = _read(spark, root, "lineitem").select(
+def transactions(files: StarFiles) -> DataFrame:
+    """Transactions of line items; every fortieth has a mirrored leg of opposite sign, some have two.
+
+    An investor has three accounts, and a mirrored leg is booked on another one than its transaction.
+    """
+    lines = files.read("lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag",
         "l_linestatus", "l_shipdate",
     )
-    orders = _read(spark, root, "orders").select("o_orderkey", "o_custkey")
+    orders = files.read("orders").select("o_orderkey", "o_custkey")
     number = F.col("l_orderkey") + F.col("l_linenumber")
-    mirrored = F.col("leg") == 1
+    mirrored = F.col("leg") > 0
     factor = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
     cents = (_dec("l_extendedprice", 18, 2) * 100).cast("bigint")
     count = F.col("l_quantity").cast("bigint")
@@ -280,16 +305,24 @@ def transactions(spark: SparkSession, root: str) -> DataFrame:
     fund = F.when(mirrored & (number % 80 == 0), F.col("l_partkey") + 1).otherwise(F.col("l_partkey"))
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn("leg", F.explode(F.when(number % 40 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        .withColumn(
+            "leg",
+            F.explode(
+                F.when(number % 120 == 0, F.array(F.lit(0), F.lit(1), F.lit(2)))
+                .when(number % 40 == 0, F.array(F.lit(0), F.lit(1)))
+                .otherwise(F.array(F.lit(0)))
+            ),
+        )
         .select(
-            F.col("o_custkey").alias("account_id"),
+            F.col("o_custkey").alias("investor_id"),
+            (F.col("o_custkey") * 10 + (F.col("l_orderkey") + F.col("leg")) % 3).alias("account_id"),
             _company().alias("company"),
             fund.alias("fund_code"),
             _shift(F.col("l_shipdate")).alias("trade_date"),
             F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").alias("line_number"),
             "leg",
-            F.col("l_returnflag").alias("trx_code"),
+            F.when(number % 97 == 5, "X").otherwise(F.col("l_returnflag")).alias("trx_code"),
             F.when(mirrored, -factor).otherwise(factor).alias("unit_factor"),
             F.when(F.col("l_returnflag") == "A", "IN").otherwise("OUT").alias("direction"),
             _dec("l_quantity", 18, 4).alias("units"),
@@ -300,50 +333,32 @@ def transactions(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-# Fund status codes with their mnemonic, description and order-entry flag.
-FUND_STATUS = (
-    (1, "ACTIV", "Active", "Y"),
-    (4, "INACT", "Inactive", "N"),
-    (5, "FROZE", "Frozen", "N"),
-    (9, "REDTR", "Red/Transfer/Switch", "N"),
-)
-
-
 def element_of_status(number: Column) -> Column:
-    codes = F.array(*[F.lit(code) for code, *_ in FUND_STATUS])
-    return F.get(codes, (number % len(FUND_STATUS)).cast("int"))
-
-
-def fund_status(spark: SparkSession) -> DataFrame:
-    """The status dimension: four fixed rows."""
-    rows = [
-        spark.range(1).select(
-            F.lit(code).alias("status_code"),
-            F.lit(mnemonic).alias("status_mnemonic"),
-            F.lit(text).alias("status_description"),
-            F.lit(entry).alias("allows_order_entry"),
-        )
-        for code, mnemonic, text, entry in FUND_STATUS
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    """Status of a fund: the number of a nation or, for some, a code that the dimension doesn't have."""
+    return F.when(number % 101 == 0, -1).otherwise(number % 25).cast("int")
+
+
+def fund_status(files: StarFiles) -> DataFrame:
+    """The status dimension: one row for each nation."""
+    name = F.col("n_name")
+    return files.read("nation").select(
+        F.col("n_nationkey").cast("int").alias("status_code"),
+        F.substring(name, 1, 5).alias("status_mnemonic"),
+        F.lower(name).alias("status_description"),
+        F.when(F.col("n_regionkey") % 2 == 0, "Y").otherwise("N").alias("allows_order_entry"),
+    )
 
 
-def trx_type(spark: SparkSession) -> DataFrame:
-    """The transaction-type dimension: three fixed rows."""
-    rows = [
-        spark.range(1).select(
-            F.lit(code).alias("trx_code"),
-            F.lit(text).alias("trx_description"),
-            F.lit(flow).alias("flow_code"),
-            F.lit(factor).alias("type_factor"),
-        )
-        for code, text, flow, factor in (
-            ("A", "Accepted", "I", 1),
-            ("N", "New", "I", 1),
-            ("R", "Returned", "O", -1),
-        )
-    ]
-    return reduce(DataFrame.unionByName, rows)
+def trx_type(files: StarFiles) -> DataFrame:
+    """The transaction-type dimension, from the return flags that line items have."""
+    code = F.col("l_returnflag")
+    out = code == "R"
+    return files.read("lineitem").select(code).distinct().select(
+        code.alias("trx_code"),
+        F.concat(F.lit("type "), F.lower(code)).alias("trx_description"),
+        F.when(out, "O").otherwise("I").alias("flow_code"),
+        F.when(out, -1).otherwise(1).alias("type_factor"),
+    )
 
 
 def star_tables(spark: SparkSession, root: str) -> TableSet:
@@ -357,8 +372,8 @@ def star_tables(spark: SparkSession, root: str) -> TableSet:
         "fund_position_monthly": fund_position_monthly,
         "fund_account": fund_account,
         "trx": transactions,
+        "fund_status": fund_status,
+        "trx_type": trx_type,
     }
-    builders = {name: (lambda make=make: make(spark, root)) for name, make in names.items()}
-    builders["fund_status"] = lambda: fund_status(spark)
-    builders["trx_type"] = lambda: trx_type(spark)
-    return TableSet.from_builders(builders)
+    files = StarFiles(spark, root)
+    return TableSet.from_builders({name: (lambda make=make: make(files)) for name, make in names.items()})
