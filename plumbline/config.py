@@ -70,8 +70,8 @@ class SuiteConfig:
 
     # Rows of one group that a single task may sort; larger groups are split.
     hot_group_rows: int = 5_000_000
-    # Target rows of one match key whose pairs may be compared one by one when counting.
-    hot_match_rows: int = 100_000
+    # Pairs of one match key that may be compared one by one when counting.
+    hot_match_pairs: int = 1_000_000_000
 
     def __post_init__(self) -> None:
         if self.grain not in ("policy", "fund"):

@@ -9,38 +9,18 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows that one task writes out for one block of equal pairs.
-REPEAT_BLOCK = 100_000
+# Numbers of pairs.
+PAIRS = "decimal(38,0)"
 
 
-def match_values(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner match of two tables on ``keys``, one row per pair of *distinct* values, with ``pairs``.
+def match_rows(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner match of two tables on ``keys``, one row per pair.
 
-    Equal rows are counted before they are shuffled, so a group of copies costs one row
-    instead of a pair for each copy. ``pairs`` is the number of row pairs that a plain
-    join would give. A key with many distinct values is split by AQE's skew join, as the
-    shuffles lie directly below the join.
+    A plain equi-join: one shuffle per side directly below it, so AQE splits a frequent key on either side, and none
+    for tables bucketed by the key. Keys whose pairs are too many to go through are counted by
+    ``count_disagreeing_pairs`` instead.
     """
-    counted_left = left.groupBy(*left.columns).agg(F.count(F.lit(1)).alias("left_rows"))
-    counted_right = right.groupBy(*right.columns).agg(F.count(F.lit(1)).alias("right_rows"))
-    return counted_left.join(counted_right, keys).withColumn("pairs", F.col("left_rows") * F.col("right_rows"))
-
-
-def repeat_pairs(matched: DataFrame, keys: list[str]) -> DataFrame:
-    """Give each row back as often as a plain join would have.
-
-    Large counts are cut into blocks, and the blocks are spread over the cluster before
-    they are written out row by row, so no task holds or emits one huge group alone.
-    """
-    pairs, block = F.col("pairs"), F.col("_block")
-    last = F.floor((pairs - 1) / REPEAT_BLOCK)
-    inside = F.least(F.lit(REPEAT_BLOCK).cast("bigint"), pairs - block * REPEAT_BLOCK)
-    return (
-        matched.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        .hint("rebalance", *keys, "_block")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), inside)))
-        .drop("_block", "_copy", "left_rows", "right_rows", "pairs")
-    )
+    return left.join(right, keys)
 
 
 def count_disagreeing_pairs(
@@ -58,7 +38,7 @@ def count_disagreeing_pairs(
     are a product of two counts; the pairs that agree are found by an equi-join on the
     value, or on a band of the width of ``tolerance``, where only few values meet. What is
     left disagrees. Nulls disagree with nothing, except a null on the left with
-    ``left_null_counts``. A number beyond the range of bigint is given as its maximum.
+    ``left_null_counts``. The number is a decimal, as it may be beyond the range of bigint.
     """
     wide = "decimal(19,0)"
 
@@ -91,9 +71,8 @@ def count_disagreeing_pairs(
         met = lefts.join(rights, [*keys, "_same"])
     agreeing = met.select((-F.col("l") * F.col("r")).alias("pairs"))
 
-    zero, most = F.lit(0).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")
-    off = F.coalesce(F.sum("pairs"), zero)
-    return every.unionByName(agreeing).agg(F.least(off, most).cast("bigint").alias("row_count"))
+    off = F.coalesce(F.sum("pairs").cast(PAIRS), F.lit(0).cast(PAIRS))
+    return every.unionByName(agreeing).agg(off.alias("row_count"))
 
 
 def missing_from(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

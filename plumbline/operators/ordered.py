@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.skew import hot_groups, is_hot
+from plumbline.operators.skew import group_hash, hot_groups, is_hot
 
 
 def sort_once(rows: DataFrame, order: list[Column | str], spread: list[str]) -> DataFrame:
@@ -24,50 +25,108 @@ def sort_once(rows: DataFrame, order: list[Column | str], spread: list[str]) ->
 def rank_dates(df: DataFrame, groups: list[str], day: str, distance: Column, name: str) -> DataFrame:
     """Dense rank of the dates in each group by ``distance``; equal dates share a rank.
 
-    Only distinct dates are ranked. They are calendar days, a few thousand per century and
-    group of month and side, so joining them back by broadcast is bounded by the calendar.
+    Only distinct dates are ranked. They are calendar days, a few for each group of month and side; whether they are
+    small enough to be broadcast is left to Spark, as junk dates could be many.
     """
     window = Window.partitionBy(*groups).orderBy(distance)
     ranks = df.select(*groups, day).distinct().withColumn(name, F.dense_rank().over(window))
-    return df.join(F.broadcast(ranks), [*groups, day])
+    return df.join(ranks, [*groups, day])
+
+
+@dataclass(frozen=True)
+class HotChunks:
+    """Groups that are summed in chunks, and where each chunk begins: a group's hash and values of the order columns."""
+
+    groups: tuple[int, ...]
+    columns: tuple[str, ...]
+    starts: tuple[tuple, ...]
+
+
+# Rows of a chunk whose order values are looked at to place its border, about.
+SAMPLES = 20
+# Chunk starts are searched in two steps, over blocks of this many.
+BLOCK = 64
+
+
+def hot_chunks(df: DataFrame, keys: list[str], order: list[str], hot_rows: int, chunk_rows: int) -> HotChunks | None:
+    """Groups of about ``hot_rows`` rows or more, cut into chunks of about ``chunk_rows`` rows each.
+
+    Two scans of the key and order columns. Borders are quantiles of the order values, from rows picked by a hash of
+    these values: one in ``chunk_rows / SAMPLES``. So the number of chunks follows the rows, whatever the numbers look
+    like, and the same rows always give the same borders. Rows that are equal in all order columns stay together.
+    """
+    hot = hot_groups(df, keys, hot_rows)
+    if not hot:
+        return None
+    every = max(1, chunk_rows // SAMPLES)
+    picked = (
+        df.select(group_hash(keys).alias("_g"), *order)
+        .where(F.col("_g").isin(hot) & (F.pmod(F.xxhash64(*order), F.lit(every)) == 0))
+        .groupBy("_g", *order)
+        .count()
+        .orderBy("_g", *order)
+        .collect()
+    )
+    starts, group, seen = [], None, 0
+    per_chunk = max(1, round(chunk_rows / every))
+    for row in picked:
+        *values, n = tuple(row)
+        if values[0] != group:
+            group, seen = values[0], 0
+        if seen >= per_chunk:
+            starts.append(tuple(values))
+            seen = 0
+        seen += n
+    return HotChunks(tuple(hot), tuple(order), tuple(starts))
+
+
+def _chunk_of(df: DataFrame, keys: list[str], chunks: HotChunks) -> Column:
+    """Number of chunk starts at or before a row's place; null for groups that aren't hot."""
+    types = {f.name: f.dataType for f in df.schema}
+
+    def place(values: tuple) -> Column:
+        g, *rest = values
+        parts = [F.lit(v).cast(types[c]).alias(c) for c, v in zip(chunks.columns, rest, strict=True)]
+        return F.struct(F.lit(g).cast("bigint").alias("g"), *parts)
+
+    own = F.struct(group_hash(keys).alias("g"), *[F.col(c) for c in chunks.columns])
+
+    def before(values: list[tuple]) -> Column:
+        return F.size(F.filter(F.array(*[place(v) for v in values]), lambda x: x <= own))
+
+    blocks = [list(chunks.starts[i : i + BLOCK]) for i in range(0, len(chunks.starts), BLOCK)]
+    number = F.lit(0)
+    if blocks:
+        block = before([b[0] for b in blocks])
+        number = F.lit(0)
+        for i, b in enumerate(blocks):
+            number = F.when(block == i + 1, BLOCK * i + before(b)).otherwise(number)
+    return F.when(is_hot(keys, list(chunks.groups)), number)
 
 
 def running_total(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    amount: Column,
-    name: str,
-    chunk: list[Column],
-    hot_rows: int,
+    df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str, chunks: HotChunks | None = None
 ) -> DataFrame:
     """Running sum of ``amount`` within ``keys``, in ``order``.
 
-    A normal group is one window partition. A group of ``hot_rows`` rows or more is cut
-    into chunks, each of which is a window partition of its own; the totals of the earlier
-    chunks are added afterwards. ``chunk`` holds expressions that never decrease along
-    ``order``, e.g. the day and a block of order numbers.
+    A group is one window partition. The groups in ``chunks`` (see ``hot_chunks``; taken beforehand, as looking for them
+    is a job) are cut instead: each chunk is a window partition of its own, and the totals of the earlier chunks are
+    added afterwards. Results are the same either way.
     """
-    hot = hot_groups(df, keys, hot_rows)
-    if not hot:
+    if not chunks:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(amount).over(window))
 
-    marks = [f"_chunk{i}" for i in range(len(chunk))]
-    split = df.withColumns({m: F.when(is_hot(keys, hot), c) for m, c in zip(marks, chunk, strict=True)})
-    # Normal groups have null marks: one chunk, and no row in the offsets.
-    totals = (
-        split.where(is_hot(keys, hot))
-        .groupBy(*keys, *marks)
-        .agg(F.sum(amount).alias("_total"))
-    )
-    before = Window.partitionBy(*keys).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *marks, F.sum("_total").over(before).alias("_offset"))
-    inside = Window.partitionBy(*keys, *marks).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # Normal groups have a null chunk, and no row in the offsets.
+    split = df.withColumn("_chunk", _chunk_of(df, keys, chunks))
+    totals = split.where(F.col("_chunk").isNotNull()).groupBy(*keys, "_chunk").agg(F.sum(amount).alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_chunk", F.sum("_total").over(before).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     running = split.withColumn("_running", F.sum(amount).over(inside))
     kind = running.schema["_running"].dataType
     total = F.col("_running") + F.coalesce(F.col("_offset"), F.lit(0)).cast(kind)
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*keys, *marks]]
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*keys, "_chunk"]]
     return (
         running.alias("r")
         .join(offsets.alias("o"), reduce(and_, same), "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,21 @@ def hot_groups(df: DataFrame, keys: list[str], min_rows: int) -> list[int]:
 
 def is_hot(keys: list[str], hot: list[int]) -> Column:
     return group_hash(keys).isin(hot) if hot else F.lit(False)
+
+
+def hot_pairs(left: DataFrame, right: DataFrame, keys: list[str], min_pairs: int) -> list[int]:
+    """Hashes of the groups whose rows on the left times those on the right are ``min_pairs`` or more.
+
+    One of the two sides has the square root of that number at least, so the groups to look at come from a sketch of
+    each side; their rows are then counted exactly. Only bounded lists reach the driver.
+    """
+    least = max(1, math.isqrt(min_pairs))
+    found = sorted({*hot_groups(left, keys, least), *hot_groups(right, keys, least)})
+    if not found:
+        return []
+
+    def counted(df: DataFrame, rows: str) -> DataFrame:
+        return df.select(group_hash(keys).alias("h")).where(F.col("h").isin(found)).groupBy("h").agg(F.count("*").alias(rows))
+
+    both = counted(left, "l").join(counted(right, "r"), "h").where(F.col("l") * F.col("r") >= min_pairs)
+    return sorted(row["h"] for row in both.select("h").collect())

@@ -25,7 +25,7 @@ from plumbline.functions.compare import (
     percent,
     unresolved_key,
 )
-from plumbline.operators.joins import match_values, missing_from, repeat_pairs
+from plumbline.operators.joins import match_rows, missing_from
 from plumbline.operators.ordered import sort_once
 from plumbline.plans.slices import (
     Tables,
@@ -118,6 +118,12 @@ class RecordRule:
     columns: tuple[str, ...]
     difference: str | None = None
 
+    def shown(self) -> list[Column]:
+        """The values that a violation is listed with."""
+        left, right = (F.col(name) for name in self.sides)
+        gap = [F.abs(left - right).alias(self.difference)] if self.difference else []
+        return [*[F.col(c) for c in self.columns], *gap]
+
     def violates(self, cfg: SuiteConfig) -> Column:
         left, right = (F.col(name) for name in self.sides)
         if self.rule == "beyond":
@@ -190,19 +196,18 @@ def record_sides(cfg: SuiteConfig, tables: Tables, check_ids: list[str]) -> tupl
 
 
 def matched_records(cfg: SuiteConfig, tables: Tables, check_ids: list[str]) -> DataFrame:
-    """Target and reference values side by side for the given checks, with ``pairs``."""
-    return match_values(*record_sides(cfg, tables, check_ids), cfg.match_keys)
+    """Target and reference values side by side for the given checks."""
+    return match_rows(*record_sides(cfg, tables, check_ids), cfg.match_keys)
 
 
 def record_violations(cfg: SuiteConfig, tables: Tables, check_id: str) -> DataFrame:
     """Violations of a record check; the ids of the variants below work as well."""
     rule = RECORD_RULES.get(check_id) or RECORD_VARIANTS[check_id]
-    hits = repeat_pairs(matched_records(cfg, tables, [check_id]).where(rule.violates(cfg)), cfg.match_keys)
-    rows = hits.select(*cfg.match_keys, *rule.columns)
+    hits = matched_records(cfg, tables, [check_id]).where(rule.violates(cfg))
+    rows = hits.select(*cfg.match_keys, *rule.shown())
     if rule.difference is None:
         return rows
-    left, right = (F.col(name) for name in rule.sides)
-    return rows.withColumn(rule.difference, F.abs(left - right)).orderBy(F.desc(rule.difference), *cfg.match_keys)
+    return rows.orderBy(F.desc(rule.difference), *cfg.match_keys)
 
 
 # --- checks on totals -----------------------------------------------------------------------
@@ -346,6 +351,19 @@ def reference_only_keys(cfg: SuiteConfig, tables: Tables) -> DataFrame:
     return lost.groupBy(*keys).agg(F.count(F.lit(1)).alias("reference_rows"))
 
 
+def predicate(cfg: SuiteConfig, check_id: str) -> str | None:
+    """The condition that marks a violation, as Spark reads it, for checks on single rows and matched records."""
+    if check_id in TARGET_RULES:
+        condition = TARGET_RULES[check_id].violates()
+    elif check_id in RECORD_RULES:
+        condition = RECORD_RULES[check_id].violates(cfg)
+    elif check_id == "MV-04":
+        condition = stored_value_off(cfg)
+    else:
+        return None
+    return str(condition).removeprefix("Column<'").removesuffix("'>")
+
+
 # --- catalogue ------------------------------------------------------------------------------
 
 

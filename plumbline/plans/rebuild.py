@@ -153,3 +153,28 @@ def unpriced_monthly(cfg: SuiteConfig, tables: Tables) -> DataFrame:
     return missing_from(rows, prices, ["fund_code", "management_company_code", "position_date"])
 
 
+def unpriced_daily(cfg: SuiteConfig, tables: Tables) -> DataFrame:
+    """Daily positions that the price join loses: no price of fund and company on any day of their validity."""
+    positions = daily_positions(cfg, tables)
+    prices = in_window(tables[cfg.price_table], cfg, "fund_price_date").select(
+        F.col("fund_code").alias("_fund"), F.col("management_company_code").alias("_company"), "fund_price_date"
+    )
+    same = (F.col("fund_code") == F.col("_fund")) & (F.col("management_company_code") == F.col("_company"))
+    valid = F.col("fund_price_date").between(F.col("effective_date"), F.col("end_date"))
+    return positions.join(prices, same & valid, "left_anti")
+
+
+def unpriced_positions(cfg: SuiteConfig, tables: Tables) -> DataFrame:
+    """Positions that never reach a report, counted by path, company and reason."""
+    unreadable = F.when(F.col("position_date").isNull(), "UNREADABLE DATE").otherwise("NO PRICE")
+    monthly = unpriced_monthly(cfg, tables).select(
+        F.lit(MONTHLY).alias("source_path"), "management_company_code", unreadable.alias("reason")
+    )
+    daily = unpriced_daily(cfg, tables).select(
+        F.lit(DAILY).alias("source_path"), "management_company_code", F.lit("NO PRICE").alias("reason")
+    )
+    return (
+        monthly.unionByName(daily)
+        .groupBy("source_path", "management_company_code", "reason")
+        .agg(F.count(F.lit(1)).alias("positions"))
+    )

@@ -114,12 +114,6 @@ def test_copies_come_back_as_pairs(cfg, tables):
     assert {r["variance"] for r in rows} == {Decimal("79.00")}
 
 
-def test_blocks_of_pairs(cfg, tables, monkeypatch):
-    monkeypatch.setattr("plumbline.operators.joins.REPEAT_BLOCK", 4)
-    both = tables([target_row(value=99)] * 5, [reference_row()] * 3)
-    assert len(hits("MV-05", cfg, both)) == 15
-
-
 def test_null_flags(cfg, tables):
     """A null flag is no difference, except in the null-safe form."""
     both = tables(

@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 from plumbline.operators.joins import (
     count_disagreeing_pairs,
     interval_join,
-    match_values,
+    match_rows,
     missing_from,
-    repeat_pairs,
 )
-from plumbline.operators.ordered import running_total, sort_once
-from plumbline.operators.skew import group_hash, hot_groups
+from plumbline.operators.ordered import hot_chunks, running_total, sort_once
+from plumbline.operators.skew import group_hash, hot_groups, hot_pairs
 
 START = date(2024, 1, 1)
 day = st.integers(0, 120).map(lambda n: START + timedelta(days=n))
@@ -52,12 +51,6 @@ def test_interval_join_rejects_other_kinds(spark):
         interval_join(df, df, ["k"], "d", "d", "d", how="full")
 
 
-def test_match_is_the_plain_join(spark):
-    left = spark.createDataFrame([("k", 1), ("k", 1), ("k", 2), (None, 3), ("l", 4)], "k string, a int")
-    right = spark.createDataFrame([("k", 7), ("k", 7), ("k", 8), (None, 3)], "k string, b int")
-    assert rows_of(repeat_pairs(match_values(left, right, ["k"]), ["k"])) == rows_of(left.join(right, "k"))
-
-
 @pytest.mark.parametrize("tolerance", [None, "0.01", "0.03"])
 @pytest.mark.parametrize("left_null", [False, True])
 def test_counting_pairs_without_making_them(spark, tolerance, left_null):
@@ -87,6 +80,30 @@ def test_counting_very_many_pairs(spark):
     assert count_disagreeing_pairs(many, many, ["k"], "a", "b").first()["row_count"] == 10**10
 
 
+def test_more_pairs_than_a_bigint_holds(spark):
+    """Four thousand million copies on each side, as counts: the number of pairs is beyond 2**63 and stays exact."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    copies = reduce(lambda a, _: a.unionByName(a), range(3), spark.range(1_000_000).select(F.lit("k").alias("k"), F.lit(1).alias("a")))
+    other = copies.withColumnRenamed("a", "b").withColumn("b", F.lit(2))
+    one = count_disagreeing_pairs(copies, other, ["k"], "a", "b")
+    assert one.schema["row_count"].dataType.simpleString() == "decimal(38,0)"
+    many = reduce(DataFrame.unionByName, [one] * 4).agg((F.sum("row_count") * 10**6).cast("decimal(38,0)").alias("n"))
+    assert many.first()["n"] == 4 * 64 * 10**12 * 10**6 > 2**63
+
+
+def test_hot_pairs_go_by_the_product_of_both_sides(spark):
+    def side(**rows):
+        return spark.createDataFrame([(k,) for k, n in rows.items() for _ in range(n)], "k string")
+
+    left, right = side(a=50, b=100, c=2), side(a=50, b=1, c=900)
+    hashes = {r["k"]: r["h"] for r in side(a=1, b=1, c=1).select("k", group_hash(["k"]).alias("h")).collect()}
+    assert hot_pairs(left, right, ["k"], 1000) == sorted([hashes["a"], hashes["c"]])
+    assert hot_pairs(left, right, ["k"], 10_000) == []
+
+
 def test_missing_keeps_null_keys(spark):
     left = spark.createDataFrame([("k",), ("l",), (None,)], "k string")
     right = spark.createDataFrame([("k",), (None,)], "k string")
@@ -112,8 +129,20 @@ def test_running_total_in_chunks(spark, hot_rows):
     df = spark.createDataFrame(rows, "k string, d date, n int, v int").withColumn("v", F.col("v").cast("decimal(9,2)"))
     window = Window.partitionBy("k").orderBy("d", "n").rowsBetween(Window.unboundedPreceding, 0)
     expected = rows_of(df.withColumn("s", F.sum("v").over(window)))
-    chunk = [F.col("d"), F.floor(F.col("n") / 50)]
-    assert rows_of(running_total(df, ["k"], ["d", "n"], F.col("v"), "s", chunk, hot_rows)) == expected
+    for chunk_rows in (5, 60):
+        chunks = hot_chunks(df, ["k"], ["d", "n"], hot_rows, chunk_rows)
+        assert (chunks is None) == (hot_rows == 10_000)
+        assert rows_of(running_total(df, ["k"], ["d", "n"], F.col("v"), "s", chunks)) == expected
+
+
+@pytest.mark.parametrize("step", [1, 10**9, 0])
+def test_number_of_chunks_follows_the_rows(spark, step):
+    """Sparse numbers make no more chunks than dense ones; equal ones stay together."""
+    df = spark.range(20_000).select(F.lit("k").alias("k"), (F.col("id") * step).alias("n"), F.lit(1).alias("v"))
+    chunks = hot_chunks(df, ["k"], ["n"], 1000, 1000)
+    assert len(chunks.starts) == 0 if not step else 10 <= len(chunks.starts) <= 30
+    total = running_total(df, ["k"], ["n"], F.col("v"), "s", chunks).agg(F.max("s"), F.sum("s")).first()
+    assert tuple(total) == (20_000, 20_000 * 20_001 // 2)
 
 
 def final_plan(df):
@@ -145,10 +174,11 @@ def skewed(spark, name, n=6000):
 
 
 def test_hot_match_key_is_split(spark, eager_skew):
-    matched = match_values(skewed(spark, "a"), skewed(spark, "b"), ["k"])
-    assert matched.agg(F.sum("pairs")).first()[0] == 2000 * 2000 + 4000
-    # Copies were counted: the hot key meets 97 x 97 values, not 2,000 x 2,000 rows.
-    assert matched.where("k = -1").count() == 97 * 97
+    matched = match_rows(skewed(spark, "a"), skewed(spark, "b"), ["k"])
+    plan = final_plan(matched.select("k", F.concat("a", "b").alias("c")).where("c = '1'"))
+    assert plan.count("Exchange hashpartitioning") == 2 * plan.count("Initial Plan") + 2
+    assert "skew=true" in plan
+    assert matched.count() == 2000 * 2000 + 4000
 
 
 def test_hot_interval_key_is_split(spark, eager_skew):

@@ -39,6 +39,15 @@ def test_scan_is_pruned_and_filtered(cfg, spark, stored):
     assert "GreaterThanOrEqual(extract_date" in scan
 
 
+def test_record_match_takes_one_shuffle_per_side(cfg, spark, stored):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(matched_records(cfg, stored, list(RECORD_RULES)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2 and "Aggregate" not in plan
+
+
 def test_report_aligns_both_sides_with_one_shuffle_each(cfg, spark, stored):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

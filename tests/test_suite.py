@@ -11,8 +11,11 @@ from plumbline.plans.suite import (
     run_check,
     run_suite,
     samples_frame,
+    count_records,
+    hot_match_keys,
     suite_counts,
     suite_results,
+    suite_samples,
     summary,
 )
 from plumbline.sources.star import star_config, star_tables
@@ -68,8 +71,49 @@ def test_fused_counts_on_the_fund_grain(spark):
         assert counts[check_id] == CHECKS_BY_ID[check_id].build(cfg, tables).count()
 
 
-@pytest.mark.parametrize("hot_rows", [1, 3])
-def test_hot_keys_are_counted_alike(spark, cfg, tables, hot_rows):
+def test_row_counts_are_whole(spark, cfg):
+    """Rules that need one row or value only still report how many rows there are."""
+    many = "SELECT id / 10000 AS v FROM range(1000)"
+    for rule, threshold in (("has_rows", 0), ("within_pct", 1.0), ("zero_rows", 0)):
+        result = run_check(spark, sql_check(many, rule, threshold), cfg, TableSet.from_frames({}))
+        assert result.row_count == 1000
+
+
+def test_query_text_can_be_run_again(spark, cfg, tables):
+    from decimal import Decimal  # noqa: F401
+
+    from plumbline.config import SuiteConfig  # noqa: F401
+
+    both = tables([target_row(value=-1)], [reference_row()])
+    by_id = {r.test_id: r for r in run_suite(spark, cfg, both)}
+    text = by_id["MV-18"].sql_query
+    assert "market_value" in text.partition("# where")[2]
+    rows = eval(text, {"CHECKS_BY_ID": CHECKS_BY_ID, "SuiteConfig": SuiteConfig, "Decimal": Decimal, "tables": both})
+    assert rows.count() == 1
+
+
+def test_samples_are_bounded_and_the_first(spark, cfg, tables):
+    rows = [target_row(f"P{i:02d}", value=-1, fund_sk=0) for i in range(30)]
+    both = tables(rows, [reference_row(f"P{i:02d}") for i in range(30)])
+    got = suite_samples(cfg.with_(sample_rows=4), both).collect()
+    assert sorted({r["test_id"] for r in got}) == ["MV-03", "MV-05", "MV-08", "MV-09", "MV-10", "MV-16", "MV-18"][1:]
+    for check_id in ("MV-05", "MV-16", "MV-18"):
+        own = sorted(r["sample"] for r in got if r["test_id"] == check_id)
+        assert [f"P{i:02d}" in s for i, s in enumerate(own)] == [True] * 4
+    plan = suite_samples(cfg, both)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_hot_counts_keep_their_size(cfg, tables):
+    both = tables([target_row(value=21)] * 3, [reference_row()] * 5)
+    hot = hot_match_keys(cfg.with_(hot_match_pairs=15), both)
+    assert len(hot) == 1 and hot_match_keys(cfg.with_(hot_match_pairs=16), both) == []
+    counts = {r["test_id"]: r["row_count"] for r in count_records(cfg, both, hot).collect()}
+    assert counts["MV-05"] == 15
+
+
+@pytest.mark.parametrize("hot_pairs", [1, 20])
+def test_hot_keys_are_counted_alike(spark, cfg, tables, hot_pairs):
     """A key with a third of all rows, in copies and with distinct values on both sides."""
     target = [target_row(value=20 + i % 3, plan_identifier_sk=i % 2 or None) for i in range(8)]
     target += [target_row("P2", price="2.5"), target_row("P3", monthly_extract_indicator=None)] * 2
@@ -77,7 +121,9 @@ def test_hot_keys_are_counted_alike(spark, cfg, tables, hot_rows):
     reference += [reference_row("P2"), reference_row("P3"), reference_row(None)]
     both = tables(target, reference)
     plain = {r["test_id"]: r["row_count"] for r in suite_counts(cfg, both).collect()}
-    split = {r["test_id"]: r["row_count"] for r in suite_counts(cfg.with_(hot_match_rows=hot_rows), both).collect()}
+    hot = hot_match_keys(cfg.with_(hot_match_pairs=hot_pairs), both)
+    assert hot
+    split = {r["test_id"]: r["row_count"] for r in suite_counts(cfg, both, hot).collect()}
     assert split == plain
     for check_id in ("MV-05", "MV-06", "MV-07", "MV-12", "MV-13", "MV-15"):
         assert plain[check_id] == CHECKS_BY_ID[check_id].build(cfg, both).count(), check_id
@@ -93,6 +139,7 @@ def test_a_broken_table_spoils_only_its_checks(spark, cfg, tables):
     assert [i for i, r in by_id.items() if r.status == "ERROR"] == ["MV-16"]
     assert by_id["MV-18"].status == "FAIL"
     assert "fund_sk" in by_id["MV-16"].error
+    assert "fund_sk" in by_id["MV-18"].note and by_id["MV-02"].note is None
 
 
 def test_missing_table(spark, cfg, tables):
