@@ -69,7 +69,7 @@ def _trx(build, *columns: str) -> Query:
 
 
 def _balances(cfg, tables) -> DataFrame:
-    return transactions.running_balance(tables["trx"], cfg.hot_group_rows)
+    return transactions.running_balance(tables["trx"])
 
 
 def _booked(cfg, tables) -> DataFrame:
@@ -79,6 +79,52 @@ def _booked(cfg, tables) -> DataFrame:
     return _balances(cfg, tables).withColumn("close_balance", close.cast("decimal(28,4)"))
 
 
+def _total_safe(check_id: str) -> Query:
+    return _job(lambda cfg, tables: checks.total_violations(cfg, tables, check_id, safe=True))
+
+
+def _null_safe(check_id: str) -> Query:
+    return _job(lambda cfg, tables: checks.record_violations(cfg, tables, f"{check_id}-null-safe"))
+
+
+def _runner_results(spark: SparkSession, root: str) -> DataFrame:
+    """The runner on checks of the caller's own, in SQL and as a DataFrame: every rule, passing, failing and broken."""
+    cfg, tables = star_config(), star_tables(spark, root)
+    lines = spark.read.parquet(f"{root}/lineitem.parquet")
+    lines.createOrReplaceTempView("runner_lineitem")
+
+    def spec(test_id, rule, sql=None, threshold=0.0, build=None):
+        return checks.CheckSpec(
+            test_id, f"name {test_id}", "Own", f"about {test_id}", "runner", build, rule, threshold, sql
+        )
+
+    specs = [
+        spec("X-01", "has_rows", "SELECT l_orderkey FROM runner_lineitem WHERE l_quantity > 30"),
+        spec("X-02", "has_rows", "SELECT l_orderkey FROM runner_lineitem WHERE l_quantity < 0"),
+        spec("X-03", "zero_rows", "SELECT l_orderkey FROM runner_lineitem WHERE l_discount > 1"),
+        spec("X-04", "zero_rows", "SELECT l_orderkey FROM runner_lineitem WHERE l_quantity = 7"),
+        spec("X-05", "within_pct", "SELECT max(l_discount) AS d FROM runner_lineitem GROUP BY l_linestatus ORDER BY d", 0.5),
+        spec("X-06", "within_pct", "SELECT max(l_quantity) AS q FROM runner_lineitem GROUP BY l_returnflag ORDER BY q", 0.5),
+        spec("X-07", "zero_rows", "SELECT nothing FROM runner_lineitem"),
+        spec("X-08", "zero_rows", build=lambda cfg, tables: tables["wealth_assets"].where("market_value < 0")),
+    ]
+    results = suite.results_frame(spark, suite.run_suite(spark, cfg, tables, specs))
+    return results.select(
+        "test_id", "test_name", "category", "description", "validates", "pass_when", "status",
+        F.col("row_count").cast("bigint").alias("row_count"), "metric_value",
+        F.col("error").isNotNull().alias("has_error"), F.col("error_traceback").isNotNull().alias("has_traceback"),
+        F.when(F.col("test_id") != "X-08", F.col("sql_query")).alias("sql_query"),
+    )
+
+
+def _samples(cfg, tables) -> DataFrame:
+    return suite.suite_samples(cfg, tables)
+
+
+def _grid(cfg, tables) -> DataFrame:
+    return suite.grid(suite.suite_results(cfg, tables).withColumn("metric_value", F.lit(None).cast("double")))
+
+
 def _month_end(cfg, tables) -> DataFrame:
     return transactions.month_end_window(tables["trx"])
 
@@ -96,6 +142,11 @@ def queries() -> dict[str, Query]:
         "mv05_window": _check("MV-05", **WINDOW),
         "mv08_safe": _job(lambda cfg, tables: checks.total_violations(cfg, tables, "MV-08", safe=True)),
         "mv12_null_safe": _job(lambda cfg, tables: checks.record_violations(cfg, tables, "MV-12-null-safe")),
+        "mv04_top5": _check("MV-04", top_rows=5),
+        "mv09_safe": _total_safe("MV-09"),
+        "mv10_safe": _total_safe("MV-10"),
+        "mv13_null_safe": _null_safe("MV-13"),
+        "mv15_null_safe": _null_safe("MV-15"),
         "mv20_window": _check("MV-20", **WINDOW),
         "target_only_keys": _job(checks.target_only_keys),
         "reference_only_keys": _job(checks.reference_only_keys),
@@ -124,7 +175,11 @@ def queries() -> dict[str, Query]:
         ),
         "suite_results": _job(suite.suite_results),
         "suite_summary": _job(lambda cfg, tables: suite.summary(suite.suite_results(cfg, tables))),
+        "suite_samples": _job(_samples, sample_rows=3),
+        "suite_grid": _job(_grid),
+        "runner_results": _runner_results,
         "suite2_verdict": _job(verdict.report_verdict),
+        "unpriced_positions": _job(rebuild.unpriced_positions),
         "month_end_window": _trx(_month_end, "month_end", "window_side"),
         "biz_day_rank": _trx(
             lambda cfg, tables: transactions.business_day_rank(_month_end(cfg, tables)),
@@ -141,6 +196,7 @@ def queries() -> dict[str, Query]:
             lambda cfg, tables: transactions.add_type(tables["trx"], tables["trx_type"]),
             "trx_code", "trx_description", "flow_code", "type_factor",
         ),
+        "trx_untyped": _job(lambda cfg, tables: transactions.untyped(tables["trx"], tables["trx_type"])),
         "month_end_report": _trx(
             lambda cfg, tables: transactions.month_end_report(tables["trx"], tables["fund_status"]),
             "month_end", "window_side", "biz_day_rank", "status_code", "status_mnemonic", "status_description",

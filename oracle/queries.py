@@ -317,7 +317,8 @@ def _suite_results() -> str:
     counts = _counts(_CHECKS | {"mv04": _stored_value("")})
     return f"""
         SELECT test_id, test_name, category, pass_when,
-               CASE WHEN (pass_when = 'has_rows') = (row_count > 0) THEN 'PASS' ELSE 'FAIL' END AS status, row_count
+               CASE WHEN (pass_when = 'has_rows') = (row_count > 0) THEN 'PASS' ELSE 'FAIL' END AS status,
+               CAST(row_count AS DECIMAL(38,0)) AS row_count
         FROM ({counts}) JOIN (VALUES {meta}) m(test_id, test_name, category, pass_when) USING (test_id)
     """
 
@@ -333,6 +334,138 @@ def _suite_summary() -> str:
     """
 
 
+# How the values of a sample stand in its JSON text: with quotes or without.
+_KEY_KINDS = {"policy_number": True, "manufacturing_company_code": True, "extract_date": True}
+_REF_KEY_KINDS = {"contract_policy_number": True, "fund_management_company_code": True, "extract_date": True}
+_TOTAL_KINDS = {"tgt_total": False, "ref_total": False, "variance": False, "pct_variance": 6}
+_SAMPLE_KINDS: dict[str, dict[str, bool | int]] = {
+    "mv03": {"extract_date": True, "tgt_rows": False, "ref_rows": False, "row_diff": False, "pct_diff": 6},
+    "mv04": {
+        "contract_policy_number": True, "fund_code": True, "fund_management_company_code": True, "extract_date": True,
+        "number_of_units": False, "canadian_unit_price": False, "stored_mv": False, "calculated_mv": False,
+        "variance": False,
+    },
+    "mv05": _KEY_KINDS
+    | {"ref_units": False, "ref_price": False, "expected_mv": False, "tgt_mv": False, "variance": False},
+    "mv06": _KEY_KINDS | {"tgt_unit_value": False, "ref_price": False, "variance": False},
+    "mv07": _KEY_KINDS | {"tgt_units": False, "ref_units": False, "diff": False},
+    "mv08": {"extract_date": True} | _TOTAL_KINDS,
+    "mv09": {"extract_date": True, "manufacturing_company_code": True} | _TOTAL_KINDS,
+    "mv10": {"extract_date": True, "dealer_code": True} | _TOTAL_KINDS,
+    "mv11": _KEY_KINDS | {"plan_identifier_sk": False},
+    "mv12": _KEY_KINDS | {"tgt_monthly": False, "ref_monthly": False},
+    "mv13": _KEY_KINDS | {"tgt_weekly": False, "ref_weekly": False},
+    "mv14": _KEY_KINDS | dict.fromkeys(GUARANTEE_FLAGS, False),
+    "mv15": _KEY_KINDS | {"tgt_plan_sk": False, "ref_plan_sk": False},
+    "mv16": _KEY_KINDS | {"fund_sk": False},
+    "mv17": _KEY_KINDS | {"extract_date_sk": False},
+    "mv18": _KEY_KINDS | {"number_of_units": False, "unit_value": False, "market_value": False},
+    "mv19": _KEY_KINDS | {"number_of_units": False, "unit_value": False, "market_value": False},
+    "mv20": _REF_KEY_KINDS | {"expected_mv": False},
+}
+
+
+def _json_text(kinds: dict[str, bool | int]) -> str:
+    def value(name: str, kind: bool | int) -> str:
+        if kind is True:
+            return f"""coalesce('"' || CAST({name} AS VARCHAR) || '"', 'null')"""
+        if kind is False:
+            return f"coalesce(CAST({name} AS VARCHAR), 'null')"
+        return f"coalesce(CAST(CAST({name} AS DECIMAL(18,{kind})) AS VARCHAR), 'null')"
+
+    cells = " || ',' || ".join(f"""'"{n}":' || {value(n, k)}""" for n, k in kinds.items())
+    return f"'{{' || {cells} || '}}'"
+
+
+def _suite_samples(limit: int) -> str:
+    texts = _CHECKS | {"mv04": _stored_value("")}
+    parts = "\nUNION ALL\n".join(
+        f"SELECT 'MV-{name[2:]}' AS test_id, {_json_text(kinds)} AS sample FROM ({texts[name]})"
+        for name, kinds in _SAMPLE_KINDS.items()
+    )
+    return f"""
+        SELECT test_id, sample FROM ({parts})
+        QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY sample) <= {limit}
+    """
+
+
+def _suite_grid() -> str:
+    return f"""
+        SELECT test_id, category, substring(test_name, 1, 44) AS test_name, status,
+               CAST(CAST(row_count AS DECIMAL(38,0)) AS VARCHAR) AS rows_or_value
+        FROM ({_suite_results()})
+    """
+
+
+_RUNNER = (
+    ("X-01", "has_rows", "SELECT l_orderkey FROM runner_lineitem WHERE l_quantity > 30", None),
+    ("X-02", "has_rows", "SELECT l_orderkey FROM runner_lineitem WHERE l_quantity < 0", None),
+    ("X-03", "zero_rows", "SELECT l_orderkey FROM runner_lineitem WHERE l_discount > 1", None),
+    ("X-04", "zero_rows", "SELECT l_orderkey FROM runner_lineitem WHERE l_quantity = 7", None),
+    (
+        "X-05", "within_pct",
+        "SELECT max(l_discount) AS d FROM runner_lineitem GROUP BY l_linestatus ORDER BY d", "d",
+    ),
+    (
+        "X-06", "within_pct",
+        "SELECT max(l_quantity) AS q FROM runner_lineitem GROUP BY l_returnflag ORDER BY q", "q",
+    ),
+    ("X-07", "zero_rows", "SELECT nothing FROM runner_lineitem", None),
+)
+
+
+def _runner_results() -> str:
+    """Status by the rules as the reports' text states them; the counts are those of the same conditions."""
+    rows = []
+    for test_id, rule, text, value in _RUNNER:
+        plain = text.replace("runner_lineitem", "lineitem")
+        broken = "nothing" in text
+        count = "0" if broken else f"(SELECT count(*) FROM ({plain}))"
+        metric = f"(SELECT CAST(min({value}) AS DOUBLE) FROM ({plain}))" if value else "CAST(NULL AS DOUBLE)"
+        good = {"has_rows": f"{count} > 0", "zero_rows": f"{count} = 0", "within_pct": f"{metric} <= 0.5"}[rule]
+        status = "'ERROR'" if broken else f"CASE WHEN {good} THEN 'PASS' ELSE 'FAIL' END"
+        rows.append((test_id, rule, status, count, metric, broken, f"'{text}'"))
+    negative = query("SELECT count(*) FROM t_all WHERE market_value < 0", "t_all")
+    rows.append(
+        ("X-08", "zero_rows", f"CASE WHEN ({negative}) = 0 THEN 'PASS' ELSE 'FAIL' END", f"({negative})",
+         "CAST(NULL AS DOUBLE)", False, "CAST(NULL AS VARCHAR)")
+    )
+    return "\nUNION ALL\n".join(
+        f"SELECT '{i}' AS test_id, 'name {i}' AS test_name, 'Own' AS category, 'about {i}' AS description,"
+        f" 'runner' AS validates, '{rule}' AS pass_when, {status} AS status, CAST({count} AS BIGINT) AS row_count,"
+        f" {metric} AS metric_value, {broken} AS has_error, {broken} AS has_traceback, {text} AS sql_query"
+        for i, rule, status, count, metric, broken, text in rows
+    )
+
+
+def _unpriced() -> str:
+    priced = "p.fund_code = m.fund_code AND p.management_company_code = m.management_company_code"
+    return query(
+        f"""
+        SELECT source_path, management_company_code, reason, count(*) AS positions
+        FROM (
+            SELECT 'MONTHLY' AS source_path, management_company_code,
+                   CASE WHEN try_strptime(file_date, '%y%m%d') IS NULL THEN 'UNREADABLE DATE' ELSE 'NO PRICE' END AS reason
+            FROM month_file m WHERE NOT EXISTS (
+                SELECT 1 FROM fund_price p
+                WHERE {priced} AND p.fund_price_date = CAST(try_strptime(m.file_date, '%y%m%d') AS DATE))
+            UNION ALL
+            SELECT 'DAILY', management_company_code, 'NO PRICE'
+            FROM daily m WHERE management_company_code IN ('MAX', 'CGF') AND NOT EXISTS (
+                SELECT 1 FROM fund_price p
+                WHERE {priced} AND p.fund_price_date BETWEEN m.effective_date AND m.end_date)
+        ) GROUP BY ALL
+        """,
+        "month_file", "daily", "fund_price",
+    )
+
+
+def _totals_safe(text: str) -> str:
+    """The gap without regard to the sign of the reference total."""
+    plain = "CAST(abs(a.v - b.v) AS DOUBLE) / nullif(CAST(b.v AS DOUBLE), 0)"
+    return text.replace(plain, f"abs({plain})")
+
+
 def _verdict() -> str:
     parts = []
     for name in ("a1", "a2", "a3", "a4", "a5", "b1", "b2", "b3", "b4", "b5"):
@@ -356,7 +489,7 @@ _SOURCE_COLUMNS = """
 _TRX_ID = "account_id, fund_code, company, trade_date, order_id, line_number, leg"
 
 _TRANSFERS = """
-    SELECT account_id, gross, trade_date,
+    SELECT investor_id, gross, trade_date,
            count(*) FILTER (unit_factor < 0) AS out_legs, count(*) FILTER (unit_factor > 0) AS in_legs,
            min(fund_code) FILTER (unit_factor < 0) AS of, max(fund_code) FILTER (unit_factor < 0) AS ol,
            min(fund_code) FILTER (unit_factor > 0) AS if, max(fund_code) FILTER (unit_factor > 0) AS il
@@ -391,6 +524,21 @@ _OTHERS: dict[str, str] = {
         "t.monthly_extract_indicator AS tgt_monthly, r.monthly_extract_indicator AS ref_monthly",
         "t.monthly_extract_indicator IS DISTINCT FROM r.monthly_extract_indicator",
     ),
+    "mv04_top5": _stored_value("LIMIT 5"),
+    "mv09_safe": _totals_safe(_CHECKS["mv09"]),
+    "mv10_safe": _totals_safe(_CHECKS["mv10"]),
+    "mv13_null_safe": _on_records(
+        "t.weekly_extract_indicator AS tgt_weekly, r.weekly_extract_indicator AS ref_weekly",
+        "t.weekly_extract_indicator IS DISTINCT FROM r.weekly_extract_indicator",
+    ),
+    "mv15_null_safe": _on_records(
+        "t.plan_identifier_sk AS tgt_plan_sk, r.plan_identifier_sk AS ref_plan_sk",
+        "t.plan_identifier_sk IS DISTINCT FROM r.plan_identifier_sk",
+    ),
+    "suite_samples": _suite_samples(3),
+    "suite_grid": _suite_grid(),
+    "runner_results": _runner_results(),
+    "unpriced_positions": _unpriced(),
     "mv20_window": _missing(f"AND r.extract_date {_WINDOW}"),
     "target_only_keys": query(
         f"SELECT {_T_KEYS}, count(*) AS target_rows FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE {_MATCH})"
@@ -498,7 +646,7 @@ _OTHERS: dict[str, str] = {
     ),
     "transfer_pairs": query(
         f"""
-        SELECT account_id, gross, trade_date, out_legs, in_legs, least(out_legs, in_legs) AS matched_legs,
+        SELECT investor_id, gross, trade_date, out_legs, in_legs, least(out_legs, in_legs) AS matched_legs,
                of <> if OR ol <> il AS cross_fund
         FROM ({_TRANSFERS}) WHERE out_legs > 0 AND in_legs > 0
         """,
@@ -507,12 +655,22 @@ _OTHERS: dict[str, str] = {
     "transfer_unmatched": query(
         f"""
         SELECT {_TRX_ID}, gross, unit_factor
-        FROM trx a WHERE NOT EXISTS (
-            SELECT 1 FROM trx b WHERE a.account_id = b.account_id AND a.gross = b.gross
-                                  AND a.trade_date = b.trade_date AND a.unit_factor = -b.unit_factor)
+        FROM (
+            SELECT *, row_number() OVER (PARTITION BY investor_id, gross, trade_date, unit_factor
+                                         ORDER BY order_id, line_number, leg, account_id, fund_code) AS place
+            FROM trx
+        ) a
+        WHERE place > (SELECT count(*) FROM trx b WHERE a.investor_id = b.investor_id AND a.gross = b.gross
+                                                  AND a.trade_date = b.trade_date AND a.unit_factor = -b.unit_factor)
         """,
         "trx",
     ),
+    "trx_untyped": query(
+        """
+        SELECT trx_code, count(*) AS trx_count FROM trx WHERE trx_code NOT IN (SELECT trx_code FROM trx_type) GROUP BY 1
+        """,
+        "trx", "trx_type",
+    ),
 }
 
 ORACLE_SQL: dict[str, str] = _CHECKS | _REPORTS | _OTHERS

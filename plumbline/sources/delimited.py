@@ -28,7 +28,7 @@ def read_extract(
     ``columns`` maps a 1-based position to (name, type). Names in the file are not
     used, so a name that occurs twice is no problem. Both ``null_text`` and an empty
     cell become null; with ``keep_empty`` an empty text cell stays an empty string.
-    A cell that cannot be cast becomes null.
+    A cell that cannot be cast becomes null, cells beyond ``width`` are cut off: see ``count_rejects``.
     """
     if keep_empty:
         lines = spark.read.text(path)
@@ -53,6 +53,33 @@ def read_extract(
     )
 
 
+def count_rejects(
+    spark: SparkSession,
+    path: str,
+    columns: Mapping[int, tuple[str, str]],
+    width: int,
+    sep: str = "\t",
+    null_text: str = "NULL",
+) -> DataFrame:
+    """What ``read_extract`` loses, counted in one scan: (item, lost).
+
+    One row for each typed column (cells with text that can't be cast), and one for lines with more cells than
+    ``width`` (item ``lines longer than <width>``).
+    """
+    lines = spark.read.text(path)
+    rows = lines.where(F.col("value") != F.lit(lines.first()[0])).select(
+        F.split(F.rtrim(F.col("value"), F.lit("\r")), sep, -1).alias("cells")
+    )
+    items = {f"lines longer than {width}": F.size("cells") > width}
+    for i, (name, kind) in sorted(columns.items()):
+        if kind != "string":
+            cell = F.nullif(F.nullif(F.get("cells", F.lit(i - 1)), F.lit(null_text)), F.lit(""))
+            items[name] = cell.isNotNull() & cell.try_cast(kind).isNull()
+    counts = rows.agg(*[F.count_if(lost).alias(str(k)) for k, lost in enumerate(items.values())])
+    cells = [F.struct(F.lit(n).alias("item"), F.col(str(k)).alias("lost")) for k, n in enumerate(items)]
+    return counts.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+
+
 # The 21 columns of the month-end transaction extract.
 MONTH_END_COLUMNS = {
     1: ("month_end", "date"),

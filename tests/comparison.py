@@ -6,7 +6,7 @@ from collections import Counter
 from datetime import datetime
 from decimal import Decimal
 
-STAR_TABLES = ("customer", "supplier", "part", "orders", "lineitem")
+STAR_TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
 def duck(root: str):

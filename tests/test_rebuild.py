@@ -112,7 +112,24 @@ def test_both_paths_stay_apart_rows(cfg, raw):
 def test_rates_of_the_sample_are_unique(spark):
     from conftest import DATA
 
-    from plumbline.sources.star import usd_fx_rate
+    from plumbline.sources.star import star_tables
 
-    rates = usd_fx_rate(spark, DATA)
+    rates = star_tables(spark, DATA)["usd_fx_rate"]
     assert rates.count() == rates.select("currency_exchange_date").distinct().count()
+
+
+def test_five_reports_from_one_rebuild(spark, tmp_path):
+    """The shared call gives what the five single reports give, and its reports don't read positions again."""
+    from comparison import spark_bag
+    from conftest import DATA
+
+    from plumbline.plans.variance import source_variance, source_variances
+    from plumbline.sources.star import star_config, star_tables
+
+    cfg, tables = star_config(), star_tables(spark, DATA)
+    shared = source_variances(cfg, tables, str(tmp_path / "sums"))
+    assert list(shared) == ["B1", "B2", "B3", "B4", "B5"]
+    for report_id, rows in shared.items():
+        assert spark_bag(rows) == spark_bag(source_variance(cfg, tables, report_id)), report_id
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "shares_owned_amount" not in plan

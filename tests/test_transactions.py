@@ -12,7 +12,7 @@ from plumbline.plans import transactions as t
 from plumbline.sources.star import star_tables
 
 SCHEMA = (
-    "account_id int, fund_code int, company string, trade_date date, order_id bigint, line_number int, leg int,"
+    "investor_id int, account_id int, fund_code int, company string, trade_date date, order_id bigint, line_number int, leg int,"
     " unit_factor int, direction string, units decimal(18,4), price decimal(18,4), gross decimal(18,2), status_code int"
 )
 
@@ -20,7 +20,7 @@ SCHEMA = (
 @pytest.fixture
 def trx(spark):
     def make(*rows):
-        base = dict(account_id=1, fund_code=1, company="C", trade_date=date(2025, 1, 31), order_id=1, line_number=1,
+        base = dict(investor_id=1, account_id=1, fund_code=1, company="C", trade_date=date(2025, 1, 31), order_id=1, line_number=1,
                     leg=0, unit_factor=1, direction="IN", units=Decimal(1), price=Decimal(2), gross=Decimal(2),
                     status_code=1)
         names = [c.split()[0] for c in SCHEMA.replace("(18,4)", "").replace("(18,2)", "").split(",")]
@@ -60,14 +60,17 @@ def test_signed_gross(trx):
 
 
 def test_status_lookup_keeps_unknown_codes(spark, trx):
-    statuses = star_tables(spark, DATA)["fund_status"]
+    statuses = spark.createDataFrame(
+        [(9, "REDTR", "text", "N")],
+        "status_code int, status_mnemonic string, status_description string, allows_order_entry string",
+    )
     got = t.add_status(trx(dict(order_id=1, status_code=9), dict(order_id=2, status_code=7)), statuses).orderBy("order_id")
     assert [(r["status_mnemonic"], r["allows_order_entry"]) for r in got.collect()] == [("REDTR", "N"), (None, None)]
 
 
 def test_balances_roll_forward(trx):
     rows = trx(dict(order_id=1, units=Decimal(5)), dict(order_id=2, units=Decimal(2), unit_factor=-1), dict(order_id=3))
-    got = t.running_balance(rows, 1000).orderBy("order_id")
+    got = t.running_balance(rows).orderBy("order_id")
     assert [(r["open_balance"], r["close_balance"]) for r in got.collect()] == [(0, 5), (5, 3), (3, 4)]
     assert t.roll_forward_exceptions(got).count() == 0
     wrong = got.withColumn("close_balance", F.col("close_balance") + F.when(F.col("order_id") == 2, 1).otherwise(0))
@@ -85,7 +88,9 @@ def test_hot_account_gives_the_same_balances(spark):
             "fund_code": F.when(third, F.lit(7)).otherwise(F.col("fund_code")),
         }
     )
-    assert spark_bag(t.running_balance(hot, 500, 100)) == spark_bag(t.running_balance(hot, 10**9))
+    chunks = t.balance_chunks(hot, 500, 100)
+    assert len(chunks.groups) == 1 and len(chunks.starts) > 5
+    assert spark_bag(t.running_balance(hot, chunks)) == spark_bag(t.running_balance(hot))
 
 
 def test_gross_exceptions(trx):
@@ -96,25 +101,47 @@ def test_gross_exceptions(trx):
 
 def test_direction_exceptions(trx):
     rows = t.running_balance(
-        trx(dict(order_id=1, direction="OUT"), dict(order_id=2), dict(order_id=3, direction="OUT", units=Decimal(0))), 1000
+        trx(dict(order_id=1, direction="OUT"), dict(order_id=2), dict(order_id=3, direction="OUT", units=Decimal(0)))
     )
     (row,) = t.direction_exceptions(rows).collect()
     assert (row["order_id"], row["balance_direction"]) == (1, "IN")
 
 
 def test_transfer_legs(trx):
+    """Legs meet by investor, whatever their accounts; legs beyond the other side's number stay."""
     rows = trx(
         dict(order_id=1, unit_factor=-1),
-        dict(order_id=2),
-        dict(order_id=3, account_id=2, unit_factor=-1),
-        dict(order_id=4, account_id=2, fund_code=9),
-        dict(order_id=5, account_id=3),
-        dict(order_id=6, account_id=4, unit_factor=-1),
-        dict(order_id=7, account_id=4, trade_date=date(2025, 2, 1)),
+        dict(order_id=2, account_id=11),
+        dict(order_id=3, investor_id=2, account_id=2, unit_factor=-1),
+        dict(order_id=4, investor_id=2, account_id=3, fund_code=9),
+        dict(order_id=5, investor_id=3),
+        dict(order_id=6, investor_id=4, unit_factor=-1),
+        dict(order_id=7, investor_id=4, trade_date=date(2025, 2, 1)),
+        dict(order_id=8, investor_id=5, unit_factor=-1),
+        dict(order_id=9, investor_id=5, unit_factor=-1, account_id=6),
+        dict(order_id=10, investor_id=5, account_id=7),
+    )
+    pairs = {r["investor_id"]: (r["matched_legs"], r["cross_fund"]) for r in t.transfer_pairs(rows).collect()}
+    assert pairs == {1: (1, False), 2: (1, True), 5: (1, False)}
+    assert sorted(r["order_id"] for r in t.transfer_unmatched(rows).collect()) == [5, 6, 7, 9]
+
+
+def test_unknown_types_are_counted(spark, trx):
+    types = spark.createDataFrame([("A",)], "trx_code string")
+    rows = trx(dict(order_id=1), dict(order_id=2), dict(order_id=3)).withColumn(
+        "trx_code", F.element_at(F.array(F.lit("A"), F.lit("X"), F.lit(None)), F.col("order_id").cast("int"))
     )
-    pairs = {r["account_id"]: (r["matched_legs"], r["cross_fund"]) for r in t.transfer_pairs(rows).collect()}
-    assert pairs == {1: (1, False), 2: (1, True)}
-    assert sorted(r["order_id"] for r in t.transfer_unmatched(rows).collect()) == [5, 6, 7]
+    assert sorted(map(tuple, t.untyped(rows, types).collect()), key=str) == [("X", 1), (None, 1)]
+
+
+def test_report_order(spark, trx):
+    """Month end, PRE before POST, then day, company, fund, account and order."""
+    rows = trx(
+        dict(order_id=1, trade_date=date(2025, 2, 3)), dict(order_id=2), dict(order_id=3, fund_code=0),
+        dict(order_id=4, trade_date=date(2025, 1, 30)), dict(order_id=5, company="A"), dict(order_id=6, account_id=0),
+    )
+    statuses = spark.createDataFrame([(1, "A")], "status_code int, status_mnemonic string")
+    assert [r["order_id"] for r in t.month_end_report(rows, statuses).collect()] == [4, 5, 3, 6, 2, 1]
 
 
 def test_totals(trx):
@@ -128,5 +155,5 @@ def test_every_operator_takes_no_rows(spark, trx):
     tables = star_tables(spark, DATA)
     assert t.month_end_report(empty, tables["fund_status"]).count() == 0
     assert t.month_end_totals(empty).count() == 0
-    assert t.running_balance(empty, 10).count() == 0
+    assert t.running_balance(empty).count() == 0
     assert t.transfer_pairs(empty).count() == t.transfer_unmatched(empty).count() == 0
