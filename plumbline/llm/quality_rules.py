@@ -162,15 +162,17 @@ def fences(sketch: DataFrame) -> DataFrame:
 
     def level(k: int, *keys: str) -> DataFrame:
         return per_group.where(F.col("level") == k).select(
-            *(F.col(c).alias(f"{c}_{k}") for c in keys), F.struct(*names).alias(f"f{k}"), F.lit(1).alias(f"one_{k}")
+            *(F.col(c).alias(f"{c}_{k}") for c in keys), F.struct(*names).alias(f"f{k}")
         )
 
-    own, by_lang, whole = level(2, "lang", "source"), level(1, "lang"), level(0)
-    joined = own.join(by_lang, own.lang_2.eqNullSafe(by_lang.lang_1)).join(whole, F.col("one_2") == F.col("one_0"))
+    own, by_lang = level(2, "lang", "source"), level(1, "lang")
+    joined = own.join(by_lang, own.lang_2.eqNullSafe(by_lang.lang_1))
+    # One row; as a value it needs no join.
+    whole = per_group.where(F.col("level") == 0).select(F.struct(*names)).scalar()
     chosen = (
         F.when(F.col("f2.total") >= LEAST_DOCUMENTS, F.col("f2"))
         .when(F.col("f1.total") >= LEAST_DOCUMENTS, F.col("f1"))
-        .otherwise(F.col("f0"))
+        .otherwise(whole)
     )
     return joined.select("lang_2", "source_2", chosen.alias("f")).select("lang_2", "source_2", "f.*").drop("total")
 
