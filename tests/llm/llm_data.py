@@ -1,0 +1,42 @@
+"""Names and fixtures that the tests of this folder share."""
+
+import hashlib
+import os
+
+import pytest
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+#: Extra columns whose names clash with names that operators use inside or return.
+CLASHES = ("h", "key", "id", "fp", "score", "kept", "spans", "length", "n", "x", "text_1", "class")
+
+ODD_TEXTS = [
+    (None, None), (None, "a text without an id"), (1, ""), (2, None), (3, "   \n\t "), (4, "word"),
+    (5, "two words"), (6, "Ünïcode ß €uro 漢字 \U0001f600 text"), (7, "x" * 30_000), (8, "same same " * 4_000),
+    (9, "a\x00b \x1c c d e"), (10, "repeated row"), (10, "repeated row"), (11, "repeated row"),
+    (12, "one id"), (12, "two texts"), (-5, "negative id"), (2**62, "large id"),
+]
+
+
+def sha(data):
+    return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
+
+
+def sorted_rows(rows):
+    return sorted((tuple(r) for r in rows), key=str)
+
+
+@pytest.fixture
+def documents(spark):
+    """Documents from (doc_id, text) pairs, with all other columns of the table and clashing extra ones."""
+
+    def make(rows, lang="en", source="s"):
+        full = [
+            (i, t, lang[k] if isinstance(lang, list) else lang, source[k] if isinstance(source, list) else source,
+             None if t is None else len(t))
+            for k, (i, t) in enumerate(rows)
+        ]
+        frame = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
+        return frame.selectExpr("*", *(f"'{k}' AS `{name}`" for k, name in enumerate(CLASHES)))
+
+    return make

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest_llm import sha
+from llm_data import sha
 
 from plumbline.llm import chat_format as c
 

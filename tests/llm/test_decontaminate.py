@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from conftest_llm import ODD_TEXTS, sorted_rows
+from llm_data import ODD_TEXTS, documents, sorted_rows  # noqa: F401
 
 from plumbline.llm import decontaminate as d
 

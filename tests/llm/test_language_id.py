@@ -5,8 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import DATA
-from conftest_llm import ODD_TEXTS, sorted_rows
+from llm_data import DATA, ODD_TEXTS, documents, sorted_rows  # noqa: F401
 
 from plumbline.llm import language_id as g
 
@@ -103,5 +102,9 @@ def test_accuracy_on_given_data(spark):
     truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
     judged = [r["lang_pred"] == truth[r["doc_id"]] for r in g.identify(docs).collect() if r["held_out"]]
     assert judged and np.mean(judged) >= 0.95
+
+
+def test_too_many_languages(documents):
+    rows = [(k, f"text {k}") for k in range(600)]
     with pytest.raises(ValueError, match="languages"):
-        g.learn(docs.selectExpr("doc_id", "text", "concat('l', doc_id) AS lang").crossJoin(spark.range(2)).selectExpr("doc_id * 2 + id AS doc_id", "text", "concat(lang, id) AS lang"))
+        g.learn(documents(rows, [f"l{k}" for k in range(600)]))

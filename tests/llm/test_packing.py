@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest_llm import ODD_TEXTS
+from llm_data import ODD_TEXTS, documents  # noqa: F401
 from tokenizers import Tokenizer
 
 from plumbline.llm import packing as p

@@ -2,8 +2,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import DATA
-from conftest_llm import sorted_rows
+from llm_data import DATA, sorted_rows
 from test_decontaminate import plain as plain_leaks
 from test_packing import check, ids_of
 from test_secret_scan import base

@@ -2,8 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import DATA
-from conftest_llm import ODD_TEXTS, sorted_rows
+from llm_data import DATA, ODD_TEXTS, documents, sorted_rows  # noqa: F401
 
 from plumbline.llm import quality_classifier as q
 

@@ -3,7 +3,7 @@ import random
 import re
 from collections import Counter
 
-from conftest_llm import ODD_TEXTS, sha
+from llm_data import ODD_TEXTS, documents, sha  # noqa: F401
 
 from plumbline.llm import secret_scan as s
 

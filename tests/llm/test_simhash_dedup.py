@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from conftest_llm import ODD_TEXTS, sorted_rows
+from llm_data import ODD_TEXTS, documents, sorted_rows  # noqa: F401
 
 from plumbline.llm import simhash_dedup as s
 

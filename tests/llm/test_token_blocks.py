@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest_llm import ODD_TEXTS
+from llm_data import ODD_TEXTS, documents  # noqa: F401
 from test_packing import ids_of
 
 from plumbline.llm import token_blocks as b
