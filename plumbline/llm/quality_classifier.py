@@ -1,8 +1,8 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 Statistics are computed from the bytes of whole texts, many texts at once. Trees are grown on the driver from a sample
-of labelled documents whose size is a parameter (``max_labelled``; the smallest hashes of doc_id, so the choice doesn't
-depend on order): features fall into 64 bins, and each split is read off histograms of gradients. The trees are complete
+of labelled documents whose size, about, is a parameter (``max_labelled``; picked by a hash of doc_id, so the choice
+doesn't depend on order): features fall into 64 bins, and each split is read off histograms of gradients. The trees are complete
 to their depth and flattened into arrays, and all documents of a batch walk down a tree at once.
 
 Labels come from rows whose crc32(doc_id as text) mod 3 is not 1. Several labels of a document count by their mean.
@@ -198,7 +198,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 
 
 def learn(features: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Trees:
-    """Trees from at most ``max_labelled`` labelled documents outside the held-out third."""
+    """Trees from about ``max_labelled`` labelled documents, or all if there are fewer, outside the held-out third."""
     known = (
         columns(labels, doc_id="long", quality="double")
         .where("doc_id is not null and quality is not null")
@@ -206,7 +206,10 @@ def learn(features: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
         .agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     )
     rows = features.where(~held_out()).join(known.withColumnRenamed("doc_id", "known_id"), F.col("doc_id") == F.col("known_id"))
-    taken = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "x").select("x", "y").limit(max_labelled).toPandas()
+    # A share by hash instead of the smallest hashes: each task sends its part of the sample only.
+    share = min(1.0, max_labelled / max(1, rows.count()))
+    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32))
+    taken = rows.where(picked).select("doc_id", "x", "y").toPandas().sort_values("doc_id", kind="stable")
     width = len(FEATURES)
     x = np.stack(taken["x"].to_list()).astype(np.float32) if len(taken) else np.zeros((0, width), np.float32)
     return grow(x, taken["y"].to_numpy(np.float64))
