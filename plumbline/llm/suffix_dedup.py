@@ -45,7 +45,9 @@ from plumbline.llm.text_bytes import blocks, mixed
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Text bytes of a chunk, records sorted at once, and text bytes for each range of hashes. They bound memory only.
-CHUNK_BYTES, SLICE, RANGE_BYTES, BUCKET_BYTES = 4 << 20, 200_000, 16 << 20, 64 << 20
+CHUNK_BYTES, SLICE, RANGE_BYTES, BUCKET_BYTES = 1 << 20, 50_000, 16 << 20, 64 << 20
+#: Window starts that are hashed at once.
+STEP = 1 << 19
 #: A gram in more chunks than this is dealt out by windows.
 HOT_CHUNKS = 512
 #: Record: hash, suffix, its length, reversed context before it, its length.
@@ -82,7 +84,7 @@ def gather(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), CHUNK_BYTES):
                 ids += keys[block.first : block.first + block.size]
                 ends.append(block.ends + size)
                 parts.append(block.data.tobytes())
@@ -168,35 +170,41 @@ class Anchors:
 
 
 def anchors(chunk: Chunk) -> Anchors:
-    none = np.zeros(0, np.int64)
-    data = chunk.data
-    n = len(data) - LENGTH + 1
-    if n <= 0:
+    """All anchors, window starts taken some at a time. An anchor whose windows are cut there is listed in parts."""
+    n = len(chunk.data) - LENGTH + 1
+    parts = [_anchors(chunk, s, min(s + STEP, n)) for s in range(0, n, STEP)]
+    if not parts:
+        none = np.zeros(0, np.int64)
         return Anchors(none, none.astype(np.uint64), none, none, none)
-    g = _gram_hashes(data)
+    return Anchors(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("at", "hash", "first", "last", "doc")))
+
+
+def _anchors(chunk: Chunk, begin: int, end: int) -> Anchors:
+    """Anchors of the windows that start in ``begin`` … ``end - 1``."""
+    n = end - begin
+    g = _gram_hashes(chunk.data[begin : end + LENGTH - 1])
     m = _sliding_min(g, SPAN)  # of the window at each byte; those that cross documents are left out below
-    valid = np.zeros(n + 1, np.int8)
-    lengths = chunk.ends - chunk.starts
-    long = lengths >= LENGTH
-    np.add.at(valid, chunk.starts[long], 1)
-    np.add.at(valid, chunk.ends[long] - LENGTH + 1, -1)
-    valid = np.cumsum(valid[:n], dtype=np.int8) > 0
+    low, high = np.searchsorted(chunk.ends, begin, side="right"), np.searchsorted(chunk.starts, end)
+    starts, ends = np.maximum(chunk.starts[low:high], begin), np.minimum(chunk.ends[low:high] - LENGTH + 1, end)
+    holds = ends > starts
+    starts, ends = starts[holds] - begin, ends[holds] - begin
+    change = np.zeros(n + 1, np.int32)
+    np.add.at(change, starts, 1)
+    np.add.at(change, ends, -1)
     # A window has another anchor than the one before it if the minimum changes or its place has just been left.
-    event = np.ones(n, bool)
-    event[1:] = (m[1:n] != m[: n - 1]) | (g[: n - 1] == m[: n - 1]) | ~valid[:-1]
-    opens = np.zeros(n, bool)
-    opens[chunk.starts[long]] = True
-    first = np.flatnonzero(valid & (event | opens))
-    if not len(first):
-        return Anchors(none, none.astype(np.uint64), none, none, none)
+    opens = np.ones(n, bool)
+    opens[1:] = (m[1:] != m[:-1]) | (g[: n - 1] == m[:-1])
+    opens[starts] = True
+    first = np.flatnonzero(opens & (np.cumsum(change[:n]) > 0))
     at = np.empty(len(first), np.int64)
     span = np.arange(SPAN)
-    for k in range(0, len(first), 1 << 15):
-        part = first[k : k + (1 << 15)]
-        at[k : k + (1 << 15)] = part + (g[part[:, None] + span] == m[part, None]).argmax(axis=1)
-    doc = np.searchsorted(chunk.ends, first, side="right")
-    last = np.minimum(np.append(first[1:] - 1, n - 1), chunk.ends[doc] - LENGTH)
-    return Anchors(at, g[at], first, last, doc)
+    for k in range(0, len(first), 1 << 13):
+        part = first[k : k + (1 << 13)]
+        at[k : k + (1 << 13)] = part + (g[part[:, None] + span] == m[part, None]).argmax(axis=1)
+    doc = np.searchsorted(chunk.ends, first + begin, side="right")
+    last = np.minimum(np.append(first[1:] - 1, n - 1) + begin, chunk.ends[doc] - LENGTH)
+    # Anchors have small hashes; mixed again they are even, as dealing them out by ranges needs.
+    return Anchors(at + begin, mixed(g[at]), first + begin, last, doc)
 
 
 def _ranges(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -213,7 +221,8 @@ def gram_hashes(chunks: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
                 own = np.unique(anchors(Chunk.of(row)).hash)
                 cut = np.searchsorted(_ranges(own, ranges), np.arange(ranges + 1))
                 rows = [
@@ -246,13 +255,14 @@ def records(chunk: Chunk, at: np.ndarray, first: np.ndarray, last: np.ndarray, h
     out = np.zeros((len(at), WIDTH), np.uint8)
     out[:, :_HASH] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     right, left = last + LENGTH - at, at - first
+    out[:, _AT_RL], out[:, _AT_LL] = right, left
     padded = np.concatenate([np.zeros(_LEFT, np.uint8), chunk.data, np.zeros(_RIGHT, np.uint8)])
-    step = np.arange(_RIGHT)
-    out[:, _HASH:_AT_RL] = padded[(at + _LEFT)[:, None] + step] * (step < right[:, None])
-    out[:, _AT_RL] = right
-    back = np.arange(1, _LEFT + 1)
-    out[:, _AT_LEFT:_AT_LL] = padded[(at + _LEFT)[:, None] - back] * (back <= left[:, None])
-    out[:, _AT_LL] = left
+    step, back = np.arange(_RIGHT), np.arange(1, _LEFT + 1)
+    for k in range(0, len(at), 1 << 13):
+        s = slice(k, k + (1 << 13))
+        place = (at[s] + _LEFT)[:, None]
+        out[s, _HASH:_AT_RL] = padded[place + step] * (step < right[s, None])
+        out[s, _AT_LEFT:_AT_LL] = padded[place - back] * (back <= left[s, None])
     return out
 
 
@@ -327,14 +337,14 @@ def _local_runs(chunk: Chunk, seen: list[tuple[int, bytes]], ranges: int) -> lis
                 r = slice(cut[p], cut[p + 1])
                 own = shared[r].copy()
                 own[0] = 0
-                rest = keys[r][np.arange(WIDTH) >= own[:, None]]
+                rest = keys[r][np.arange(WIDTH) >= own[:, None]].tobytes()
                 doc_id = np.where(chunk.nulls[d[r]], _NULL_ID, chunk.doc_ids[d[r]])
                 rows.append(
                     {
                         "part": p,
                         "chunk": chunk.id,
                         "shared": own.tobytes(),
-                        "rest": rest.tobytes(),
+                        "rest": pa.compress(rest, "zstd", asbytes=True),
                         "doc": d[r].astype(np.int32).tobytes(),
                         "doc_id": doc_id.tobytes(),
                         "start": (f[r] - base[d[r]]).tobytes(),
@@ -372,7 +382,9 @@ class Run:
     """A front-coded run, read record by record."""
 
     def __init__(self, row: dict) -> None:
-        self.shared, self.rest = row["shared"], row["rest"]
+        self.shared = row["shared"]
+        size = WIDTH * len(self.shared) - sum(self.shared)
+        self.rest = pa.decompress(row["rest"], size, "zstd", asbytes=True)
         self.key = b""
         self.at = -1
         self.byte = 0
@@ -471,22 +483,41 @@ def repeats(rows: list[dict]) -> Iterator[tuple[int, int, int, int]]:
         yield from _windows(group)
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Bytes that two strings of equal length share from the start."""
+    return len(a) - ((int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_length() + 7) // 8
+
+
 def _windows(group: list[tuple[bytes, int, tuple]]) -> Iterator[tuple[int, int, int, int]]:
-    """Equal windows of different records of a gram. A window with d bytes before the anchor can only occur again if the
-    LENGTH - d bytes behind it do, that is, if a neighbour shares so much."""
-    earliest: dict[tuple[int, bytes, bytes], tuple] = {}
-    found = []
-    for i, (key, shared, (doc_id, chunk, doc, start, _)) in enumerate(group):
+    """Equal windows of different records of a gram.
+
+    A window with d bytes before the anchor can only occur again if some other record shares these d bytes, and some
+    other the LENGTH - d bytes from the anchor on. The longest that a record shares with any other is what it shares
+    with a neighbour: in the order of the suffixes, known from the merge, and in the order of the contexts before.
+    """
+    lefts = [key[_AT_LEFT:_AT_LL] for key, _, _ in group]
+    order = sorted(range(len(group)), key=lefts.__getitem__)
+    before = [0] * len(group)
+    for a, b in zip(order, order[1:], strict=False):
+        n = _common(lefts[a], lefts[b])
+        before[a], before[b] = max(before[a], n), n
+    spans = []
+    for i, (key, shared, _) in enumerate(group):
         after = group[i + 1][1] if i + 1 < len(group) else 0
         reach = min(_RIGHT, max(shared if i else 0, after) - _HASH)
-        left = key[_AT_LL]
-        for before in range(max(LENGTH - key[_AT_RL], LENGTH - reach), left + 1):
-            window = (before, key[_AT_LEFT : _AT_LEFT + before], key[_HASH : _HASH + LENGTH - before])
-            at = (doc_id, chunk, doc, start + left - before)
-            found.append((window, at))
-            if window not in earliest or at < earliest[window]:
-                earliest[window] = at
-    for window, at in found:
+        spans.append(range(LENGTH - min(key[_AT_RL], reach), min(key[_AT_LL], before[i]) + 1))
+
+    def each() -> Iterator[tuple[tuple[int, bytes, bytes], tuple]]:
+        for (key, _, (doc_id, chunk, doc, start, _)), span in zip(group, spans, strict=True):
+            for d in span:
+                window = (d, key[_AT_LEFT : _AT_LEFT + d], key[_HASH : _HASH + LENGTH - d])
+                yield window, (doc_id, chunk, doc, start + key[_AT_LL] - d)
+
+    earliest: dict[tuple[int, bytes, bytes], tuple] = {}
+    for window, at in each():
+        if window not in earliest or at < earliest[window]:
+            earliest[window] = at
+    for window, at in each():
         if earliest[window] != at:
             yield at[1], at[2], at[3], at[3] + LENGTH
 
