@@ -44,7 +44,9 @@ from plumbline.llm.text_bytes import blocks, mixed
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
-#: Text bytes of a chunk, records sorted at once, and text bytes for each range of hashes. They bound memory only.
+#: Text bytes of a chunk (more in large tables, where every chunk sends to more ranges), records sorted at once, and text
+#: bytes for each range of hashes and each bucket. They bound memory only.
+MOST_CHUNK_BYTES, CHUNKS = 8 << 20, 2_000
 CHUNK_BYTES, SLICE, RANGE_BYTES, BUCKET_BYTES = 1 << 20, 50_000, 16 << 20, 64 << 20
 #: Window starts that are hashed at once.
 STEP = 1 << 19
@@ -62,7 +64,7 @@ _WORD = (1 << 64) - 1
 _CHUNK_TYPE = "chunk long, doc_ids binary, nulls binary, ends binary, data binary"
 
 
-def gather(docs: DataFrame) -> DataFrame:
+def gather(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """Documents in chunks: ids, null flags, ends (bytes) and joined texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,12 +86,12 @@ def gather(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            for block in blocks(batch.column("text"), CHUNK_BYTES):
+            for block in blocks(batch.column("text"), chunk_bytes):
                 ids += keys[block.first : block.first + block.size]
                 ends.append(block.ends + size)
                 parts.append(block.data.tobytes())
                 size += len(block.data)
-                if size >= CHUNK_BYTES:
+                if size >= chunk_bytes:
                     yield closed()
                     number, ids, ends, parts, size = number + 1, [], [], [], 0
         if ids:
@@ -603,7 +605,8 @@ def remove_repeats(docs: DataFrame, keep: bool = True, hot_chunks: int = HOT_CHU
     # Not fewer than other shuffles have, or Spark would deal the table out again.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
     ranges = size // RANGE_BYTES + 1
-    chunks = bucketed(gather(docs), buckets)
+    chunk_bytes = min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, size // CHUNKS))
+    chunks = bucketed(gather(docs, chunk_bytes), buckets)
     seen = shared_grams(gram_hashes(chunks, ranges), hot_chunks)
     gone = merged_repeats(sorted_runs(chunks, seen, ranges))
 
