@@ -2,7 +2,8 @@
 
 Each stage gets what its predecessor kept, reread from Parquet, and its decisions take effect: documents of low quality
 go, one document of each near-duplicate group stays, documents that hold benchmark items go, secrets are replaced in the
-texts, and the rest is packed into token sequences. All stages but the last return the columns they were given.
+texts, and the rest is packed into token sequences. All stages but the last return the columns they were given; the
+last stores the sequences with their ids and returns what it reads from them.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.digest(packing.written(docs))
 
 
 STAGES = [

@@ -3,8 +3,10 @@
 Per bin, the longest open length is taken and a bitset subset-sum program over the open lengths finds the fullest
 combination that goes with it; that combination is removed. Whatever the corpus, there are at most ``capacity``
 different lengths, so the search runs over the histogram of lengths, and a combination is removed as often as its
-lengths allow. Spark counts the histogram, numbers the pieces of each length and looks up their places; only the
-histogram (``capacity`` rows at most) and the plan reach the driver.
+lengths allow. Spark counts the histogram, numbers the pieces of each length, looks up their places and brings the ids
+of each sequence together; only the histogram (``capacity`` rows at most) and the plan reach the driver.
+
+The result is the table of sequences with their ids. What is reported of a piece is read from it.
 
 Only documents longer than the capacity are cut, into pieces of ``capacity`` tokens and a last shorter one.
 
@@ -21,6 +23,8 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,23 +34,25 @@ from plumbline.llm.tokens import default_path, encoder
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces that make up a group of numbers, about, and the least number of groups.
-GROUP_ROWS, LEAST_GROUPS = 100_000, 64
 PLAN_TYPE = [("length", np.int64), ("rank", np.int64), ("times", np.int64), ("sequence", np.int64), ("offset", np.int64)]
 
 
 def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """The pieces of all documents: doc_id, piece, start, length, ids_crc32, and with ``keep_ids`` their ids."""
+    """The pieces of all documents: doc_id, piece, start, length, the number of the task that cut them, ``within`` (the
+    piece's number among those of its length in that task), and ids_crc32, or with ``keep_ids`` their ids instead: in
+    two bytes each if all ids of the tokenizer fit, otherwise in four."""
     path = path or default_path()
-    kinds = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}
-    fields = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    if keep_ids:
-        kinds["ids"] = "binary"
-        fields.append(pa.binary())
+    kinds = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "task": "int", "within": "long"}
+    kinds |= {"ids": "binary"} if keep_ids else {"ids_crc32": "long"}
+    fields = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    fields.append(pa.binary() if keep_ids else pa.int64())
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
+        narrow = keep_ids and max(encoder(path).library.get_vocab().values(), default=0) < 1 << 16
+        task = TaskContext.get().partitionId()
+        numbers = [0] * (capacity + 1)
         for batch in batches:
             texts = batch.column("text")
             for at in range(0, batch.num_rows, 256):
@@ -57,8 +63,12 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep
                     ids = encode(text or "") + end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start : start + 4 * capacity]
-                        row = (key, piece, start // 4, len(part) // 4, zlib.crc32(part))
-                        out.append((*row, part) if keep_ids else row)
+                        length = len(part) // 4
+                        if narrow:
+                            part = np.frombuffer(part, "<u4").astype("<u2").tobytes()
+                        value = part if keep_ids else zlib.crc32(part)
+                        out.append((key, piece, start // 4, length, task, numbers[length], value))
+                        numbers[length] += 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f) for c, f in zip(zip(*out, strict=True), fields, strict=True)], names=list(kinds)
                 )
@@ -125,23 +135,20 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(rows), dtype=PLAN_TYPE)
 
 
-def numbered(pieces: DataFrame, total: int) -> DataFrame:
-    """Adds ``rank``, the number of a piece among those of its length, from 0.
+def numbered(pieces: DataFrame) -> DataFrame:
+    """Adds ``rank``, the number of a piece among those of its length, from 0, to stored pieces.
 
-    Pieces of a length are spread over groups by a hash of their document, so that a length which a third of all rows
-    have is numbered by many tasks; the groups' sizes give where each starts.
+    Each task that cut pieces has numbered its own; the counts by length and task, ``capacity`` rows a task at most,
+    give where each task starts. They are stored so that Spark knows their size when it plans the join: while they are
+    small, no ids are shuffled here.
     """
-    groups = max(LEAST_GROUPS, -(-total // GROUP_ROWS))
-    spread = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    sizes = spread.groupBy("length", "group").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("length").orderBy("group").rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select("length", "group", F.coalesce(before, F.lit(0)).alias("first"))
-    within = F.row_number().over(W.partitionBy("length", "group").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = spread.withColumn("within", within)
+    sizes = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1))
+    starts = stored(sizes.select("length", "task", F.coalesce(before, F.lit(0)).alias("first")), "piece-numbers")
     return (
-        ranked.join(starts, ["length", "group"])
-        .withColumn("rank", F.col("first") + F.col("within") - 1)
-        .drop("group", "first", "within")
+        pieces.join(starts, ["length", "task"])
+        .withColumn("rank", F.col("first") + F.col("within"))
+        .drop("task", "first", "within")
     )
 
 
@@ -168,25 +175,88 @@ def place(ranked: DataFrame, places: np.ndarray) -> DataFrame:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """All pieces with their places: doc_id, piece, start, length, ids_crc32, [ids], sequence_id, offset."""
+    """All pieces with their places: doc_id, piece, start, length, ids_crc32 (or ids), sequence_id, offset."""
     pieces = stored(cut(docs, capacity, path, keep_ids), "pieces")
     # At most one row for each length up to the capacity.
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = plan(histogram, capacity)
-    return place(numbered(pieces, sum(histogram.values())), places)
+    return place(numbered(pieces), places)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """One row for each sequence: its documents, pieces, offsets and joined ids (``pack`` with ``keep_ids``).
+    """One row for each sequence: its documents, pieces, starts, offsets, lengths and joined ids in four bytes each
+    (``pack`` with ``keep_ids``).
 
-    A group holds ``capacity`` tokens at most.
+    One shuffle brings the ids of a sequence together. Its rows are sorted by offset, so their bytes already lie one
+    behind the other; a task holds one batch and one unfinished sequence, which has ``capacity`` tokens at most.
     """
-    parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids")))
-    gathered = packed.groupBy("sequence_id").agg(parts.alias("parts"))
-    return gathered.select(
+    lists = {"doc_id": "long", "piece": "int", "start": "long", "offset": "long", "length": "long"}
+
+    def joined(rows: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(np.append(first, rows.num_rows).astype(np.int32))
+        ids = rows.column("ids").cast(pa.large_binary())
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        cuts = ends[np.append(first, rows.num_rows)] - ends[0]
+        data = np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        if len(data) < 4 * pc.sum(rows.column("length")).as_py():
+            data, cuts = data.view("<u2").astype("<u4"), 2 * cuts
+        values = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays(
+            [
+                rows.column("sequence_id").take(pa.array(first)),
+                *(pa.ListArray.from_arrays(at, rows.column(c)) for c in lists),
+                values.cast(pa.binary()),
+            ],
+            names=["sequence_id", *(f"{c}s" for c in lists), "ids"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+                key = rows.column("sequence_id").to_numpy()
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                last = int(first[-1])
+                if last:
+                    yield joined(rows.slice(0, last), first[:-1])
+                # A copy, so that the batch is not held with it.
+                held = [rows.take(pa.array(np.arange(last, rows.num_rows)))]
+        if held:
+            yield joined(held[0], np.zeros(1, np.int64))
+
+    ordered = (
+        packed.select("sequence_id", *lists, "ids")
+        .repartition("sequence_id")
+        .sortWithinPartitions("sequence_id", "offset")
+    )
+    kinds = ", ".join(f"{c}s array<{kind}>" for c, kind in lists.items())
+    return ordered.mapInArrow(run, f"sequence_id long, {kinds}, ids binary")
+
+
+def written(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+    """The sequences of all documents, stored in a new folder ``sequences-…`` in the shared place."""
+    return stored(sequences(pack(docs, capacity, path, keep_ids=True)), "sequences", "zstd")
+
+
+def digest(packed: DataFrame) -> DataFrame:
+    """What the bytes of stored sequences hold at the place of each piece."""
+    names = ("doc_id", "piece", "start", "offset", "length")
+    parts = packed.select(
+        "sequence_id", "ids", F.explode(F.arrays_zip(*(F.col(f"{c}s").alias(c) for c in names))).alias("p")
+    ).select(
+        "sequence_id",
+        *(f"p.{c}" for c in names),
+        F.expr("substring(ids, cast(4 * p.offset + 1 as int), cast(4 * p.length as int))").alias("ids"),
+    )
+    return parts.select(
+        "doc_id",
+        "piece",
+        "start",
+        F.expr("cast(length(ids) div 4 as bigint)").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
         "sequence_id",
-        *(F.col(f"parts.{c}").alias(f"{c}s") for c in ("doc_id", "piece", "offset", "length")),
-        F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["ids"])).alias("ids"),
+        "offset",
     )
 
 

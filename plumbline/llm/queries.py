@@ -39,7 +39,7 @@ def op3_decontamination(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
-    return packing.pack(documents(spark, root))
+    return packing.digest(packing.written(documents(spark, root)))
 
 
 def op5_chat_format(spark: SparkSession, root: str) -> DataFrame:

@@ -32,11 +32,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
+def stored(frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The frame written as Parquet to the shared folder and read again: later steps never repeat the work before."""
     spark = frame.sparkSession
     path = scratch(spark, name)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -5,10 +5,12 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from llm_data import ODD_TEXTS, documents  # noqa: F401
+from llm_data import DATA, ODD_TEXTS, documents  # noqa: F401
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from plumbline.llm import packing as p
+from plumbline.llm import queries
 from plumbline.llm.tokens import WordEncoder, default_path
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -113,5 +115,43 @@ def test_sequences_hold_the_ids(documents):
     assert seen == sum(-(-(len(ids_of(t)) + 1) // 32) for _, t in texts)
 
 
+def test_query_reads_stored_sequences(documents):
+    """The digest follows the stored bytes: other bytes in their place give other checksums."""
+    texts = ODD_TEXTS + [(100 + k, "word " * (k % 90)) for k in range(200)]
+    table = p.written(documents(texts), 64)
+    check(p.digest(table).collect(), texts, 64)
+    other = table.withColumn("ids", p.F.expr("cast(repeat('x', length(ids)) as binary)"))
+    assert all(r["ids_crc32"] == zlib.crc32(b"x" * 4 * r["length"]) for r in p.digest(other).collect())
+    total = sum(len(r["ids"]) for r in table.collect())
+    assert total == 4 * sum(len(ids_of(t)) + 1 for _, t in texts)
+
+
+def test_query_and_pipeline_keep_the_ids(spark, monkeypatch):
+    """Both store a table of sequences that holds every token, each sequence once."""
+    kept = []
+    monkeypatch.setattr(p, "stored", lambda *a, real=p.stored: kept.append((a[1], real(*a))) or kept[-1][1])
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for rows in (queries.op4_best_fit_packing(spark, DATA), corpus_pipeline.packing_stage(spark, docs, DATA)):
+        pieces = rows.collect()
+        table = [f for name, f in kept if name == "sequences"][-1].collect()
+        held = {r["sequence_id"]: r["ids"] for r in table}
+        assert len(held) == len(table)
+        assert sum(map(len, held.values())) == 4 * sum(r["length"] for r in pieces)
+        for r in pieces:
+            part = held[r["sequence_id"]][4 * r["offset"] :][: 4 * r["length"]]
+            assert zlib.crc32(part) == r["ids_crc32"]
+
+
+def test_sequences_across_batches(documents, spark):
+    """Sequences that a batch's end cuts come out whole."""
+    texts = [(k, "word " * (k % 40)) for k in range(300)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        check(p.digest(p.sequences(p.pack(documents(texts), 64, keep_ids=True))).collect(), texts, 64)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_empty_table(documents):
     assert p.pack(documents([(1, "a")]).where("false")).collect() == []
