@@ -76,6 +76,40 @@ def test_entropy_spans_and_allow_list(documents):
     assert spans[5].startswith("entropy_hex:0:")
 
 
+def test_allow_list_spares_only_what_it_names(documents):
+    rnd = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "".join(rnd.choice(letters) for _ in range(40))
+    blob = "".join(rnd.choice(letters + "+/") for _ in range(400))
+    blob = blob[:200] + "AAAAAAAA" + blob[208:]
+    long = "".join(rnd.choice(letters) for _ in range(400))
+    long = long[:200] + "sample" + long[206:]
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = [(1, f"in docs/sample/{key} it"), (2, blob), (3, long), (4, alphabet)]
+    found = {r["doc_id"]: r["spans"] for r in s.find_secrets(documents(rows)).collect()}
+    text = dict(rows)
+    covered = {i: {k for x in found[i] for k in range(x["start"], x["end"])} for i in text}
+    at = text[1].index(key)
+    assert covered[1] >= set(range(at, at + 40)) and min(covered[1]) > text[1].index("sample")
+    for i in (2, 3):
+        assert len(covered[i]) > 390
+    assert not found[4]
+
+
+def test_base32_and_lower_case_keys(documents):
+    rnd = random.Random(6)
+    for kind, letters in (
+        ("entropy_base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+        ("entropy_lower", "abcdefghijklmnopqrstuvwxyz0123456789"),
+    ):
+        rows = [(k, "x " + "".join(rnd.choice(letters) for _ in range(32)) + " y") for k in range(200)]
+        found = s.find_secrets(documents(rows)).collect()
+        assert sum(any(x["kind"] == kind for x in r["spans"]) for r in found) >= 195
+    names = ["averylongnameofafunction2inamodule", "INTERNATIONALIZATIONANDLOCALIZATION", "zzzz1yyyy2" * 4]
+    found = s.find_secrets(documents(list(enumerate(names)))).collect()
+    assert not any(r["spans"] for r in found)
+
+
 def test_redaction_keeps_rows_and_columns(documents):
     rows = [*ODD_TEXTS, (20, f"x {KEY} y token = {HEX}. z"), (21, f"{HEX}{HEX} {RANDOM}")]
     docs = documents(rows)
