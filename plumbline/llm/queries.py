@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import (
     chat_format,
+    collocations,
     decontaminate,
     language_id,
     packing,
@@ -68,6 +69,10 @@ def op10_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, root), keep=False))
 
 
+def op11_collocations(spark: SparkSession, root: str) -> DataFrame:
+    return collocations.collocations(documents(spark, root))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -81,6 +86,10 @@ QUERIES: dict[str, Query] = {
         op8_token_blocks,
         op9_quality_rules,
         op10_suffix_dedup,
+        op11_collocations,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_rules.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": quality_rules.oracle_sql(),
+    "op11_collocations": collocations.oracle_sql(),
+}

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: White space that separates words, as characters and as a class of a regular expression.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
+#: For ``translate``, where only these letters change their case.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
