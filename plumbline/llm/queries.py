@@ -12,10 +12,12 @@ from plumbline.llm import (
     decontaminate,
     language_id,
     packing,
+    personal_data,
     quality_classifier,
     quality_rules,
     secret_scan,
     simhash_dedup,
+    spelling,
     suffix_dedup,
     token_blocks,
 )
@@ -73,6 +75,14 @@ def op11_collocations(spark: SparkSession, root: str) -> DataFrame:
     return collocations.collocations(documents(spark, root))
 
 
+def op12_spelling_variants(spark: SparkSession, root: str) -> DataFrame:
+    return spelling.variants(documents(spark, root))
+
+
+def op13_personal_data(spark: SparkSession, root: str) -> DataFrame:
+    return personal_data.digest(personal_data.find_personal_data(documents(spark, root)))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -87,6 +97,8 @@ QUERIES: dict[str, Query] = {
         op9_quality_rules,
         op10_suffix_dedup,
         op11_collocations,
+        op12_spelling_variants,
+        op13_personal_data,
     )
 }
 ORACLE_SQL: dict[str, str] = {

@@ -1,0 +1,135 @@
+import random
+import re
+import zlib
+from collections import Counter
+
+from llm_data import ODD_TEXTS, documents  # noqa: F401
+from pyspark.sql import functions as F
+
+from plumbline.llm import spelling as s
+
+
+def near(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def counts(rows, least_length, least, spoiled):
+    n = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = re.sub("[A-Z]+", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{word}".encode())
+            if h % spoiled == 0:
+                k = h % len(word)
+                word = word[:k] + word[k + 1 :]
+            n[word] += 1
+    return {w: k for w, k in n.items() if len(w) >= least_length and k >= least}
+
+
+def plain(rows, least_length=s.LEAST_LENGTH, least=s.LEAST_COUNT, spoiled=s.SPOILED):
+    n = counts(rows, least_length, least, spoiled)
+    around = {w: [x for x in n if near(w, x)] for w in n}
+    form = {}
+    for w, found in around.items():
+        best = min(found, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return sorted(((w, form[w], root(w), n[w], len(around[w]), form[w] and n[form[w]]) for w in n), key=str)
+
+
+def got(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=str)
+
+
+def test_against_all_pairs_on_dense_words(documents):
+    rnd = random.Random(1)
+    rows = []
+    for i in range(15):
+        words = ["".join(rnd.choice("aBcé") for _ in range(rnd.randrange(1, 8))) for _ in range(150)]
+        rows.append((i if i % 9 else None, rnd.choice([" ", "1", "-"]).join(words)))
+    assert got(s.variants(documents(rows), 3, 1, 5)) == plain(rows, 3, 1, 5)
+
+
+def test_against_all_pairs_on_long_stems(documents, spark):
+    """Words of many lengths with common beginnings, in as many ranges as there are partitions."""
+    rnd = random.Random(2)
+    stems = ["".join(rnd.choice("abxyzÿ") for _ in range(rnd.randrange(8, 90))) for _ in range(12)]
+    words = set()
+    for stem in stems:
+        for _ in range(20):
+            w = list(stem[: rnd.choice([5, 6, 9, len(stem) // 2, len(stem)])])
+            for _ in range(rnd.randrange(0, 3)):
+                k = rnd.randrange(len(w))
+                w[k : k + rnd.randrange(2)] = rnd.choice(["", "a", "b", "ab"])
+            words.add("".join(w))
+    rows = [(i, f"{w} " * rnd.randrange(3, 9)) for i, w in enumerate(sorted(words))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        assert got(s.variants(documents(rows))) == plain(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_very_long_words_take_few_levels(documents):
+    rnd = random.Random(3)
+    word = "".join(rnd.choice("abcdefghij") for _ in range(20_000))
+    texts = [word, word[:-1], word[:9_000] + word[9_001:], word + "x", "x" + word]
+    rows = [(k, f"{t} " * 3) for k, t in enumerate(texts)]
+    found = {r["word"]: r for r in s.variants(documents(rows), spoiled=10**9).collect()}
+    assert {len(w) for w in found} == {len(t) for t in texts}
+    assert found[word]["n_near"] == 4 and all(found[t]["n_near"] == 1 for t in texts[1:])
+
+
+def test_forms_lead_to_a_root(documents):
+    rows = [(1, "colour " * 40 + "colous " * 20 + "colos " * 10 + "colo " * 9 + "xcolos " * 4)]
+    found = {r["word"]: tuple(r) for r in s.variants(documents(rows), 4, spoiled=10**9).collect()}
+    assert found["colos"] == ("colos", "colous", "colour", 10, 3, 20)
+    assert found["xcolos"] == ("xcolos", "colos", "colour", 4, 1, 10)
+    assert found["colo"] == ("colo", None, "colo", 9, 1, None)
+    assert found["colour"][1:3] == (None, "colour")
+
+
+def test_ties_take_the_smaller_form(documents):
+    rows = [(1, "maison " * 3 + "maisan " * 9 + "maisen " * 9 + "maisàn " * 9)]
+    found = {r["word"]: r["form"] for r in s.variants(documents(rows), spoiled=10**9).collect()}
+    assert found["maison"] == "maisan"
+
+
+def test_trie_has_each_word_once(spark):
+    words = ["tea", "team", "teams", "ten", "to", "zebra", "ÿa"]
+    edges = s.trie(spark.createDataFrame([(w,) for w in words], "word string").repartition(3)).collect()
+    by_node = {}
+    for e in edges:
+        by_node.setdefault(e["node"], []).append(e)
+    assert all(len({e["label"][0] for e in v}) == len(v) for v in by_node.values())
+
+    def walk(node, prefix):
+        for e in by_node.get(node, []):
+            assert e["child"] == s.node_of(prefix + e["label"]) and e["depth"] == len(prefix)
+            if e["ends"] & 1:
+                yield prefix + e["label"]
+            yield from walk(e["child"], prefix + e["label"])
+
+    assert sorted(walk(s.node_of(""), "")) == sorted(words)
+    assert len({e["child"] for e in edges}) == len(edges)
+
+
+def test_hashes_and_bits_agree_with_spark(spark):
+    rows = spark.createDataFrame([(w,) for w in ("", "a", "é", "ÿz", "abc" * 50)], "w string")
+    for r in rows.select("w", F.xxhash64("w").alias("h"), F.ascii("w").alias("a")).collect():
+        assert r["h"] == s.node_of(r["w"]) and r["a"] == (ord(r["w"][0]) if r["w"] else 0)
+
+
+def test_odd_texts_and_empty_table(documents):
+    assert got(s.variants(documents(ODD_TEXTS))) == plain(ODD_TEXTS)
+    assert s.variants(documents([(1, "abcdef abcdef abcdef")]).where("false")).collect() == []
