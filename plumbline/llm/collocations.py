@@ -1,68 +1,213 @@
 """Phrase collocations per language, by top-order marginalisation.
 
 Only the longest windows are counted: each word with the words that follow it in its piece, as lead columns that are
-null past the piece's end. Counts of shorter phrases are sums over these windows, as a phrase starts as many windows as
-it has occurrences; ROLLUP over the leading columns adds them up prefix by prefix. No shorter n-gram is ever listed.
+padded past the piece's end. A task counts the windows of a block of texts at once and sends each distinct one with its
+count, packed by the hash of its first two words. What starts alike therefore meets in one task: windows are summed
+there, those too rare to matter give up their last words, and ROLLUP over the leading columns adds all up prefix by
+prefix, as a phrase starts as many windows as it has occurrences. No shorter n-gram is ever listed.
 
 A phrase's score is the least, over its cuts in two, of ``scale * a * a / (l * r)`` (a: its count, l and r: those of the
 parts), in exact decimals. A phrase that lies inside a longer candidate which holds half of its occurrences is dropped.
 
 Nulls and edge cases: a null or empty text has no words; a null language is ``und``, together with rows that say
-``und``; repeated rows all count; an empty table gives an empty result; doc_id and other columns are not read. A text
-of any length is cut into pieces and words inside one task, as two arrays.
+``und``; repeated rows all count; an empty table gives an empty result; doc_id and other columns are not read. Texts
+longer than a block are counted in parts.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import LOWER, UPPER, columns, stored
+from plumbline.llm.text_bytes import Block, blocks, mixed
 
-PIECE_ENDS, WORD_ENDS = "[.,;:!?\\x0A-\\x0D]", "[\\x20\\x09]+"
+PIECE_ENDS, WORD_ENDS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 UNKNOWN = "und"
 MOST_WORDS, LEAST_COUNT, TOP = 3, 10, 2000
 SCALE = 1_000_000
 #: A longer candidate with this share of a phrase's occurrences, in hundredths, replaces it.
 COVERED = 50
+#: Bytes of text whose windows are counted together.
+BLOCK_BYTES = 4 << 20
+#: Windows meet by a hash of their first two words; a task sends one row for each value of it, language and block.
+BUCKETS = 1 << 14
 
+_PACKED = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("windows", pa.string()), ("n", pa.list_(pa.int32()))])
 
-def top_windows(docs: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
-    """lang, w0, w1, ...: each word with those that follow it in its piece, null past the end."""
-    rows = columns(docs, lang="string", text="string")
-    pieces = rows.select(
-        F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"),
-        F.explode(F.split(F.translate("text", UPPER, LOWER), PIECE_ENDS)).alias("piece"),
+
+def _byte_set(members: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(members)] = True
+    return table
+
+
+_BREAKS = _byte_set(PIECE_ENDS)
+_INSIDE = ~_byte_set(PIECE_ENDS + WORD_ENDS)
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[list(UPPER.encode())] += 32
+
+
+def _parts(text: pa.Scalar, most_words: int, size: int) -> Iterator[tuple[str, int]]:
+    """A long text cut behind spaces, each part followed by the words that its last windows reach into; with the bytes
+    of the part itself."""
+    data = np.frombuffer(text.as_buffer(), np.uint8)
+    ends = np.flatnonzero(~_INSIDE[data])
+    at = 0
+    while at < len(data):
+        k = int(np.searchsorted(ends, at + size))
+        till = int(ends[k]) + 1 if k < len(ends) else len(data)
+        # The following words end at separators behind which the next byte is inside again.
+        reach = till
+        for _ in range(most_words - 1):
+            rest = data[reach:]
+            begin = int(np.argmax(_INSIDE[rest])) if len(rest) else 0
+            k = int(np.searchsorted(ends, reach + begin + 1))
+            reach = int(ends[k]) + 1 if k < len(ends) else len(data)
+        yield data[at:reach].tobytes().decode(), till - at
+        at = till
+
+
+def _words(block: Block, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of inside bytes start and end; texts don't join."""
+    before, after = np.append(False, inside[:-1]), np.append(inside[1:], False)
+    filled = block.ends > block.starts
+    before[block.starts[filled]] = False
+    after[block.ends[filled] - 1] = False
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+def counted_windows(langs: pa.Array, texts: pa.Array, most_words: int, limits: list[int] | None = None) -> pa.RecordBatch:
+    """The distinct windows of texts with their counts, packed by bucket and language.
+
+    ``windows`` has those of a row in order, with tabs between; a window shorter than ``most_words`` has met the end of
+    its piece. Windows that start at ``limits`` (bytes of each text) or later don't count.
+    """
+    (block,) = blocks(texts, 1 << 62)
+    block.data = _LOWERED[block.data]
+    inside = _INSIDE[block.data]
+    starts, word_ends = _words(block, inside)
+    if not len(starts):
+        return pa.RecordBatch.from_pylist([], schema=_PACKED)
+    owner = np.searchsorted(block.ends, starts, side="right")
+    ends = np.append(0, np.cumsum(word_ends - starts))
+    text = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(block.data[inside])])
+    coded = text.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    listed = coded.dictionary.take(order)
+    # Codes in the order of the words, from 1; 0 is padding.
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(1, len(order) + 1)
+    code = rank[coded.indices.to_numpy()]
+
+    piece = np.searchsorted(np.flatnonzero(_BREAKS[block.data]), starts)
+    joined = np.append((piece[1:] == piece[:-1]) & (owner[1:] == owner[:-1]), False)
+    languages = langs.dictionary_encode()
+    lang = languages.indices.to_numpy()[owner].astype(np.int64)
+    leads, open_ = [code], np.ones(len(code), bool)
+    for _ in range(1, most_words):
+        open_ = open_ & joined
+        leads.append(np.where(open_, np.append(leads[-1][1:], 0), 0))
+        joined = np.append(joined[1:], False)
+    if limits is not None:
+        own = starts - block.starts[owner] < np.array(limits)[owner]
+        lang, leads = lang[own], [c[own] for c in leads]
+        if not len(lang):
+            return pa.RecordBatch.from_pylist([], schema=_PACKED)
+
+    # One number for each window, in order; renumbered before it outgrows 64 bits.
+    size = len(listed) + 1
+    key, top = lang, len(languages.dictionary)
+    for lead in leads:
+        if top * size >= 1 << 62:
+            _, key = np.unique(key, return_inverse=True)
+            top = int(key.max()) + 1
+        key, top = key * size + lead, top * size
+    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    lang, leads = lang[first], [c[first] for c in leads]
+
+    hashes = np.append(np.uint64(0), word_hashes(listed))
+    bucket = (mixed(hashes[leads[0]] * np.uint64(3) + hashes[leads[min(1, most_words - 1)]]) % np.uint64(BUCKETS)).astype(np.int64)
+    row = bucket * len(languages.dictionary) + lang
+    at = np.argsort(row, kind="stable")
+    row, lang, n, leads = row[at], lang[at], n[at], [c[at] for c in leads]
+    padded = pa.concat_arrays([pa.nulls(1, listed.type), listed])
+    parts = [padded.take(pa.array(c)) for c in leads]
+    windows = pc.binary_join_element_wise(*parts, pa.scalar(" ", listed.type), null_handling="skip")
+    begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    offsets = pa.array(np.append(begin, len(row)).astype(np.int64))
+    together = pc.binary_join(pa.LargeListArray.from_arrays(offsets, windows), pa.scalar("\t", listed.type))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array((row[begin] // len(languages.dictionary)).astype(np.int32)),
+            languages.dictionary.take(pa.array(lang[begin])),
+            together.cast(pa.string()),
+            pa.ListArray.from_arrays(offsets.cast(pa.int32()), pa.array(n.astype(np.int32))),
+        ],
+        schema=_PACKED,
+    )
+
+
+def word_hashes(listed: pa.Array) -> np.ndarray:
+    """A hash of each word, the same in all tasks."""
+    (block,) = blocks(listed, 1 << 62)
+    lengths = block.ends - block.starts
+    place = np.arange(len(block.data)) - np.repeat(block.starts, lengths)
+    value = mixed((block.data.astype(np.uint64) + np.uint64(1)) * mixed(place.astype(np.uint64) + np.uint64(1)))
+    return mixed(np.add.reduceat(value, block.starts) + lengths.astype(np.uint64))
+
+
+def top_windows(docs: DataFrame, most_words: int = MOST_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """bucket, lang, windows, n: the distinct windows of each block of texts, packed (``counted_windows``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").fill_null("").cast(pa.large_string())
+            langs = batch.column("lang").fill_null(UNKNOWN)
+            for block in blocks(texts, block_bytes):
+                here = slice(block.first, block.first + block.size)
+                if len(block.data) > block_bytes:
+                    for part, own in _parts(texts[block.first], most_words, block_bytes):
+                        yield counted_windows(langs[here], pa.array([part], pa.large_string()), most_words, [own])
+                else:
+                    yield counted_windows(langs[here], texts[here], most_words)
+
+    return columns(docs, lang="string", text="string").mapInArrow(
+        run, "bucket int, lang string, windows string, n array<int>"
     )
-    words = pieces.select("lang", F.filter(F.split("piece", WORD_ENDS), lambda w: w != "").alias("w"))
-    leads = [F.col("w"), *(F.slice("w", k + 1, F.size("w")) for k in range(1, most_words))]
-    # Zipped arrays of unlike lengths are filled up with nulls.
-    zipped = F.arrays_zip(*(x.alias(f"w{k}") for k, x in enumerate(leads)))
-    return words.select("lang", F.inline(zipped).alias(*(f"w{k}" for k in range(most_words))))
 
 
 def phrase_counts(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST_COUNT) -> DataFrame:
     """lang, words, phrase, f of all phrases of up to ``most_words`` words with ``least`` occurrences or more, and the
     number of all words of a language as the phrase of no words."""
     names = [f"w{k}" for k in range(most_words)]
-    top = top_windows(docs, most_words).groupBy("lang", *names).agg(F.count("*").alias("f"))
-    # Bits of grouping_id: the last k columns are summed away.
-    sums = top.rollup("lang", *names[:-1]).agg(F.grouping_id().alias("gone"), F.sum("f").alias("f"))
-    shorter = [
-        (F.col("gone") == (1 << gone) - 1) & (F.col(names[m - 1]).isNotNull() & (F.col("f") >= least) if m else F.lit(True))
-        for m, gone in zip(range(most_words), range(most_words - 1, -1, -1), strict=True)
-    ]
-    length = F.coalesce(*(F.when(F.col("gone") == (1 << most_words - 1 - m) - 1, m) for m in range(most_words)))
-    parts = sums.where(reduce(Column.__or__, shorter)).select("lang", length.alias("words"), *names[:-1], "f")
-    # One condition on the count, which stays above the aggregation: both branches then share its shuffle.
-    longest = top.where(F.when(F.col(names[-1]).isNotNull(), F.col("f")) >= least)
-    together = parts.withColumn(names[-1], F.lit(None).cast("string")).unionByName(
-        longest.withColumn("words", F.lit(most_words))
+    cut = F.split("window", " ")
+    packed = top_windows(docs, most_words).repartition("bucket")
+    windows = packed.select(
+        "bucket", "lang", F.inline(F.arrays_zip(F.split("windows", "\t").alias("window"), F.col("n").alias("n")))
+    ).select("bucket", "lang", *(F.get(cut, F.lit(k)).alias(w) for k, w in enumerate(names)), "n")
+    top = windows.groupBy("bucket", "lang", *names).agg(F.sum("n").alias("f"))
+    # From the longest down: the words after the first two are taken from windows whose beginning is too rare.
+    kept = top
+    for k in range(most_words, 1, -1):
+        own = W.partitionBy("bucket", "lang", *names[:k])
+        often = (F.col("f") if k == most_words else F.sum("f").over(own)) >= least
+        kept = kept.withColumn(names[k - 1], F.when(often, F.col(names[k - 1])))
+    sums = kept.rollup("lang", *names).agg(F.grouping_id().alias("gone"), F.sum("f").alias("f"))
+    # Bits of grouping_id: the last columns are summed away. A phrase that ends in padding or in words taken away is none.
+    length = F.coalesce(*(F.when(F.col("gone") == (1 << most_words - m) - 1, m) for m in range(most_words + 1)))
+    last = F.element_at(F.array(F.lit(""), *names), F.col("words") + 1)
+    return (
+        sums.withColumn("words", length)
+        .where(F.col("words").isNotNull() & last.isNotNull() & ((F.col("f") >= least) | (F.col("words") == 0)))
+        .select("lang", "words", F.concat_ws(" ", *names).alias("phrase"), "f")
     )
-    return together.select("lang", "words", F.concat_ws(" ", *names).alias("phrase"), "f")
 
 
 def scored(counts: DataFrame, scale: int = SCALE) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 from llm_data import ODD_TEXTS, documents  # noqa: F401
 from pyspark.sql import functions as F
 
@@ -95,9 +97,37 @@ def test_one_word_in_a_third_of_all_places(documents):
     assert got(c.collocations(docs)) == plain(rows)
 
 
-def test_windows_are_counted_in_one_shuffle(documents):
-    """Both branches, longest and shorter phrases, read the same counts."""
+def test_windows_travel_once(documents):
+    """Windows are shuffled by their first words, and what ROLLUP sums to; nothing in between."""
     counts = c.phrase_counts(documents([(1, "a b c d")] * 10))
-    plan = counts._jdf.queryExecution().optimizedPlan().toString()
-    assert "isnotnull(w2" not in plan.split("Aggregate")[-1]
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.count("Scan") == 1
     assert counts.agg(F.sum("f")).first()[0] == 40 + 40 + 30 + 20
+
+
+def test_blocks_and_parts_of_texts_change_nothing(documents):
+    rows = make_rows(4, 30) + [("en", " ".join(t or "" for _, t in make_rows(5, 40))), ("de", "x" * 500), ("en", " a  b ")]
+    docs = documents([(1, t) for _, t in rows], lang=[g for g, _ in rows])
+
+    def windows(block_bytes, most_words):
+        found = Counter()
+        for r in c.top_windows(docs, most_words, block_bytes).collect():
+            for w, n in zip(r["windows"].split("\t"), r["n"], strict=True):
+                found[r["bucket"], r["lang"], w] += n
+        return found
+
+    for most_words in (2, 3, 4):
+        whole = windows(1 << 20, most_words)
+        for block_bytes in (1, 7, 64, 1000):
+            assert windows(block_bytes, most_words) == whole
+
+
+def test_memory_of_a_long_text_is_bounded():
+    """Windows of one text of 24 MB, from parts of 4 MB."""
+    rnd = random.Random(6)
+    text = pa.array([" ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(200_000)) * 20], pa.large_string())
+    tracemalloc.start()
+    n = sum(len(x) for x, _ in c._parts(text[0], 3, c.BLOCK_BYTES))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text[0].as_py()) <= n < len(text[0].as_py()) + 200 and peak < 10 * len(text[0].as_py())
