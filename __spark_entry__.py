@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from oracle.queries import ORACLE_SQL  # noqa: E402
-from plumbline.plans import checks, rebuild, suite, transactions, verdict  # noqa: E402
+from plumbline.plans import checks, history, rebuild, suite, transactions, verdict  # noqa: E402
 from plumbline.plans.variance import reference_variance, source_variance  # noqa: E402
+from plumbline.sources import delimited  # noqa: E402
 from plumbline.sources.star import star_config, star_tables  # noqa: E402
 
 try:  # these go together: without them all else works as before
@@ -117,6 +118,82 @@ def _runner_results(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _omnibus(trx: DataFrame) -> DataFrame:
+    """A third of all transactions booked for nobody, at amount 0 on one day: one group of transfer legs."""
+    third = F.col("order_id") % 3 == 0
+    return trx.withColumns(
+        {
+            "investor_id": F.when(~third, F.col("investor_id")),
+            "gross": F.when(third, F.lit(Decimal("0.00"))).otherwise(F.col("gross")).cast("decimal(18,2)"),
+            "trade_date": F.when(third, F.lit(date(2021, 1, 4))).otherwise(F.col("trade_date")),
+        }
+    )
+
+
+def _busy_account(trx: DataFrame) -> DataFrame:
+    """A third of all transactions on one account and fund."""
+    third = F.col("order_id") % 3 == 0
+    return trx.withColumns({c: F.when(third, F.lit(7)).otherwise(F.col(c)).cast("int") for c in ("account_id", "fund_code")})
+
+
+def _runner_problems(spark: SparkSession, root: str) -> DataFrame:
+    """The failure report: a failed check with its samples, a limit on no row at all, and one on a null."""
+    cfg, tables = star_config(sample_rows=5), star_tables(spark, root)
+    spark.read.parquet(f"{root}/lineitem.parquet").createOrReplaceTempView("runner_lineitem")
+
+    def spec(test_id, rule, sql, threshold=0.0):
+        return checks.CheckSpec(test_id, f"name {test_id}", "Own", f"about {test_id}", "runner", None, rule, threshold, sql)
+
+    specs = [
+        spec("Y-01", "zero_rows", "SELECT l_linenumber FROM runner_lineitem WHERE l_linenumber = 1"),
+        spec("Y-02", "within_pct", "SELECT l_discount FROM runner_lineitem WHERE l_quantity < 0", 0.5),
+        spec("Y-03", "within_pct", "SELECT max(l_discount) AS d FROM runner_lineitem WHERE l_quantity < 0", 0.5),
+        spec("Y-04", "zero_rows", "SELECT l_linenumber FROM runner_lineitem WHERE l_linenumber < 0"),
+        spec("Y-05", "zero_rows", "SELECT l_linenumber FROM runner_lineitem WHERE l_linenumber = 2"),
+    ]
+    results = suite.run_suite(spark, cfg, tables, specs)
+    report = suite.problems(suite.results_frame(spark, results), suite.samples_frame(spark, results))
+    return report.select(
+        "test_id", "test_name", "status", F.col("row_count").cast("bigint").alias("row_count"),
+        F.col("error").isNotNull().alias("has_error"), "sql_query", "sample",
+    )
+
+
+EXTRACT_COLUMNS = {
+    1: ("account_id", "int"), 2: ("trade_date", "date"), 3: ("units", "decimal(18,4)"), 4: ("trx_code", "string"),
+}
+
+
+def _extract(trx: DataFrame) -> DataFrame:
+    """Transactions as lines of a tab-separated extract; some have a bad date or amount, a missing or an extra cell."""
+    kind = F.col("order_id") % 40
+    cells = [
+        F.col("account_id").cast("string"),
+        F.when(kind == 1, "2020-13-01").otherwise(F.col("trade_date").cast("string")),
+        F.when(kind == 2, "NULL").when(kind == 3, "n/a").otherwise(F.col("units").cast("string")),
+        F.when(kind == 4, F.concat("trx_code", F.lit("\tx"))).when(kind != 5, F.col("trx_code")),
+    ]
+    return trx.select(F.concat_ws("\t", *cells).alias("value"))
+
+
+def _checked(tables) -> DataFrame:
+    return delimited.check_lines(_extract(tables["trx"]), EXTRACT_COLUMNS, 4)
+
+
+def _run_changes(cfg, tables) -> DataFrame:
+    """Two runs: in the second one a check is gone, one passes and one has another count."""
+    first = suite.suite_results(cfg, tables).withColumn("run_id", F.lit("1"))
+    fixed, moved = F.col("test_id") == "MV-05", F.col("test_id") == "MV-06"
+    second = first.where("test_id <> 'MV-20'").withColumns(
+        {
+            "run_id": F.lit("2"),
+            "status": F.when(fixed, "PASS").otherwise(F.col("status")),
+            "row_count": F.when(fixed, 0).when(moved, F.col("row_count") + 1).otherwise(F.col("row_count")).cast("decimal(38,0)"),
+        }
+    )
+    return history.run_changes(first.unionByName(second), "2")
+
+
 def _samples(cfg, tables) -> DataFrame:
     return suite.suite_samples(cfg, tables)
 
@@ -178,8 +255,17 @@ def queries() -> dict[str, Query]:
         "suite_samples": _job(_samples, sample_rows=3),
         "suite_grid": _job(_grid),
         "runner_results": _runner_results,
+        "runner_problems": _runner_problems,
+        "run_changes": _job(_run_changes),
+        "extract_accepted": _job(lambda cfg, tables: delimited.accepted(_checked(tables))),
+        "extract_rejected": _job(
+            lambda cfg, tables: delimited.rejected(_checked(tables)).withColumn("reasons", F.array_join("reasons", ","))
+        ),
         "suite2_verdict": _job(verdict.report_verdict),
         "unpriced_positions": _job(rebuild.unpriced_positions),
+        "unpriced_days": _job(rebuild.unpriced_days),
+        "unpriced_days_window": _job(rebuild.unpriced_days, **WINDOW),
+        "suite2_results": _job(verdict.report_results),
         "month_end_window": _trx(_month_end, "month_end", "window_side"),
         "biz_day_rank": _trx(
             lambda cfg, tables: transactions.business_day_rank(_month_end(cfg, tables)),
@@ -219,6 +305,12 @@ def queries() -> dict[str, Query]:
         "transfer_unmatched": _trx(
             lambda cfg, tables: transactions.transfer_unmatched(tables["trx"]), "gross", "unit_factor"
         ),
+        "transfer_unmatched_hot": _trx(
+            lambda cfg, tables: transactions.transfer_unmatched(_omnibus(tables["trx"])), "gross", "unit_factor"
+        ),
+        "running_balance_hot": _trx(
+            lambda cfg, tables: transactions.running_balance(_busy_account(tables["trx"])), "open_balance", "close_balance"
+        ),
     }
     if llm_queries:
         named |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}

@@ -438,6 +438,48 @@ def _runner_results() -> str:
     )
 
 
+def _runner_problems() -> str:
+    lines = "SELECT l_linenumber FROM runner_lineitem WHERE l_linenumber = {}"
+    none = "SELECT l_discount FROM runner_lineitem WHERE l_quantity < 0"
+    null = "SELECT max(l_discount) AS d FROM runner_lineitem WHERE l_quantity < 0"
+    failed = "\nUNION ALL ".join(
+        f"""
+        SELECT '{i}' AS test_id, 'name {i}' AS test_name, 'FAIL' AS status, n AS row_count, FALSE AS has_error,
+               '{lines.format(k)}' AS sql_query, '{{"l_linenumber":{k}}}' AS sample
+        FROM (SELECT count(*) AS n FROM lineitem WHERE l_linenumber = {k}), range(5) WHERE range < n
+        """
+        for i, k in (("Y-01", 1), ("Y-05", 2))
+    )
+    return f"""
+        {failed}
+        UNION ALL SELECT 'Y-02', 'name Y-02', 'ERROR', 0, TRUE, '{none}', NULL
+        UNION ALL SELECT 'Y-03', 'name Y-03', 'FAIL', 1, FALSE, '{null}', NULL
+    """
+
+
+def _run_changes() -> str:
+    return f"""
+        SELECT test_id, status AS before_status, row_count AS before_count,
+               CASE WHEN test_id = 'MV-20' THEN NULL WHEN test_id = 'MV-05' THEN 'PASS' ELSE status END AS after_status,
+               CAST(CASE test_id WHEN 'MV-20' THEN NULL WHEN 'MV-05' THEN 0 WHEN 'MV-06' THEN row_count + 1
+                                 ELSE row_count END AS DECIMAL(38,0)) AS after_count,
+               CASE WHEN test_id = 'MV-20' THEN 'GONE' WHEN test_id = 'MV-05' AND status <> 'PASS' THEN 'FIXED'
+                    WHEN test_id = 'MV-06' THEN 'MOVED' ELSE 'SAME' END AS change
+        FROM ({_suite_results()})
+    """
+
+
+def _extract_lines() -> str:
+    return """
+        SELECT order_id % 40 AS kind, account_id, trade_date, units, trx_code,
+               concat_ws(chr(9), CAST(account_id AS VARCHAR),
+                         CASE WHEN order_id % 40 = 1 THEN '2020-13-01' ELSE CAST(trade_date AS VARCHAR) END,
+                         CASE order_id % 40 WHEN 2 THEN 'NULL' WHEN 3 THEN 'n/a' ELSE CAST(units AS VARCHAR) END,
+                         CASE order_id % 40 WHEN 4 THEN trx_code || chr(9) || 'x' WHEN 5 THEN NULL ELSE trx_code END) AS line
+        FROM trx
+    """
+
+
 def _unpriced() -> str:
     priced = "p.fund_code = m.fund_code AND p.management_company_code = m.management_company_code"
     return query(
@@ -460,6 +502,80 @@ def _unpriced() -> str:
     )
 
 
+def _unpriced_days(window: str = "") -> str:
+    """Each day of a daily position on which some fund has a price, but its own has none."""
+    priced = "p.fund_code = m.fund_code AND p.management_company_code = m.management_company_code"
+    prices = f"(SELECT * FROM fund_price WHERE fund_price_date {window})" if window else "fund_price"
+    month = "CAST(try_strptime(m.file_date, '%y%m%d') AS DATE)"
+    inside = f"AND ({month} {window} OR {month} IS NULL)" if window else ""
+    return query(
+        f"""
+        SELECT source_path, management_company_code, reason, count(*) AS positions, CAST(sum(lost) AS BIGINT) AS position_days
+        FROM (
+            SELECT 'MONTHLY' AS source_path, management_company_code,
+                   CASE WHEN {month} IS NULL THEN 'UNREADABLE DATE' ELSE 'NO PRICE' END AS reason, 1 AS lost
+            FROM month_file m WHERE NOT EXISTS (
+                SELECT 1 FROM fund_price p WHERE {priced} AND p.fund_price_date = {month}) {inside}
+            UNION ALL
+            SELECT 'DAILY', m.management_company_code, 'NO PRICE', count(*)
+            FROM (SELECT row_number() OVER () AS position, * FROM daily WHERE management_company_code IN ('MAX', 'CGF')) m
+            JOIN (SELECT DISTINCT fund_price_date AS d FROM {prices}) ON d BETWEEN effective_date AND end_date
+            LEFT JOIN (SELECT DISTINCT fund_code, management_company_code, fund_price_date FROM {prices}) p
+              ON {priced} AND p.fund_price_date = d
+            WHERE p.fund_code IS NULL
+            GROUP BY position, m.management_company_code
+        ) GROUP BY ALL
+        """,
+        "month_file", "daily", "fund_price",
+    )
+
+
+def _report_results() -> str:
+    gaps = (
+        ("SRC-M", "Monthly positions without a price", "MONTHLY", "NO PRICE"),
+        ("SRC-U", "Monthly positions with an unreadable date", "MONTHLY", "UNREADABLE DATE"),
+        ("SRC-D", "Days of daily positions without a price", "DAILY", "NO PRICE"),
+    )
+    lost = "\nUNION ALL\n".join(
+        f"SELECT '{i}', '{name}', 'Source', 'zero_rows', coalesce(sum(position_days), 0) = 0, coalesce(sum(position_days), 0)"
+        f" FROM ({_unpriced_days()}) WHERE source_path = '{path}' AND reason = '{reason}'"
+        for i, name, path, reason in gaps
+    )
+    return f"""
+        SELECT test_id, test_name, category, pass_when, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status,
+               CAST(row_count AS DECIMAL(38,0)) AS row_count
+        FROM (SELECT report_id AS test_id, 'Variance report ' || report_id AS test_name, 'Variance' AS category,
+                     'within_limit' AS pass_when, passed, report_rows - rows_within AS row_count
+              FROM ({_verdict()})
+              UNION ALL {lost})
+    """
+
+
+def _balance_of(rows: str) -> str:
+    return f"""
+        SELECT {_TRX_ID}, CAST(close_balance - units * unit_factor AS DECIMAL(28,4)) AS open_balance, close_balance
+        FROM (SELECT *, CAST(sum(units * unit_factor) OVER (
+                         PARTITION BY account_id, fund_code
+                         ORDER BY trade_date, order_id, line_number, leg, gross, units, unit_factor
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(28,4)) AS close_balance
+              FROM ({rows}))
+    """
+
+
+def _unmatched_of(rows: str) -> str:
+    same = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in ("investor_id", "gross", "trade_date"))
+    shown = ", ".join(f"a.{c}" for c in (*_TRX_ID.split(", "), "gross", "unit_factor"))
+    return f"""
+        SELECT {shown}
+        FROM (SELECT *, row_number() OVER (PARTITION BY investor_id, gross, trade_date, unit_factor
+                                           ORDER BY order_id, line_number, leg, account_id, fund_code) AS place
+              FROM ({rows})) a
+        LEFT JOIN (SELECT investor_id, gross, trade_date, unit_factor, count(*) AS n FROM ({rows}) GROUP BY ALL) b
+          ON {same} AND a.unit_factor = -b.unit_factor
+        WHERE place > coalesce(n, 0)
+    """
+
+
 def _totals_safe(text: str) -> str:
     """The gap without regard to the sign of the reference total."""
     plain = "CAST(abs(a.v - b.v) AS DOUBLE) / nullif(CAST(b.v AS DOUBLE), 0)"
@@ -539,6 +655,36 @@ _OTHERS: dict[str, str] = {
     "suite_grid": _suite_grid(),
     "runner_results": _runner_results(),
     "unpriced_positions": _unpriced(),
+    "runner_problems": _runner_problems(),
+    "run_changes": _run_changes(),
+    "extract_accepted": query(
+        "SELECT account_id, trade_date, CASE WHEN kind <> 2 THEN units END AS units, trx_code"
+        f" FROM ({_extract_lines()}) WHERE kind NOT IN (1, 3, 4, 5)",
+        "trx",
+    ),
+    "extract_rejected": query(
+        "SELECT line, CASE kind WHEN 1 THEN 'trade_date' WHEN 3 THEN 'units' WHEN 4 THEN 'too many cells'"
+        f" ELSE 'too few cells' END AS reasons FROM ({_extract_lines()}) WHERE kind IN (1, 3, 4, 5)",
+        "trx",
+    ),
+    "unpriced_days": _unpriced_days(),
+    "unpriced_days_window": _unpriced_days(_WINDOW),
+    "suite2_results": _report_results(),
+    "running_balance_hot": query(
+        _balance_of(
+            "SELECT * REPLACE (CASE WHEN order_id % 3 = 0 THEN 7 ELSE account_id END AS account_id,"
+            " CASE WHEN order_id % 3 = 0 THEN 7 ELSE fund_code END AS fund_code) FROM trx"
+        ),
+        "trx",
+    ),
+    "transfer_unmatched_hot": query(
+        _unmatched_of(
+            "SELECT * REPLACE (CASE WHEN order_id % 3 = 0 THEN NULL ELSE investor_id END AS investor_id,"
+            " CAST(CASE WHEN order_id % 3 = 0 THEN 0 ELSE gross END AS DECIMAL(18,2)) AS gross,"
+            " CASE WHEN order_id % 3 = 0 THEN DATE '2021-01-04' ELSE trade_date END AS trade_date) FROM trx"
+        ),
+        "trx",
+    ),
     "mv20_window": _missing(f"AND r.extract_date {_WINDOW}"),
     "target_only_keys": query(
         f"SELECT {_T_KEYS}, count(*) AS target_rows FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE {_MATCH})"

@@ -64,9 +64,9 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT account AS contract_policy_number, fund_code, company AS fund_management_company_code, extract_date,
                units AS number_of_units, price AS canadian_unit_price,
                CAST(price * units + CASE WHEN h = 997 THEN 1 ELSE 0 END AS DECIMAL(18,8)) AS market_value,
-               dealer_code, plan_sk AS plan_identifier_sk,
+               dealer_code, CASE WHEN h = 996 THEN NULL ELSE plan_sk END AS plan_identifier_sk,
                CASE WHEN h = 998 THEN NULL ELSE monthly END AS monthly_extract_indicator,
-               weekly AS weekly_extract_indicator
+               CASE WHEN h = 995 THEN NULL ELSE weekly END AS weekly_extract_indicator
         FROM base
         """,
     ),

@@ -68,8 +68,6 @@ class SuiteConfig:
     daily_companies: tuple[str, ...] = DAILY_COMPANIES
     foreign_currency: str = FOREIGN_CURRENCY
 
-    # Rows of one group that a single task may sort; larger groups are split.
-    hot_group_rows: int = 5_000_000
     # Pairs of one match key that may be compared one by one when counting.
     hot_match_pairs: int = 1_000_000_000
 

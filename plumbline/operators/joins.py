@@ -6,7 +6,7 @@ from decimal import Decimal
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Numbers of pairs.
@@ -80,6 +80,64 @@ def missing_from(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     return left.join(right.select(*keys), keys, "left_anti")
 
 
+def count_days_inside(
+    ranges: DataFrame,
+    days: DataFrame,
+    on: list[str],
+    day: str,
+    low: str,
+    high: str,
+    span: tuple[Column, Column],
+    name: str,
+) -> DataFrame:
+    """Add ``name``: how many different days of ``days`` lie in each closed range, within equal ``on`` keys.
+
+    Two lookups by equal keys instead of a range join: a month of a key holds its days as bits and the number of days
+    before it, so the days up to any date are one row away, and a range is the difference of its ends. Ranges are taken
+    within ``span``, first and last day that count. A key without days, and a range that is empty or lacks an end, count 0.
+    """
+    first, last = span
+    lowest, highest = F.greatest(F.col(low), first), F.least(F.col(high), last)
+    one = F.lit(1).cast("bigint")
+    bit = F.call_function("shiftleft", one, F.dayofmonth(day) - 1)
+    months = days.where(F.col(day).between(first, last)).groupBy(*on, F.trunc(day, "month").alias("_month")).agg(
+        F.bit_or(bit).alias("_days")
+    )
+    ordered = Window.partitionBy(*on).orderBy("_month")
+    before = F.coalesce(F.sum(F.bit_count("_days")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    until = F.coalesce(F.add_months(F.lead("_month").over(ordered), -1), F.trunc(last, "month"))
+    # Months without a day of their own are listed with what came before them.
+    dense = (
+        months.withColumns({"_before": before, "_until": until})
+        .withColumn("_at", F.explode(F.sequence(F.col("_month"), F.greatest("_month", "_until"), F.expr("interval 1 month"))))
+        .select(
+            *on,
+            "_at",
+            F.when(F.col("_at") == F.col("_month"), F.col("_before"))
+            .otherwise(F.col("_before") + F.bit_count("_days"))
+            .alias("_before"),
+            F.when(F.col("_at") == F.col("_month"), F.col("_days")).otherwise(F.lit(0).cast("bigint")).alias("_days"),
+        )
+    )
+
+    def upto(rows: DataFrame, date: Column, bits: Column, found: str) -> DataFrame:
+        """Days up to a date: those of earlier months, and the lowest ``bits`` of its own month."""
+        month = dense.select(
+            *(F.col(k).alias(f"_{k}") for k in on), "_at", F.struct("_before", "_days").alias("_found")
+        )
+        same = [F.col(k) == F.col(f"_{k}") for k in on] + [F.trunc(date, "month") == F.col("_at")]
+        mask = F.call_function("shiftleft", one, bits) - 1
+        number = F.col("_found._before") + F.bit_count(F.col("_found._days").bitwiseAND(mask))
+        joined = rows.join(month, reduce(and_, same), "left")
+        return joined.withColumn(found, F.coalesce(number, F.lit(0))).select(*rows.columns, found)
+
+    ends = upto(ranges, highest, F.dayofmonth(highest), "_to")
+    both = upto(ends, lowest, F.dayofmonth(lowest) - 1, "_from")
+    whole = F.col(low).isNotNull() & F.col(high).isNotNull()
+    inside = F.when(whole & (lowest <= highest), F.col("_to") - F.col("_from")).otherwise(F.lit(0))
+    return both.withColumn(name, inside.cast("bigint")).drop("_from", "_to")
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.skew import group_hash, hot_groups, is_hot
-
 
 def sort_once(rows: DataFrame, order: list[Column | str], spread: list[str]) -> DataFrame:
     """Global sort of a small part of a large table.
@@ -33,102 +30,81 @@ def rank_dates(df: DataFrame, groups: list[str], day: str, distance: Column, nam
     return df.join(ranks, [*groups, day])
 
 
-@dataclass(frozen=True)
-class HotChunks:
-    """Groups that are summed in chunks, and where each chunk begins: a group's hash and values of the order columns."""
+# Rows that are looked at for each cut, about.
+SAMPLES = 20
 
-    groups: tuple[int, ...]
-    columns: tuple[str, ...]
-    starts: tuple[tuple, ...]
 
+def same_group(left: str, right: str, keys: list[str]) -> Column:
+    """Equal keys of two aliased tables; null keys are a group, too."""
+    return reduce(and_, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
-# Rows of a chunk whose order values are looked at to place its border, about.
-SAMPLES = 20
-# Chunk starts are searched in two steps, over blocks of this many.
-BLOCK = 64
 
+def group_cuts(rows: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """``keys`` and ``_cuts``: the order values at which groups are cut that hold more than about one part in ``parts``
+    of all rows (the session's shuffle partitions, if not given). There are at most ``parts`` cuts in all.
 
-def hot_chunks(df: DataFrame, keys: list[str], order: list[str], hot_rows: int, chunk_rows: int) -> HotChunks | None:
-    """Groups of about ``hot_rows`` rows or more, cut into chunks of about ``chunk_rows`` rows each.
-
-    Two scans of the key and order columns. Borders are quantiles of the order values, from rows picked by a hash of
-    these values: one in ``chunk_rows / SAMPLES``. So the number of chunks follows the rows, whatever the numbers look
-    like, and the same rows always give the same borders. Rows that are equal in all order columns stay together.
+    Part of the query that uses them, so no job runs beforehand. The rows with the smallest hashes of key and order
+    values are a sample of fixed size, whatever the table's; every ``SAMPLES``-th of them within a group is a cut. The
+    same rows always give the same cuts, as often as they are taken.
     """
-    hot = hot_groups(df, keys, hot_rows)
-    if not hot:
-        return None
-    every = max(1, chunk_rows // SAMPLES)
-    picked = (
-        df.select(group_hash(keys).alias("_g"), *order)
-        .where(F.col("_g").isin(hot) & (F.pmod(F.xxhash64(*order), F.lit(every)) == 0))
-        .groupBy("_g", *order)
-        .count()
-        .orderBy("_g", *order)
-        .collect()
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mark = F.xxhash64(*keys, *order)
+    sample = (
+        rows.select(*keys, F.struct(*order).alias("_place"), mark.alias("_mark"))
+        .orderBy("_mark", *keys, "_place")
+        .limit(SAMPLES * parts)
+    )
+    listed = sample.groupBy(*keys).agg(F.array_sort(F.collect_list("_place")).alias("_all"))
+    every = F.array_distinct(F.filter("_all", lambda x, i: i % SAMPLES == SAMPLES - 1))
+    return listed.select(*keys, every.alias("_cuts")).where(F.size("_cuts") > 0)
+
+
+def cut_groups(rows: DataFrame, cuts: DataFrame, keys: list[str], order: list[str], how: str = "left") -> DataFrame:
+    """Add ``_chunk``: the number of cuts at or before a row's place; null in groups without cuts. Rows that are equal
+    in all order columns stay together. ``how="inner"`` gives the rows of groups with cuts only."""
+    own = F.struct(*[F.col(f"r.{c}") for c in order])
+    number = F.size(F.filter("c._cuts", lambda x: x <= own))
+    # At most as many rows as there are cuts.
+    joined = rows.alias("r").join(F.broadcast(cuts.alias("c")), same_group("r", "c", keys), how)
+    return joined.select("r.*", F.when(F.col("c._cuts").isNotNull(), number).alias("_chunk"))
+
+
+def chunk_offsets(rows: DataFrame, cuts: DataFrame, keys: list[str], order: list[str], **sums: Column) -> DataFrame:
+    """For each chunk of the groups with cuts and each sum by name: what the chunks before it hold (``_before_…``) and
+    what the whole group holds (``_all_…``). There are at most twice as many chunks as cuts."""
+    totals = cut_groups(rows, cuts, keys, order, "inner").groupBy(*keys, "_chunk").agg(
+        *(F.sum(amount).alias(name) for name, amount in sums.items())
     )
-    starts, group, seen = [], None, 0
-    per_chunk = max(1, round(chunk_rows / every))
-    for row in picked:
-        *values, n = tuple(row)
-        if values[0] != group:
-            group, seen = values[0], 0
-        if seen >= per_chunk:
-            starts.append(tuple(values))
-            seen = 0
-        seen += n
-    return HotChunks(tuple(hot), tuple(order), tuple(starts))
-
-
-def _chunk_of(df: DataFrame, keys: list[str], chunks: HotChunks) -> Column:
-    """Number of chunk starts at or before a row's place; null for groups that aren't hot."""
-    types = {f.name: f.dataType for f in df.schema}
-
-    def place(values: tuple) -> Column:
-        g, *rest = values
-        parts = [F.lit(v).cast(types[c]).alias(c) for c, v in zip(chunks.columns, rest, strict=True)]
-        return F.struct(F.lit(g).cast("bigint").alias("g"), *parts)
-
-    own = F.struct(group_hash(keys).alias("g"), *[F.col(c) for c in chunks.columns])
-
-    def before(values: list[tuple]) -> Column:
-        return F.size(F.filter(F.array(*[place(v) for v in values]), lambda x: x <= own))
-
-    blocks = [list(chunks.starts[i : i + BLOCK]) for i in range(0, len(chunks.starts), BLOCK)]
-    number = F.lit(0)
-    if blocks:
-        block = before([b[0] for b in blocks])
-        number = F.lit(0)
-        for i, b in enumerate(blocks):
-            number = F.when(block == i + 1, BLOCK * i + before(b)).otherwise(number)
-    return F.when(is_hot(keys, list(chunks.groups)), number)
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(
+        *keys,
+        "_chunk",
+        *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums),
+        *(F.sum(n).over(group).alias(f"_all_{n}") for n in sums),
+    )
+
+
+def add_offsets(rows: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with the columns of their chunk's offsets, null in groups without cuts."""
+    added = [F.col(f"o.{c}") for c in offsets.columns if c not in (*keys, "_chunk")]
+    joined = rows.alias("r").join(F.broadcast(offsets.alias("o")), same_group("r", "o", [*keys, "_chunk"]), "left")
+    return joined.select("r.*", *added)
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str, chunks: HotChunks | None = None
+    df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str, parts: int | None = None
 ) -> DataFrame:
     """Running sum of ``amount`` within ``keys``, in ``order``.
 
-    A group is one window partition. The groups in ``chunks`` (see ``hot_chunks``; taken beforehand, as looking for them
-    is a job) are cut instead: each chunk is a window partition of its own, and the totals of the earlier chunks are
-    added afterwards. Results are the same either way.
+    A group is one window partition, unless it holds more rows than a task should: then it is cut into ranges of its
+    order values (``group_cuts``), each range is a window partition, and what the earlier ranges sum to is added. So a
+    group's size bounds no task, and there is no search for large groups beforehand. Results are the same either way.
     """
-    if not chunks:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(amount).over(window))
-
-    # Normal groups have a null chunk, and no row in the offsets.
-    split = df.withColumn("_chunk", _chunk_of(df, keys, chunks))
-    totals = split.where(F.col("_chunk").isNotNull()).groupBy(*keys, "_chunk").agg(F.sum(amount).alias("_total"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_chunk", F.sum("_total").over(before).alias("_offset"))
+    cuts = group_cuts(df, keys, order, parts)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = split.withColumn("_running", F.sum(amount).over(inside))
+    running = cut_groups(df, cuts, keys, order).withColumn("_running", F.sum(amount).over(inside))
     kind = running.schema["_running"].dataType
-    total = F.col("_running") + F.coalesce(F.col("_offset"), F.lit(0)).cast(kind)
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*keys, "_chunk"]]
-    return (
-        running.alias("r")
-        .join(offsets.alias("o"), reduce(and_, same), "left")
-        .select(*[F.col(f"r.{c}") for c in df.columns], total.cast(kind).alias(name))
-    )
+    offsets = chunk_offsets(df, cuts, keys, order, sum=amount)
+    total = F.col("_running") + F.coalesce(F.col("_before_sum"), F.lit(0)).cast(kind)
+    return add_offsets(running, offsets, keys).select(*df.columns, total.cast(kind).alias(name))

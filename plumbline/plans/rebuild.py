@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import SuiteConfig
-from plumbline.operators.joins import interval_join, missing_from
+from plumbline.operators.joins import count_days_inside, interval_join, missing_from
 from plumbline.plans.slices import Tables, in_window
 
 MONTHLY = "MONTHLY"
@@ -178,3 +178,41 @@ def unpriced_positions(cfg: SuiteConfig, tables: Tables) -> DataFrame:
         .groupBy("source_path", "management_company_code", "reason")
         .agg(F.count(F.lit(1)).alias("positions"))
     )
+
+
+def lost_days(cfg: SuiteConfig, tables: Tables) -> DataFrame:
+    """Daily positions that lose days to the price join, with ``lost_days``: days of their validity on which some fund
+    was priced, but theirs was not. Days without any price, such as weekends, are nobody's loss."""
+    prices = in_window(tables[cfg.price_table], cfg, "fund_price_date")
+    span = price_span(cfg, tables)
+    validity = ("effective_date", "end_date", span)
+    quoted = count_days_inside(
+        daily_positions(cfg, tables), prices, [], "fund_price_date", *validity, "_quoted"
+    )
+    priced = count_days_inside(
+        quoted, prices, ["fund_code", "management_company_code"], "fund_price_date", *validity, "_priced"
+    )
+    lost = F.col("_quoted") - F.col("_priced")
+    return priced.withColumn("lost_days", lost).where("lost_days > 0").drop("_quoted", "_priced")
+
+
+def unpriced_days(cfg: SuiteConfig, tables: Tables) -> DataFrame:
+    """Position-days that never reach a report, by path, company and reason, and the positions that lose them.
+
+    A monthly position is one position-day, also if its date cannot be read.
+    """
+    unreadable = F.when(F.col("position_date").isNull(), "UNREADABLE DATE").otherwise("NO PRICE")
+    monthly = unpriced_monthly(cfg, tables).select(
+        F.lit(MONTHLY).alias("source_path"),
+        "management_company_code",
+        unreadable.alias("reason"),
+        F.lit(1).cast("bigint").alias("lost_days"),
+    )
+    daily = lost_days(cfg, tables).select(
+        F.lit(DAILY).alias("source_path"), "management_company_code", F.lit("NO PRICE").alias("reason"), "lost_days"
+    )
+    return (
+        monthly.unionByName(daily)
+        .groupBy("source_path", "management_company_code", "reason")
+        .agg(F.count(F.lit(1)).alias("positions"), F.sum("lost_days").alias("position_days"))
+    )

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from decimal import Decimal
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.compare import beyond
-from plumbline.operators.ordered import HotChunks, hot_chunks, rank_dates, running_total
+from plumbline.operators.ordered import add_offsets, chunk_offsets, cut_groups, group_cuts, rank_dates, running_total
 
 BALANCE_TOLERANCE = Decimal("0.0011")
 BALANCE_KEYS = ["account_id", "fund_code"]
@@ -85,19 +83,14 @@ def month_end_totals(trx: DataFrame, days: int = 10) -> DataFrame:
     )
 
 
-def balance_chunks(trx: DataFrame, hot_rows: int, chunk_rows: int | None = None) -> HotChunks | None:
-    """Accounts and funds with very many transactions, for ``running_balance``. A job of its own."""
-    return hot_chunks(trx, BALANCE_KEYS, BALANCE_ORDER, hot_rows, chunk_rows or hot_rows)
-
-
-def running_balance(trx: DataFrame, chunks: HotChunks | None = None) -> DataFrame:
+def running_balance(trx: DataFrame, parts: int | None = None) -> DataFrame:
     """Open and close unit balance of every transaction, per account and fund from zero.
 
-    The unit factor gives the sign, as the reported direction does not tell it. Groups named in ``chunks`` are spread
-    over several tasks.
+    The unit factor gives the sign, as the reported direction does not tell it. An account and fund with more than about
+    one part in ``parts`` of all transactions is spread over several tasks.
     """
     moved = (F.col("units") * F.col("unit_factor")).cast("decimal(28,4)")
-    closed = running_total(trx, BALANCE_KEYS, BALANCE_ORDER, moved, "close_balance", chunks)
+    closed = running_total(trx, BALANCE_KEYS, BALANCE_ORDER, moved, "close_balance", parts)
     kind = "decimal(28,4)"
     return closed.withColumns(
         {
@@ -173,19 +166,25 @@ def transfer_pairs(trx: DataFrame) -> DataFrame:
     )
 
 
-def transfer_unmatched(trx: DataFrame) -> DataFrame:
+def transfer_unmatched(trx: DataFrame, parts: int | None = None) -> DataFrame:
     """Legs without a partner: of the legs of one side of a group, those beyond the number on the other side.
 
-    Groups are counted first. A group with legs on one side only is returned as it is; only groups with legs on both
-    sides, and more on one, are put in order.
+    Each side of a group is numbered in order. A group with more than about one part in ``parts`` of all legs, as that of
+    an omnibus investor or of all legs without one, is numbered in ranges of its order, with what the earlier ranges hold
+    added; its legs are counted by range, too. A leg without a unit factor counts as incoming.
     """
-    groups = _legs(trx).where("out_legs <> in_legs")
-    same = reduce(and_, [F.col(f"t.{k}").eqNullSafe(F.col(f"g.{k}")) for k in TRANSFER_KEYS])
-    listed = trx.alias("t").join(groups.alias("g"), same).select("t.*", "out_legs", "in_legs")
-    other = F.when(_leaves(), F.col("in_legs")).otherwise(F.col("out_legs"))
-    own = F.when(_leaves(), F.col("out_legs")).otherwise(F.col("in_legs"))
-    more = listed.where(own > other)
-    alone = more.where(other == 0)
-    surplus = Window.partitionBy(*TRANSFER_KEYS).orderBy(*LEG_ORDER)
-    ranked = more.where(other > 0).withColumn("_rank", F.row_number().over(surplus)).where(F.col("_rank") > other)
-    return alone.unionByName(ranked.drop("_rank")).drop("out_legs", "in_legs")
+    cuts = group_cuts(trx, TRANSFER_KEYS, LEG_ORDER, parts)
+    leaves = F.coalesce(_leaves(), F.lit(False))
+    out, into = F.when(leaves, 1).otherwise(0), F.when(leaves, 0).otherwise(1)
+    offsets = chunk_offsets(trx, cuts, TRANSFER_KEYS, LEG_ORDER, out=out, into=into)
+    group = Window.partitionBy(*TRANSFER_KEYS, "_chunk")
+    side = Window.partitionBy(*TRANSFER_KEYS, "_chunk", "_out").orderBy(*LEG_ORDER)
+    numbered = (
+        cut_groups(trx, cuts, TRANSFER_KEYS, LEG_ORDER)
+        .withColumn("_out", leaves)
+        .withColumns({"_place": F.row_number().over(side), "_outs": F.sum(out).over(group), "_intos": F.sum(into).over(group)})
+    )
+    placed = add_offsets(numbered, offsets, TRANSFER_KEYS)
+    before = F.when(F.col("_out"), F.col("_before_out")).otherwise(F.col("_before_into"))
+    other = F.when(F.col("_out"), F.coalesce("_all_into", "_intos")).otherwise(F.coalesce("_all_out", "_outs"))
+    return placed.where(F.col("_place") + F.coalesce(before, F.lit(0)) > other).select(*trx.columns)

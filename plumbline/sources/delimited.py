@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,19 @@ def header_of(spark: SparkSession, path: str, sep: str = "\t") -> list[str]:
     return spark.read.text(path).first()[0].rstrip("\r").split(sep)
 
 
+def extract_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of an extract as ``value``, without the header of each file. No job runs beforehand.
+
+    Read as a table of one column, so that Spark drops each file's first line, whatever it says.
+    """
+    # A control character that separates nothing, and no quoting.
+    return spark.read.csv(path, schema="value string", sep="\x01", quote="", header=True)
+
+
+def _cells(line: Column, sep: str) -> Column:
+    return F.split(F.rtrim(line, F.lit("\r")), sep, -1)
+
+
 def read_extract(
     spark: SparkSession,
     path: str,
@@ -28,13 +41,10 @@ def read_extract(
     ``columns`` maps a 1-based position to (name, type). Names in the file are not
     used, so a name that occurs twice is no problem. Both ``null_text`` and an empty
     cell become null; with ``keep_empty`` an empty text cell stays an empty string.
-    A cell that cannot be cast becomes null, cells beyond ``width`` are cut off: see ``count_rejects``.
+    A cell that cannot be cast becomes null, cells beyond ``width`` are cut off: see ``check_lines``.
     """
     if keep_empty:
-        lines = spark.read.text(path)
-        rows = lines.where(F.col("value") != F.lit(lines.first()[0])).select(
-            F.split(F.rtrim(F.col("value"), F.lit("\r")), sep, -1).alias("cells")
-        )
+        rows = extract_lines(spark, path).select(_cells(F.col("value"), sep).alias("cells"))
 
         def cell(i):
             return F.nullif(F.get("cells", F.lit(i - 1)), F.lit(null_text))
@@ -53,6 +63,42 @@ def read_extract(
     )
 
 
+def check_lines(
+    lines: DataFrame,
+    columns: Mapping[int, tuple[str, str]],
+    width: int,
+    sep: str = "\t",
+    null_text: str = "NULL",
+) -> DataFrame:
+    """Lines (``value``) as the wanted columns, with ``reasons`` for which a line is to be rejected and then the ``line``
+    itself: accepted and rejected rows from one scan.
+
+    A line is rejected for a cell with text that cannot be cast (the reason is the column's name) and for another number
+    of cells than ``width`` (``too many cells``, ``too few cells``). Accepted rows have no reasons and no line.
+    """
+    rows = lines.select("value", _cells(F.col("value"), sep).alias("cells"))
+    cells, bad = {}, []
+    for i, (name, kind) in sorted(columns.items()):
+        text = F.nullif(F.nullif(F.get("cells", F.lit(i - 1)), F.lit(null_text)), F.lit(""))
+        cells[name] = text if kind == "string" else text.try_cast(kind)
+        if kind != "string":
+            bad.append(F.when(text.isNotNull() & cells[name].isNull(), F.lit(name)))
+    size = F.size("cells")
+    many = F.when(size > width, "too many cells").when(size < width, "too few cells")
+    reasons = F.array_compact(F.array(many, *bad))
+    checked = rows.select("value", *(c.alias(n) for n, c in cells.items()), reasons.alias("reasons"))
+    return checked.select(*cells, F.when(F.size("reasons") > 0, F.col("value")).alias("line"), "reasons")
+
+
+def accepted(checked: DataFrame) -> DataFrame:
+    return checked.where(F.size("reasons") == 0).drop("line", "reasons")
+
+
+def rejected(checked: DataFrame) -> DataFrame:
+    """line and reasons of the rejected rows."""
+    return checked.where(F.size("reasons") > 0).select("line", "reasons")
+
+
 def count_rejects(
     spark: SparkSession,
     path: str,
@@ -66,16 +112,10 @@ def count_rejects(
     One row for each typed column (cells with text that can't be cast), and one for lines with more cells than
     ``width`` (item ``lines longer than <width>``).
     """
-    lines = spark.read.text(path)
-    rows = lines.where(F.col("value") != F.lit(lines.first()[0])).select(
-        F.split(F.rtrim(F.col("value"), F.lit("\r")), sep, -1).alias("cells")
-    )
-    items = {f"lines longer than {width}": F.size("cells") > width}
-    for i, (name, kind) in sorted(columns.items()):
-        if kind != "string":
-            cell = F.nullif(F.nullif(F.get("cells", F.lit(i - 1)), F.lit(null_text)), F.lit(""))
-            items[name] = cell.isNotNull() & cell.try_cast(kind).isNull()
-    counts = rows.agg(*[F.count_if(lost).alias(str(k)) for k, lost in enumerate(items.values())])
+    checked = check_lines(extract_lines(spark, path), columns, width, sep, null_text)
+    items = {f"lines longer than {width}": "too many cells"}
+    items |= {name: name for _, (name, kind) in sorted(columns.items()) if kind != "string"}
+    counts = checked.agg(*(F.count_if(F.array_contains("reasons", r)).alias(str(k)) for k, r in enumerate(items.values())))
     cells = [F.struct(F.lit(n).alias("item"), F.col(str(k)).alias("lost")) for k, n in enumerate(items)]
     return counts.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 

@@ -146,9 +146,9 @@ def asset_reference(files: StarFiles) -> DataFrame:
         F.col("price").alias("canadian_unit_price"),
         value.cast("decimal(18,8)").alias("market_value"),
         "dealer_code",
-        F.col("plan_sk").alias("plan_identifier_sk"),
+        F.when(_h(996), None).otherwise(F.col("plan_sk")).alias("plan_identifier_sk"),
         F.when(_h(998), None).otherwise(F.col("monthly")).alias("monthly_extract_indicator"),
-        F.col("weekly").alias("weekly_extract_indicator"),
+        F.when(_h(995), None).otherwise(F.col("weekly")).alias("weekly_extract_indicator"),
     )
 
 

@@ -11,12 +11,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.joins import (
+    count_days_inside,
     count_disagreeing_pairs,
     interval_join,
     match_rows,
     missing_from,
 )
-from plumbline.operators.ordered import hot_chunks, running_total, sort_once
+from plumbline.operators.ordered import group_cuts, running_total, sort_once
 from plumbline.operators.skew import group_hash, hot_groups, hot_pairs
 
 START = date(2024, 1, 1)
@@ -118,33 +119,69 @@ def test_hot_groups(spark):
     assert hot_groups(df.where("k = 'none'"), ["k"], 1) == []
 
 
-@pytest.mark.parametrize("hot_rows", [1, 40, 10_000])
-def test_running_total_in_chunks(spark, hot_rows):
-    """A group that holds most rows, also one with a null key, gives the plain running sum."""
+@pytest.mark.parametrize("parts", [1, 3, 40, None])
+def test_running_total_in_chunks(spark, parts):
+    """A group that holds most rows, also one with a null key, gives the plain running sum, however it is cut."""
     rng = random.Random(7)
     rows = [
         (rng.choice(["hot"] * 6 + [None] * 3 + ["x", "y"]), START + timedelta(days=rng.randrange(4)), n, rng.randrange(-5, 9))
-        for n in range(400)
+        for n in range(900)
     ]
     df = spark.createDataFrame(rows, "k string, d date, n int, v int").withColumn("v", F.col("v").cast("decimal(9,2)"))
     window = Window.partitionBy("k").orderBy("d", "n").rowsBetween(Window.unboundedPreceding, 0)
     expected = rows_of(df.withColumn("s", F.sum("v").over(window)))
-    for chunk_rows in (5, 60):
-        chunks = hot_chunks(df, ["k"], ["d", "n"], hot_rows, chunk_rows)
-        assert (chunks is None) == (hot_rows == 10_000)
-        assert rows_of(running_total(df, ["k"], ["d", "n"], F.col("v"), "s", chunks)) == expected
+    cuts = {r["k"]: len(r["_cuts"]) for r in group_cuts(df, ["k"], ["d", "n"], parts).collect()}
+    assert sum(cuts.values()) <= (parts or 4)
+    assert parts != 40 or cuts["hot"] > 10 and cuts[None] > 5
+    assert rows_of(running_total(df, ["k"], ["d", "n"], F.col("v"), "s", parts)) == expected
 
 
 @pytest.mark.parametrize("step", [1, 10**9, 0])
-def test_number_of_chunks_follows_the_rows(spark, step):
-    """Sparse numbers make no more chunks than dense ones; equal ones stay together."""
+def test_number_of_cuts_follows_the_rows(spark, step):
+    """Sparse numbers are cut as often as dense ones; equal ones stay together."""
     df = spark.range(20_000).select(F.lit("k").alias("k"), (F.col("id") * step).alias("n"), F.lit(1).alias("v"))
-    chunks = hot_chunks(df, ["k"], ["n"], 1000, 1000)
-    assert len(chunks.starts) == 0 if not step else 10 <= len(chunks.starts) <= 30
-    total = running_total(df, ["k"], ["n"], F.col("v"), "s", chunks).agg(F.max("s"), F.sum("s")).first()
+    (row,) = group_cuts(df, ["k"], ["n"], 20).collect()
+    assert len(row["_cuts"]) == (20 if step else 1)
+    total = running_total(df, ["k"], ["n"], F.col("v"), "s", 20).agg(F.max("s"), F.sum("s")).first()
     assert tuple(total) == (20_000, 20_000 * 20_001 // 2)
 
 
+def test_a_group_with_a_third_of_all_rows_is_spread_over_tasks(spark, eager_skew):
+    """Rows that each task of the last shuffle gets, with every key in the same place of one order column."""
+    n = 30_000
+    key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id"))
+    df = spark.range(0, n, 1, 6).select(key.alias("k"), F.lit(START).alias("d"), "id", F.lit(1).alias("v"))
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        total = running_total(df, ["k"], ["d", "id"], F.col("v"), "s")
+        hot = total.where("k = -1").groupBy(F.spark_partition_id().alias("p"))
+        tasks = hot.agg(F.count("s").alias("n"), F.max("s")).collect()
+        assert total.agg(F.max("s")).first()[0] == n // 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(tasks) > 5 and max(r["n"] for r in tasks) < n // 3 / 3
+
+
+@pytest.mark.parametrize("on", [["k"], []])
+def test_days_inside_ranges_against_a_range_join(spark, on):
+    rng = random.Random(11)
+    day = lambda: START + timedelta(days=rng.randrange(200))
+    days = [(rng.choice("abc"), day()) for _ in range(60)] + [("z", START), (None, START)]
+    ranges = [(rng.choice(["a", "b", "c", "y", None]), day(), day(), i) for i in range(300)]
+    ranges += [("a", date(1000, 1, 1), date(9999, 12, 31), 900), ("a", None, day(), 901)]
+    points = spark.createDataFrame(days * 2, "k string, day date")
+    spans = spark.createDataFrame(ranges, "k string, low date, high date, i int")
+    first, last = START + timedelta(days=10), START + timedelta(days=150)
+    got = count_days_inside(spans, points, on, "day", "low", "high", (F.lit(first), F.lit(last)), "n")
+    expected = [
+        (k, a, b, i, len({d for j, d in days if (j == k or not on) and a and max(a, first) <= d <= min(b, last)}))
+        for k, a, b, i in ranges
+    ]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def final_plan(df):
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()

@@ -12,7 +12,7 @@ from oracle.queries import ORACLE_SQL
 SQL = dict(ORACLE_SQL)
 QUERIES = {name: make for name, make in entry.queries().items() if not re.match(r"op\d+_|pipeline$", name)}
 #: The runner runs its checks at once; all other queries only describe a job.
-EAGER = {"runner_results"}
+EAGER = {"runner_results", "runner_problems"}
 
 
 @pytest.fixture(scope="module")

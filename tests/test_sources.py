@@ -1,10 +1,13 @@
 """Tab-separated extracts and the planted faults of the sample tables."""
 
+from collections import Counter
 from datetime import date
 from decimal import Decimal
 
 import pyarrow.parquet as pq
+from comparison import spark_bag
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from plumbline.plans.checks import TARGET_RULES, target_violations
 from plumbline.sources import delimited as d
@@ -80,6 +83,9 @@ def test_planted_cases_are_there(spark):
     reasons = {(r["source_path"], r["reason"]) for r in rebuild.unpriced_positions(cfg, tables).collect()}
     assert reasons == {("MONTHLY", "UNREADABLE DATE"), ("MONTHLY", "NO PRICE"), ("DAILY", "NO PRICE")}
     assert transactions.untyped(tables["trx"], tables["trx_type"]).count() == 1
+    for check_id in ("MV-12", "MV-13", "MV-15"):
+        counts = [checks.record_violations(cfg, tables, i).count() for i in (check_id, f"{check_id}-null-safe")]
+        assert counts[0] < counts[1], check_id
     flags = tables["wealth_assets"].where("guarantee_indicator IS NULL")
     assert flags.count() > 0
     pairs = transactions.transfer_pairs(tables["trx"])
@@ -92,3 +98,43 @@ def test_rejects_are_counted(spark, tmp_path):
     columns = {1: ("a", "int"), 2: ("b", "string"), 3: ("c", "date")}
     got = dict(map(tuple, d.count_rejects(spark, str(path), columns, 3).collect()))
     assert got == {"lines longer than 3": 1, "a": 1, "c": 1}
+
+
+def test_lines_lose_the_header_of_each_file(spark, tmp_path):
+    """Also if the headers differ, and if a later line is the same as a header."""
+    (tmp_path / "a.tsv").write_text('a\tb\n1\t"x\na\tb\n')
+    (tmp_path / "b.tsv").write_bytes(b"other\theader\r\n2\ty, z\r\n")
+    sc = spark.sparkContext
+    sc.setJobGroup("lines", "lines")
+    lines = d.extract_lines(spark, str(tmp_path))
+    assert not sc.statusTracker().getJobIdsForGroup("lines")
+    assert sorted(r["value"] for r in lines.collect()) == ['1\t"x', "2\ty, z", "a\tb"]
+
+
+def test_accepted_and_rejected_rows_come_from_one_scan(spark, tmp_path):
+    """An extract written from the given transactions, with bad cells, and read back."""
+    trx = star_tables(spark, DATA)["trx"].select("account_id", "trade_date", "units", "gross")
+    kind = F.pmod(F.xxhash64(*trx.columns), F.lit(11))
+    cells = [
+        F.col("account_id").cast("string"),
+        F.when(kind == 1, "2020-13-01").otherwise(F.col("trade_date").cast("string")),
+        F.when(kind == 2, "NULL").when(kind == 3, "many").otherwise(F.col("units").cast("string")),
+        F.concat(F.col("gross").cast("string"), F.when(kind == 4, "\tx").otherwise("")),
+    ]
+    text = trx.select(F.concat_ws("\t", *cells).alias("value"), kind.alias("kind"))
+    path = str(tmp_path / "extract")
+    header = spark.createDataFrame([("account\tday\tunits\tgross",)], "value string").coalesce(1)
+    header.write.text(path)
+    for part in range(3):
+        (header.unionByName(text.where(F.pmod(F.xxhash64("value"), F.lit(3)) == part).select("value")).coalesce(1)
+         .write.mode("append").text(path))
+    columns = {1: ("account_id", "int"), 2: ("trade_date", "date"), 3: ("units", "decimal(18,4)"), 4: ("gross", "decimal(18,2)")}
+    checked = d.check_lines(d.extract_lines(spark, path), columns, 4)
+    assert checked._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    bad = Counter(tuple(r["reasons"]) for r in d.rejected(checked).collect())
+    kinds = Counter(r["kind"] for r in text.collect())
+    assert bad == {("trade_date",): kinds[1], ("units",): kinds[3], ("too many cells",): kinds[4]}
+    lines = Counter(r["value"] for r in text.where("kind IN (1, 3, 4)").collect())
+    assert Counter(r["line"] for r in d.rejected(checked).collect()) == lines
+    expected = trx.where(~kind.isin(1, 3, 4)).withColumn("units", F.when(kind != 2, F.col("units")))
+    assert spark_bag(d.accepted(checked)) == spark_bag(expected)

@@ -1,12 +1,17 @@
 """The runner: pass rules, isolation, fused passes, result frames."""
 
+import random
+import time
+
 import pytest
-from conftest import DATA, reference_row, target_row
+from conftest import DATA, REFERENCE_SCHEMA, TARGET_SCHEMA, dec, reference_row, target_row
+from pyspark.sql import functions as F
 
-from plumbline.plans.checks import CHECKS, CHECKS_BY_ID, CheckSpec
+from plumbline.plans.checks import CHECKS, CHECKS_BY_ID, RECORD_RULES, CheckSpec
 from plumbline.plans.suite import (
     grid,
     problems,
+    record_samples,
     results_frame,
     run_check,
     run_suite,
@@ -22,6 +27,9 @@ from plumbline.sources.star import star_config, star_tables
 from plumbline.sources.tables import TableSet, sql_source
 
 
+DECIMALS = ("number_of_units", "unit_value", "market_value", "canadian_unit_price")
+
+
 def sql_check(text, pass_when="zero_rows", threshold=0.0, test_id="X"):
     return CheckSpec(test_id, "n", "c", "d", "v", pass_when=pass_when, threshold=threshold, sql=text)
 
@@ -104,6 +112,56 @@ def test_samples_are_bounded_and_the_first(spark, cfg, tables):
     assert "WindowGroupLimit" in plan
 
 
+def plain_samples(cfg, tables, check_id):
+    """All pairs of a record check as text, the first ones of them."""
+    rows = CHECKS_BY_ID[check_id].build(cfg, tables)
+    text = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("s"))
+    return sorted(r["s"] for r in text.collect())[: cfg.sample_rows]
+
+
+@pytest.mark.parametrize(("seed", "grain"), [(1, "policy"), (2, "fund")])
+def test_samples_of_record_checks_are_the_first_pairs(cfg, tables, seed, grain):
+    rng = random.Random(seed)
+    values = [None, 0, 1, "1.005", "1.01", "1.011", 2, 10, -3]
+
+    def row(make, **names):
+        own = {name: rng.choice(options) for name, options in names.items()}
+        own |= {k: None if v is None else dec(v) for k, v in own.items() if k in DECIMALS}
+        return make(rng.choice(["P1", "P2", "P3", "P10", "Q", None]), fund=rng.choice(["F1", "F2"]), **own)
+
+    flags = dict(monthly_extract_indicator=[True, False, None], weekly_extract_indicator=[True, False])
+    keys = dict(plan_identifier_sk=[1, 2, 10, None], number_of_units=values)
+    target = [row(target_row, unit_value=values, market_value=values, **keys, **flags) for _ in range(rng.randrange(5, 60))]
+    reference = [row(reference_row, canadian_unit_price=values, **keys, **flags) for _ in range(rng.randrange(5, 60))]
+    both = tables(target, reference)
+    for n in (4, 500):
+        few = cfg.with_(sample_rows=n, grain=grain)
+        got = {}
+        for r in record_samples(few, both).collect():
+            got.setdefault(r["test_id"], []).append(r["sample"])
+        for check_id in RECORD_RULES:
+            assert sorted(got.get(check_id, [])) == plain_samples(few, both, check_id), check_id
+
+
+def test_samples_of_a_key_with_very_many_pairs(spark, cfg):
+    """One key with 100,000 different rows on both sides: ten thousand million pairs, of which four are made."""
+    n = 100_000
+    price = (F.col("id") % 1000).cast("decimal(12,4)")
+    target = spark.createDataFrame([tuple(target_row().values())], TARGET_SCHEMA)
+    names = {"unit_value": price, "number_of_units": F.col("id").cast("decimal(12,4)"), "market_value": F.col("id").cast("decimal(18,2)")}
+    target = target.crossJoin(spark.range(0, n, 1, 4)).withColumns(names).drop("id")
+    reference = spark.createDataFrame([tuple(reference_row().values())], REFERENCE_SCHEMA)
+    names = {"canadian_unit_price": price, "number_of_units": F.col("id").cast("decimal(12,4)")}
+    reference = reference.crossJoin(spark.range(0, n, 1, 4)).withColumns(names).drop("id")
+    both = TableSet.from_frames({"wealth_assets": target, "asset_reference": reference})
+    start = time.monotonic()
+    got = record_samples(cfg.with_(sample_rows=4), both).collect()
+    assert time.monotonic() - start < 120
+    found = sorted(r["sample"].partition('"tgt_units":')[2] for r in got if r["test_id"] == "MV-07")
+    assert found == [f'0.0000,"ref_units":{k}.0000,"diff":{k}.0000}}' for k in (1, 10, 100, 1000)]
+    assert {r["test_id"] for r in got} == {"MV-05", "MV-06", "MV-07"}
+
+
 def test_hot_counts_keep_their_size(cfg, tables):
     both = tables([target_row(value=21)] * 3, [reference_row()] * 5)
     hot = hot_match_keys(cfg.with_(hot_match_pairs=15), both)

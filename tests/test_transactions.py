@@ -4,10 +4,11 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
-from comparison import spark_bag
 from conftest import DATA
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.ordered import group_cuts
 from plumbline.plans import transactions as t
 from plumbline.sources.star import star_tables
 
@@ -78,19 +79,41 @@ def test_balances_roll_forward(trx):
     assert (row["order_id"], row["gap"]) == (2, -1)
 
 
+def hot_third(trx, **columns):
+    third = F.col("order_id") % 3 == 0
+    return trx.withColumns({c: F.when(third, F.lit(v)).otherwise(F.col(c)).cast(trx.schema[c].dataType) for c, v in columns.items()})
+
+
 def test_hot_account_gives_the_same_balances(spark):
-    """One account and fund with a third of all rows, cut into chunks."""
+    """One account and fund with a third of all rows, cut into ranges of its order or not."""
+    hot = hot_third(star_tables(spark, DATA)["trx"], account_id=7, fund_code=7)
+    cuts = group_cuts(hot, t.BALANCE_KEYS, t.BALANCE_ORDER, 60).collect()
+    assert [(r["account_id"], r["fund_code"]) for r in cuts] == [(7, 7)] and len(cuts[0]["_cuts"]) > 10
+    window = Window.partitionBy(*t.BALANCE_KEYS).orderBy(*t.BALANCE_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    plain = hot.withColumn("close", F.sum(F.col("units") * F.col("unit_factor")).over(window))
+    expected = sorted((r["order_id"], r["line_number"], r["leg"], r["close"]) for r in plain.collect())
+    for parts in (1, 60):
+        rows = t.running_balance(hot, parts).collect()
+        assert sorted((r["order_id"], r["line_number"], r["leg"], r["close_balance"]) for r in rows) == expected
+
+
+def test_hot_group_of_legs_gives_the_same_surplus(spark):
+    """A third of all legs without an investor, at one amount on one day; and a mix of small groups."""
     trx = star_tables(spark, DATA)["trx"]
-    third = F.col("order_id") % 3 == 0
-    hot = trx.withColumns(
-        {
-            "account_id": F.when(third, F.lit(7)).otherwise(F.col("account_id")),
-            "fund_code": F.when(third, F.lit(7)).otherwise(F.col("fund_code")),
-        }
-    )
-    chunks = t.balance_chunks(hot, 500, 100)
-    assert len(chunks.groups) == 1 and len(chunks.starts) > 5
-    assert spark_bag(t.running_balance(hot, chunks)) == spark_bag(t.running_balance(hot))
+    hot = hot_third(trx, investor_id=None, gross=0, trade_date=date(2021, 1, 4))
+    rows = [r.asDict() for r in hot.collect()]
+    groups = {}
+    for r in rows:
+        groups.setdefault(tuple(r[k] for k in t.TRANSFER_KEYS), {True: [], False: []})[r["unit_factor"] < 0].append(r)
+    expected = []
+    for sides in groups.values():
+        for side in (True, False):
+            own = sorted(sides[side], key=lambda r: tuple(r[c] for c in t.LEG_ORDER))
+            expected += [(r["order_id"], r["line_number"], r["leg"]) for r in own[len(sides[not side]) :]]
+    for parts in (1, 60):
+        found = t.transfer_unmatched(hot, parts).collect()
+        assert sorted((r["order_id"], r["line_number"], r["leg"]) for r in found) == sorted(expected)
+    assert len(group_cuts(hot, t.TRANSFER_KEYS, t.LEG_ORDER, 60).first()["_cuts"]) > 10
 
 
 def test_gross_exceptions(trx):
