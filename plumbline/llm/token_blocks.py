@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import columns, scratch
-from plumbline.llm.tokens import default_path, encoder
+from plumbline.llm.tokens import default_path, encoder, token_blocks
 
 BLOCK = 1024
 LANES = 64
@@ -149,31 +149,37 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarra
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, segment_ids: int = SEGMENT_IDS) -> None:
     """Encodes all texts, appends the end id to each and writes the segments in ascending doc_id order to ``folder``."""
     path = path or default_path()
-    end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        words = encoder(path)
         shard = TaskContext.get().partitionId()
         segment = before = size = 0
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         keys: list[int | None] = []
+        counts: list[int] = []
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            payload = encode_segment(ids, keys, [len(p) // 4 for p in parts])
+            ids = np.concatenate(parts)
+            payload = encode_segment(ids, keys, counts)
             row = {"shard": shard, "segment": segment, "n_docs": len(keys), "n_ids": len(ids), "before": before}
             return pa.RecordBatch.from_pylist([row | {"payload": payload}], schema=_SEGMENT)
 
         for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id")
-            for at in range(batch.num_rows):
-                part = encode(texts[at].as_py() or "") + end
-                parts.append(part)
-                keys.append(ids[at].as_py())
-                size += len(part) // 4
-                if size >= segment_ids:
-                    yield closed()
-                    segment, before, size, parts, keys = segment + 1, before + size, 0, [], []
+            for block in token_blocks(words, batch.column("text"), END_ID):
+                ids = batch.column("doc_id").slice(block.first, len(block.counts)).to_pylist()
+                ends = np.cumsum(block.counts)
+                at = done = 0
+                while at < len(ids):
+                    # Up to the text that fills the segment.
+                    till = min(len(ids), int(np.searchsorted(ends, done + segment_ids - size)) + 1)
+                    parts.append(block.ids[done : ends[till - 1]])
+                    keys += ids[at:till]
+                    counts += block.counts[at:till].tolist()
+                    size += int(ends[till - 1]) - done
+                    at, done = till, int(ends[till - 1])
+                    if size >= segment_ids:
+                        yield closed()
+                        segment, before, size, parts, keys, counts = segment + 1, before + size, 0, [], [], []
         if parts:
             yield closed()
 
