@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import columns, stored
-from plumbline.llm.tokens import default_path, encoder
+from plumbline.llm.tokens import default_path, encoder, token_blocks
 
 CAPACITY = 2048
 END_ID = 0
@@ -44,33 +44,43 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep
     path = path or default_path()
     kinds = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "task": "int", "within": "long"}
     kinds |= {"ids": "binary"} if keep_ids else {"ids_crc32": "long"}
-    fields = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    fields.append(pa.binary() if keep_ids else pa.int64())
-    end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        narrow = keep_ids and max(encoder(path).library.get_vocab().values(), default=0) < 1 << 16
+        words = encoder(path)
+        narrow = keep_ids and max(words.library.get_vocab().values(), default=0) < 1 << 16
         task = TaskContext.get().partitionId()
-        numbers = [0] * (capacity + 1)
+        numbers = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            texts = batch.column("text")
-            for at in range(0, batch.num_rows, 256):
-                out: list[tuple] = []
-                for key, text in zip(
-                    batch.column("doc_id").slice(at, 256).to_pylist(), texts.slice(at, 256).to_pylist(), strict=True
-                ):
-                    ids = encode(text or "") + end
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[start : start + 4 * capacity]
-                        length = len(part) // 4
-                        if narrow:
-                            part = np.frombuffer(part, "<u4").astype("<u2").tobytes()
-                        value = part if keep_ids else zlib.crc32(part)
-                        out.append((key, piece, start // 4, length, task, numbers[length], value))
-                        numbers[length] += 1
+            for block in token_blocks(words, batch.column("text"), END_ID):
+                # The pieces of all texts lie one behind the other.
+                pieces = -(-block.counts // capacity)
+                text = np.repeat(np.arange(len(pieces)), pieces)
+                piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(capacity, block.counts[text] - piece * capacity)
+                order = np.argsort(length, kind="stable")
+                sizes = np.bincount(length, minlength=capacity + 1)
+                within = np.empty(len(text), np.int64)
+                within[order] = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                within += numbers[length]
+                numbers += sizes
+                ids = block.ids.astype("<u2" if narrow else "<u4")
+                ends = np.append(0, np.cumsum(length * ids.itemsize))
+                values = pa.Array.from_buffers(
+                    pa.large_binary(), len(text), [None, pa.py_buffer(ends), pa.py_buffer(ids.view(np.uint8))]
+                ).cast(pa.binary())
+                if not keep_ids:
+                    values = pa.array([zlib.crc32(v.as_buffer()) for v in values], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f) for c, f in zip(zip(*out, strict=True), fields, strict=True)], names=list(kinds)
+                    [
+                        batch.column("doc_id").take(pa.array(block.first + text)),
+                        pa.array(piece.astype(np.int32)),
+                        pa.array(piece * capacity),
+                        pa.array(length),
+                        pa.array(np.full(len(text), task, np.int32)),
+                        pa.array(within),
+                        values,
+                    ],
+                    names=list(kinds),
                 )
 
     return columns(docs, doc_id="long", text="string").mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))

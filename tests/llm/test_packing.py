@@ -4,13 +4,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_data import DATA, ODD_TEXTS, documents  # noqa: F401
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from plumbline.llm import packing as p
-from plumbline.llm import queries
+from plumbline.llm import queries, tokens
 from plumbline.llm.tokens import WordEncoder, default_path
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -33,6 +34,24 @@ def test_remembered_words_equal_the_library():
     assert encoder.plain
 
 
+def test_blocks_of_texts_equal_the_library(monkeypatch):
+    rnd = random.Random(7)
+    parts = ["The", "word,", "É", "it's", "<|endoftext|>", " ", " ", "漢字", "\U0001f600", "\t", "\r\n", "x" * 300, "\n", "  "]
+    texts = [None, "", " ", "\n\n"] + ["".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 30))) for _ in range(400)]
+    texts += [None, "", "last"]
+    for size in (1, 50, 5_000, 1 << 21):
+        monkeypatch.setattr(tokens, "BLOCK_BYTES", size)
+        at = 0
+        for block in tokens.token_blocks(WordEncoder(default_path()), pa.array(texts), 9):
+            assert block.first == at
+            ends = np.cumsum(block.counts)
+            for n, end in zip(block.counts.tolist(), ends.tolist(), strict=True):
+                assert block.ids[end - n : end].tolist() == [*ids_of(texts[at]), 9]
+                at += 1
+            assert len(block.ids) == ends[-1]
+        assert at == len(texts)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_fullest_combination(seed):
     rnd = random.Random(seed)
