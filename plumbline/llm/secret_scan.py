@@ -2,9 +2,9 @@
 
 Candidates are unbroken runs of one character class. A window slides over each; its Shannon entropy is kept by
 counts that change for the entering and the leaving character only. Windows above the class threshold are joined to
-spans. Candidates that mix too few kinds of characters are suppressed, and windows by the allow list: those that overlap
-a part (between separators) in which it matches, or, where it is only a small piece of a long part or repeats one
-character, those that hold the match. The allow list never suppresses a pattern's span.
+spans. Candidates that mix too few kinds of characters are suppressed, and so are windows that overlap a match of the
+allow list; what stands beside a match is scanned like any other text. The allow list never suppresses a pattern's span.
+All of it takes time in proportion to the text.
 
 Nulls and edge cases: a null or empty text has no span; a null doc_id stays null; repeated rows are scanned each;
 an empty table gives an empty result; other columns of the input are left out (``find_secrets``) or kept as they are
@@ -51,9 +51,8 @@ CLASSES = (
     EntropyClass("entropy_base64", "A-Za-z0-9+/_-", 24, 4.0, ("[0-9]", "[a-z]", "[A-Z]")),
     # Random windows of these have 4.0 bits on average; digits in two places tell keys from long names.
     EntropyClass("entropy_base32", "A-Z2-7", 24, 3.6, ("[A-Z]", "[2-7]")),
-    EntropyClass("entropy_lower", "a-z0-9", 24, 3.7, ("[0-9]+[a-z]+[0-9]",)),
+    EntropyClass("entropy_lower", "a-z0-9", 24, 3.7, ("[0-9][a-z]+[0-9]",)),
 )
-_PART = re.compile("[^+/_-]+")
 #: Candidates that look random but are public by nature: documentation samples, counted alphabets, runs of words.
 ALLOW = (
     r"(?i)example|sample|placeholder|changeme|your[_-]|dummy",
@@ -66,41 +65,26 @@ SPAN_TYPE = "array<struct<kind:string,start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def allowed(run: str, window: int, allow: list[re.Pattern]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Stretches of a run on the allow list: those that suppress the windows that overlap them, and those that suppress
-    the windows that hold them whole."""
-    found = [m.span() for a in allow for m in a.finditer(run)]
-    if not found:
-        return [], []
-    if (0, len(run)) in found:
-        return [(0, len(run))], []
-    words = [(a, b) for a, b in found if len(set(run[a:b])) > 1]
-    whole = [x for x in found if x not in words]
-    parts = []
-    for m in _PART.finditer(run):
-        inside = [(a, b) for a, b in words if a < m.end() and b > m.start()]
-        if inside:
-            listed = {i for a, b in inside for i in range(max(a, m.start()), min(b, m.end()))}
-            if m.end() - m.start() - len(listed) < 2 * window:
-                parts.append(m.span())
-            else:
-                whole += inside
-    return parts, whole
+def allowed(run: str, allow: list[re.Pattern]) -> list[tuple[int, int]]:
+    """Stretches of a run that the allow list names, in order and without overlap."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(m.span() for a in allow for m in a.finditer(run)):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
 
 
 def high_windows(
-    candidate: str,
-    window: int,
-    bits: float,
-    parts: Sequence[tuple[int, int]] = (),
-    whole: Sequence[tuple[int, int]] = (),
+    candidate: str, window: int, bits: float, spared: Sequence[tuple[int, int]] = ()
 ) -> list[tuple[int, int]]:
     """Joined spans of all windows whose entropy reaches ``bits``; counts and sums are updated, never rebuilt. Windows
-    that overlap one of ``parts`` or hold one of ``whole`` don't count."""
+    that overlap one of the ``spared`` stretches, which are in order, don't count."""
     terms = _terms(window)
     most = window * math.log2(window) - bits * window
     counts: dict[str, int] = {}
-    total, spans = 0, []
+    total, spans, at = 0, [], 0
     for i, c in enumerate(candidate):
         n = counts.get(c, 0)
         total += terms[n + 1] - terms[n]
@@ -112,7 +96,9 @@ def high_windows(
             counts[gone] = n - 1
         if i >= window - 1 and total <= most * _UNIT:
             start = i - window + 1
-            if any(a <= i and b > start for a, b in parts) or any(a >= start and b <= i + 1 for a, b in whole):
+            while at < len(spared) and spared[at][1] <= start:
+                at += 1
+            if at < len(spared) and spared[at][0] <= i:
                 continue
             if spans and start <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], i + 1)
@@ -150,7 +136,7 @@ class Scanner:
             for m in runs.finditer(text):
                 run = m[0]
                 if all(x.search(run) for x in mixes):
-                    spans = high_windows(run, c.window, c.bits, *allowed(run, c.window, self.allow))
+                    spans = high_windows(run, c.window, c.bits, allowed(run, self.allow))
                     found += [(m.start() + s, rank, c.kind, m.start() + e) for s, e in spans]
         return sorted(found)
 

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from llm_data import ODD_TEXTS, documents, sha  # noqa: F401
@@ -72,7 +73,9 @@ def test_entropy_spans_and_allow_list(documents):
     ]
     spans = {r["doc_id"]: r["spans"] for r in s.digest(s.find_secrets(documents(rows))).collect()}
     assert spans[1] == f"entropy_base64:4:{4 + len(RANDOM)}"
-    assert spans[2] == spans[3] == spans[4] == ""
+    # What stands beside an allowed word is no part of it.
+    assert spans[2] == f"entropy_base64:11:{11 + len(RANDOM)}"
+    assert spans[3] == spans[4] == ""
     assert spans[5].startswith("entropy_hex:0:")
 
 
@@ -96,6 +99,29 @@ def test_allow_list_spares_only_what_it_names(documents):
     assert not found[4]
 
 
+def test_keys_beside_an_allowed_word_are_found():
+    rnd = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    scanner = s.Scanner(s.CLASSES, s.ALLOW)
+    # With letters and digits of each kind, as the class demands.
+    keys = ["".join(rnd.choice(letters) for _ in range(37)) + "a1B" for _ in range(500)]
+    assert all(any(k.startswith("entropy") for _, _, k, _ in scanner.spans(key)) for key in keys)
+    for before in ("sample", "example", "sample/", "EXAMPLE_"):
+        found = [{i for a, _, k, b in scanner.spans(f"x {before}{key} y") if k.startswith("entropy") for i in range(a, b)} for key in keys]
+        first = 2 + len(before)
+        assert sum(len(f & set(range(first, first + 40))) >= 24 for f in found) == 500
+        assert not any(f & set(range(2, 2 + len("sample"))) for f in found)
+
+
+def test_time_is_proportional_to_the_text():
+    scanner = s.Scanner(s.CLASSES, s.ALLOW)
+    for part in ("example1A/", "aB3", "sample", "AAAAAAAA", "aB3/", "0123456789"):
+        text = part * (200_000 // len(part))
+        start = time.process_time()
+        scanner.spans(text)
+        assert time.process_time() - start < 10, part
+
+
 def test_base32_and_lower_case_keys(documents):
     rnd = random.Random(6)
     for kind, letters in (
