@@ -22,6 +22,8 @@ kept as they are (``keep_clean``).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -155,16 +157,22 @@ def tiles(item: list[str], segments: list[list[str]], least: int = LEAST) -> lis
         if longest > 2 * length:
             length = longest
             continue
-        matches.sort(key=lambda m: (-m[2], m[0], m[1]))
-        again = False
-        for i, j, n in matches:
-            if all(free_p[i : i + n]) and all(free_t[j : j + n]):
-                free_p[i : i + n] = free_t[j : j + n] = [False] * n
-                found.append((i, j, n))
-            else:
-                again = True  # what is left of it may still be long enough
-        if again:
-            continue
+        queue = [(-n, i, j) for i, j, n in matches]
+        heapify(queue)
+        while queue:
+            n, i, j = heappop(queue)
+            open_ = [a and b for a, b in zip(free_p[i : i - n], free_t[j : j - n], strict=True)]
+            if all(open_):
+                free_p[i : i - n] = free_t[j : j - n] = [False] * -n
+                found.append((i, j, -n))
+                continue
+            # What is left of it waits for its turn among the shorter ones.
+            at = 0
+            for free, run in groupby(open_):
+                size = len(list(run))
+                if free and size >= length:
+                    heappush(queue, (-size, i + at, j + at))
+                at += size
         if length == least:
             break
         length = max(least, length // 2)
@@ -263,9 +271,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows whose doc_id isn't contaminated. Rows without a doc_id are judged by their text alone and can't be
-    named, so they are numbered by a hash of it for this purpose."""
-    numbered = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    """The rows that aren't contaminated. Each is judged by its own text, whatever other rows have its doc_id or none: rows
+    are numbered by a hash of both."""
+    numbered = F.xxhash64(F.col("doc_id").cast("long"), "text")
     named = docs.select(numbered.alias("doc_id"), F.col("text"))
     bad = stored(contaminated(named, benchmark, coverage).select(F.col("doc_id").alias("_bad_id")).distinct(), "bad")
     return docs.join(bad, numbered == F.col("_bad_id"), "left_anti")
