@@ -21,7 +21,9 @@ rows are copies. An empty table gives an empty result; other columns are left ou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -61,17 +63,19 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(data), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed number."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed number, with the columns of long numbers named in ``carry``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, shingle) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"]
+                [*(batch.column(c) for c in ("doc_id", *carry)), pa.array(np.array(found, np.uint64).view(np.int64))],
+                names=["doc_id", *carry, "fp"],
             )
 
-    return columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long")
+    rows = columns(docs, doc_id="long", text="string", **dict.fromkeys(carry, "long"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *carry, "fp")))
 
 
 class GrayIndex:
@@ -394,15 +398,25 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents with one row of each group: that of the smallest doc_id, and of equal doc_ids the smallest row.
-
-    Rows without a doc_id all stay.
-    """
+    """The documents with one row of each group: that of the smallest doc_id (none comes last), and of equal ones the
+    smallest row. Rows are told apart by doc_id and two checksums of the text, so unlike texts under one doc_id, or without
+    one, are documents of their own, and copies without a doc_id are copies."""
     names = docs.columns
-    keys = stored(near_duplicates(docs, shingle, max_bits).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    row = F.struct(*(F.col(c) for c in names))
-    kept = docs.select(F.col("doc_id").cast("long").alias("_kept_id"), row.alias("_row")).join(
-        keys.select(F.col("doc_id").alias("_kept_id")), "_kept_id"
+    key = ["_id", "_hash", "_crc"]
+    keyed = docs.select(
+        F.struct(*(F.col(c) for c in names)).alias("_row"),
+        F.col("doc_id").cast("long").alias("_id"),
+        F.xxhash64("text").alias("_hash"),
+        F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("_crc"),
     )
-    one = kept.groupBy("_kept_id").agg(F.min("_row").alias("_row")).select("_row.*")
-    return one.unionByName(docs.where("doc_id is null"))
+    rows = keyed.select(F.col("_id").alias("doc_id"), F.col("_row.text").alias("text"), "_hash", "_crc")
+    prints = stored(fingerprints(rows, shingle, ("_hash", "_crc")), "fingerprints")
+    # A fingerprint is its own number here; groups are told by the smallest one.
+    nodes = stored(prints.select("fp", F.col("fp").alias("id")).distinct(), "nodes")
+    roots = components(links(nodes, max_bits))
+    grouped = prints.join(roots, prints.fp == roots.node, "left").withColumn("_group", F.coalesce("root", "fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), "_hash", "_crc"))
+    kept = stored(grouped.groupBy("_group").agg(first.alias("k")).select(*(f"k.{c}" for c in key)), "kept")
+    same = reduce(and_, [keyed[c].eqNullSafe(kept[c]) for c in key])
+    chosen = keyed.join(kept, same, "left_semi")
+    return chosen.groupBy(*key).agg(F.min("_row").alias("_row")).select("_row.*")

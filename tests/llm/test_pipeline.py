@@ -2,15 +2,15 @@ import re
 from collections import Counter
 
 import pytest
-from llm_data import DATA, sorted_rows
+from llm_data import DATA, ODD_TEXTS, documents, sorted_rows  # noqa: F401
 from test_decontaminate import plain as plain_leaks
-from test_packing import check, ids_of
+from test_packing import check
 from test_secret_scan import base
 from test_simhash_dedup import fingerprint, roots
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from plumbline.llm import queries, secret_scan
+from plumbline.llm import queries
 
 
 def test_stages_on_given_data(spark):
@@ -56,15 +56,32 @@ def _may_leak(text, benchmark):
 
 
 def test_run_equals_its_stages(spark):
-    total = sum(r["length"] for r in corpus_pipeline.run(spark, DATA).collect())
-    assert total > 0
-    assert ids_of("a") and secret_scan.PLACEHOLDER
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, DATA), "test")
+    columns = [c for c in docs.columns if c not in ("sequence_id", "offset")]
+    whole = corpus_pipeline.run(spark, DATA)
+    assert whole.columns == docs.columns
+    assert sorted_rows(whole.select(columns).collect()) == sorted_rows(docs.select(columns).collect())
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_odd_rows_pass_each_stage(spark, documents, stage):
+    """Null ids, unlike texts under one id, repeated rows, null, empty and long texts, and a table without rows."""
+    docs = documents([*ODD_TEXTS, *ODD_TEXTS[:3]])
+    out = stage[1](spark, docs, DATA)
+    rows = out.collect()
+    if stage[0] == "best-fit packing":
+        check(rows, [*ODD_TEXTS, *ODD_TEXTS[:3]], 2048)
+    else:
+        assert out.columns == docs.columns and {r["doc_id"] for r in rows} <= {i for i, _ in ODD_TEXTS}
+    assert stage[1](spark, docs.where("false"), DATA).collect() == []
 
 
 def test_registered():
     registered = entry.queries()
     assert [n for n in registered if re.match(r"op\d+_", n)] == list(queries.QUERIES)
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
     assert "pipeline" in registered
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 

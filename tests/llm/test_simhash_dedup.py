@@ -103,7 +103,20 @@ def test_one_of_each_group_stays(documents):
     kept = [(r["doc_id"], r["text"]) for r in out.collect()]
     assert sorted(k for k, _ in kept if k in (1, 2, 3)) == [1]
     assert sorted(k for k, _ in kept if k in (10, 11)) == [10]
-    assert sum(k is None for k, _ in kept) == 2
+    # A null text without an id is a copy of the empty ones.
+    assert [t for k, t in kept if k is None] == ["a text without an id"]
+    assert sorted(t for k, t in kept if k == 12) == ["one id", "two texts"]
+
+
+def test_rows_are_told_apart_by_their_texts(documents):
+    """Unlike texts under one id all stay; copies go whether they have an id or not; so do repeated rows."""
+    long = "some words of a text that is long enough to have a fingerprint of its own " * 5
+    rows = [(7, "first text under an id"), (7, "something quite unlike the other one")] * 2
+    rows += [(None, "nobody's text"), (None, "nobody's text"), (None, "nobody's other and unlike text")]
+    rows += [(9, long), (8, long), (None, long), (8, long)]
+    got = sorted(((r["doc_id"], r["text"]) for r in s.keep_one(documents(rows)).collect()), key=str)
+    expected = {*rows[:2], rows[4], rows[6], (8, long)}
+    assert got == sorted(expected, key=str)
 
 
 def test_empty_table(documents):
