@@ -266,6 +266,11 @@ def queries() -> dict[str, Query]:
         "unpriced_days": _job(rebuild.unpriced_days),
         "unpriced_days_window": _job(rebuild.unpriced_days, **WINDOW),
         "suite2_results": _job(verdict.report_results),
+        "lost_days": _job(
+            lambda cfg, tables: rebuild.lost_days(cfg, tables).select(
+                "account_id", "management_company_code", "fund_code", "effective_date", "end_date", "lost_days"
+            )
+        ),
         "month_end_window": _trx(_month_end, "month_end", "window_side"),
         "biz_day_rank": _trx(
             lambda cfg, tables: transactions.business_day_rank(_month_end(cfg, tables)),

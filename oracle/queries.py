@@ -530,6 +530,21 @@ def _unpriced_days(window: str = "") -> str:
     )
 
 
+def _lost_days() -> str:
+    return query(
+        """
+        SELECT account_id, m.management_company_code, m.fund_code, effective_date, end_date, count(*) AS lost_days
+        FROM (SELECT row_number() OVER () AS position, * FROM daily WHERE management_company_code IN ('MAX', 'CGF')) m
+        JOIN (SELECT DISTINCT fund_price_date AS d FROM fund_price) ON d BETWEEN effective_date AND end_date
+        LEFT JOIN (SELECT DISTINCT fund_code, management_company_code, fund_price_date FROM fund_price) p
+          ON p.fund_code = m.fund_code AND p.management_company_code = m.management_company_code AND p.fund_price_date = d
+        WHERE p.fund_code IS NULL
+        GROUP BY position, account_id, m.management_company_code, m.fund_code, effective_date, end_date
+        """,
+        "daily", "fund_price",
+    )
+
+
 def _report_results() -> str:
     gaps = (
         ("SRC-M", "Monthly positions without a price", "MONTHLY", "NO PRICE"),
@@ -670,6 +685,7 @@ _OTHERS: dict[str, str] = {
     "unpriced_days": _unpriced_days(),
     "unpriced_days_window": _unpriced_days(_WINDOW),
     "suite2_results": _report_results(),
+    "lost_days": _lost_days(),
     "running_balance_hot": query(
         _balance_of(
             "SELECT * REPLACE (CASE WHEN order_id % 3 = 0 THEN 7 ELSE account_id END AS account_id,"

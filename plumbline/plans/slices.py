@@ -12,11 +12,21 @@ from plumbline.config import SuiteConfig
 Tables = Mapping[str, DataFrame]
 
 
+def month_column(day: str) -> str:
+    """Name of the column that has the month of ``day`` in tables stored by month."""
+    return f"{day}_month"
+
+
 def in_window(df: DataFrame, cfg: SuiteConfig, day: str = "extract_date") -> DataFrame:
-    """Closed date window; no window means all rows. Filters the stored column, so files can be skipped."""
+    """Closed date window; no window means all rows. Filters the stored column, so files can be skipped, and the month
+    where the table is stored by month, so that other months aren't even listed."""
     if cfg.date_from is None:
         return df
-    return df.where(F.col(day).between(F.lit(cfg.date_from), F.lit(cfg.date_to)))
+    rows = df.where(F.col(day).between(F.lit(cfg.date_from), F.lit(cfg.date_to)))
+    month = month_column(day)
+    if month not in df.columns:
+        return rows
+    return rows.where(F.col(month).between(f"{cfg.date_from:%Y-%m}", f"{cfg.date_to:%Y-%m}")).drop(month)
 
 
 def target_slice(cfg: SuiteConfig, tables: Tables) -> DataFrame:

@@ -1,0 +1,69 @@
+"""Tables stored by month: the same results from fewer files."""
+
+import pytest
+from comparison import spark_bag
+from conftest import DATA
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from plumbline.plans.slices import target_slice
+from plumbline.plans.variance import reference_variance, source_variance
+from plumbline.sources.layout import with_position_date, write_by_month
+from plumbline.sources.star import star_config, star_tables
+from plumbline.sources.tables import TableSet
+
+
+DAYS = {
+    "wealth_assets": "extract_date",
+    "asset_reference": "extract_date",
+    "fund_price": "fund_price_date",
+    "fund_position_monthly": "position_date",
+}
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """The sample tables, those with a day by month."""
+    root = str(tmp_path_factory.mktemp("by_month"))
+    tables = star_tables(spark, DATA)
+    for name in [*DAYS, "usd_fx_rate", "fund_position_daily"]:
+        rows = with_position_date(tables[name]) if name == "fund_position_monthly" else tables[name]
+        if name in DAYS:
+            write_by_month(rows, f"{root}/{name}.parquet", DAYS[name], files=2)
+        else:
+            rows.write.parquet(f"{root}/{name}.parquet")
+    return TableSet.from_parquet(spark, root)
+
+
+def test_window_reads_its_months_only(spark, stored):
+    cfg = star_config(**entry.WINDOW)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = target_slice(cfg, stored)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "extract_date_month" in scan.partition("PartitionFilters")[2].partition("]")[0]
+    read = target_slice(cfg, stored).select(F.input_file_name().alias("f")).distinct().collect()
+    months = {r["f"].partition("extract_date_month=")[2][:7] for r in read}
+    assert months <= {"2020-09", "2020-10", "2020-11", "2020-12", "2021-01", "2021-02", "2021-03"} and len(months) > 3
+
+
+@pytest.mark.parametrize("report", ["b1", "a1"])
+def test_reports_are_the_same(spark, stored, report):
+    cfg = star_config(**entry.WINDOW)
+    make = source_variance if report == "b1" else reference_variance
+    assert spark_bag(make(cfg, stored, report.upper())) == spark_bag(entry.queries()[f"{report}_window"](spark, DATA))
+
+
+def test_a_hot_month_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(2000).select("id", F.lit("2024-01-31").cast("date").alias("day"))
+    # Else AQE writes so few rows with one task.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for _ in range(2):
+            write_by_month(rows, str(tmp_path / "t"), "day", files=9)
+            back = spark.read.parquet(str(tmp_path / "t"))
+            assert back.count() == 2000 and back.select(F.input_file_name()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
