@@ -124,8 +124,9 @@ def source_positions(cfg: SuiteConfig, tables: Tables) -> DataFrame:
 def with_dealer(cfg: SuiteConfig, tables: Tables, rows: DataFrame) -> DataFrame:
     """Add the dealer that served the account on the extract date; null if there was none.
 
-    Two periods that share a boundary day both match on it. An account has few periods, so
-    the range is tested within the account.
+    Two periods that share a boundary day both match on it. Periods are listed under the years that they touch, within the
+    days that prices can have, so a position of an account with a long history meets the few periods of its year only, and
+    the account's positions are spread over years.
     """
     accounts = tables[cfg.account_table].select(
         "account_id", "management_company_code", "dealer_code", "effective_date", "end_date"
@@ -138,7 +139,8 @@ def with_dealer(cfg: SuiteConfig, tables: Tables, rows: DataFrame) -> DataFrame:
         low="effective_date",
         high="end_date",
         how="left",
-        bucket=None,
+        bucket="year",
+        span=price_span(cfg, tables),
     )
     return joined.drop("effective_date", "end_date")
 

@@ -1,6 +1,6 @@
 """The source rebuild on hand-made rows."""
 
-from datetime import date
+from datetime import date, timedelta
 from decimal import Decimal
 
 import pytest
@@ -99,6 +99,25 @@ def test_dealer_periods_that_share_a_day_both_match(cfg, raw):
     assert sorted((r["account_id"], r["dealer_code"] or "") for r in found) == [("A1", "D1"), ("A1", "D2"), ("A2", "")]
 
 
+def test_an_account_with_a_long_history(spark, cfg, raw):
+    """One account with a period for each fortnight of thirty years, some of which overlap, and as many positions."""
+    start = D(1996, 1, 1)
+    periods = [("A1", "MAX", f"D{k}", start + timedelta(14 * k), start + timedelta(14 * k + 14 + k % 3)) for k in range(780)]
+    days = [start + timedelta(11 * k) for k in range(990)]
+    tables = raw(
+        price=[("F1", "MAX", d, TWO, "C") for d in days],
+        account=periods,
+    )
+    rows = spark.createDataFrame([("A1", "MAX", d) for d in days], "account_id string, management_company_code string, extract_date date")
+    found = rebuild.with_dealer(cfg, tables, rows)
+    got = sorted((r["extract_date"], r["dealer_code"]) for r in found.collect())
+    expected = sorted((d, p[2]) for d in days for p in periods if p[3] <= d <= p[4])
+    assert got == expected and len(got) > len(days)
+    # A day meets the periods of its year, 26 or so, and not all 780.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bucket" in plan
+
+
 def test_both_paths_stay_apart_rows(cfg, raw):
     tables = raw(
         price=[("F1", "MAX", SEP30, TWO, "C")],
