@@ -1,12 +1,16 @@
 """What the planner makes of the jobs on stored tables."""
 
+import re
 from datetime import date
 
 import pytest
 from conftest import DATA, REFERENCE_SCHEMA, TARGET_SCHEMA, frame, reference_row, target_row
 
 from plumbline.plans.checks import CHECKS_BY_ID, RECORD_RULES, matched_records
+from plumbline.plans.suite import count_totals, suite_results
+from plumbline.plans.transactions import running_balance
 from plumbline.plans.variance import reference_variance
+from plumbline.sources.star import star_config, star_tables
 from plumbline.sources.tables import TableSet
 
 def plan_of(df):
@@ -80,3 +84,56 @@ def test_bucketed_tables_match_without_a_shuffle(cfg, spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in rows:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_totals_of_all_grains_take_one_shuffle_a_side(cfg, stored):
+    assert plan_of(count_totals(cfg, stored)).count("Exchange hashpartitioning(") == 2
+
+
+@pytest.fixture(scope="module")
+def star_root(spark, tmp_path_factory):
+    """A star schema of two line items."""
+    root = str(tmp_path_factory.mktemp("star"))
+    day = date(1996, 3, 5)
+    made = {
+        "lineitem": (
+            [(n, 1, 1, 1, 5.0, 10.0, "R", "O", day) for n in (1, 2)],
+            "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double,"
+            " l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate date",
+        ),
+        "orders": ([(1, 1, day), (2, 1, day)], "o_orderkey long, o_custkey long, o_orderdate date"),
+        "part": ([(1, 2.0)], "p_partkey long, p_retailprice double"),
+        "customer": ([(1, 1)], "c_custkey long, c_nationkey int"),
+    }
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{root}/{name}.parquet")
+    return root
+
+
+# The suite has passes that drop rows without a date, and passes that don't.
+@pytest.mark.parametrize("job, shuffles", [("suite", 2), ("record", 1), ("balance", 1)])
+def test_tables_share_the_shuffles_of_line_items(spark, star_root, job, shuffles):
+    """Tables of the same line items in one query share the shuffles below them, whatever columns and rows they take."""
+    jobs = {
+        "suite": suite_results,
+        "record": CHECKS_BY_ID["MV-05"].build,
+        "balance": lambda cfg, tables: running_balance(tables["trx"]),
+    }
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        plan = plan_of(jobs[job](star_config(), star_tables(spark, star_root)))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(re.findall(r"(?m)^[^A-Za-z]*Exchange hashpartitioning\(l_orderkey", plan)) == shuffles
+
+
+def test_windows_reach_the_files_of_line_items(spark, star_root):
+    """The date window is applied to the ship date before the line items meet their orders."""
+    cfg = star_config(date_from=date(2020, 9, 1), date_to=date(2021, 3, 31))
+    lines = plan_of(reference_variance(cfg, star_tables(spark, star_root), "A1"))
+    filters = [line for line in lines.splitlines() if "Filter" in line and "isnotnull(l_orderkey" in line]
+    assert filters and all("add_months" in line for line in filters)
