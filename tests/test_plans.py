@@ -63,6 +63,18 @@ def test_report_aligns_both_sides_with_one_shuffle_each(cfg, spark, stored):
     assert "Expand" not in plan
 
 
+@pytest.mark.parametrize("report_id, shuffles", [("A3", 4), ("A4", 3), ("A5", 4)])
+def test_sums_finer_than_the_match_are_shuffled_once(cfg, spark, stored, report_id, shuffles):
+    """One shuffle for each side, one by fund, or one each for the account level and the result."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = plan_of(reference_variance(cfg, stored, report_id, ordered=False))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(") == shuffles
+
+
 def test_bucketed_tables_match_without_a_shuffle(cfg, spark, tmp_path):
     keys = {
         "wealth_assets": ["policy_number", "manufacturing_company_code", "extract_date"],
