@@ -76,18 +76,28 @@ def check_lines(
     A line is rejected for a cell with text that cannot be cast (the reason is the column's name) and for another number
     of cells than ``width`` (``too many cells``, ``too few cells``). Accepted rows have no reasons and no line.
     """
-    rows = lines.select("value", _cells(F.col("value"), sep).alias("cells"))
+    wanted = sorted(columns.items())
+    parsed = lines.select("value", _cells(F.col("value"), sep).alias("cells"))
+    texts = [F.nullif(F.nullif(F.get("cells", F.lit(i - 1)), F.lit(null_text)), F.lit("")) for i, _ in wanted]
+    # Lines and texts pass as one value each: otherwise a filter on the reasons goes through to the lines, which are then
+    # made and split once for every column, and once more for what is left.
+    parsed = _once(parsed, F.col("value"), F.size("cells").alias("size"), *(t.alias(f"t{k}") for k, t in enumerate(texts)))
     cells, bad = {}, []
-    for i, (name, kind) in sorted(columns.items()):
-        text = F.nullif(F.nullif(F.get("cells", F.lit(i - 1)), F.lit(null_text)), F.lit(""))
+    for k, (_, (name, kind)) in enumerate(wanted):
+        text = F.col(f"t{k}")
         cells[name] = text if kind == "string" else text.try_cast(kind)
         if kind != "string":
             bad.append(F.when(text.isNotNull() & cells[name].isNull(), F.lit(name)))
-    size = F.size("cells")
-    many = F.when(size > width, "too many cells").when(size < width, "too few cells")
+    many = F.when(F.col("size") > width, "too many cells").when(F.col("size") < width, "too few cells")
     reasons = F.array_compact(F.array(many, *bad))
-    checked = rows.select("value", *(c.alias(n) for n, c in cells.items()), reasons.alias("reasons"))
-    return checked.select(*cells, F.when(F.size("reasons") > 0, F.col("value")).alias("line"), "reasons")
+    checked = parsed.select("value", *(c.alias(n) for n, c in cells.items()), reasons.alias("reasons"))
+    line = F.when(F.size("reasons") > 0, F.col("value")).alias("line")
+    return _once(checked, *(F.col(n) for n in cells), line, F.col("reasons"))
+
+
+def _once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """Like ``select``, but a row's columns are made once: filters on them stay above, and are not put in their place."""
+    return rows.select(F.inline(F.array(F.struct(*columns))))
 
 
 def accepted(checked: DataFrame) -> DataFrame:

@@ -138,3 +138,12 @@ def test_accepted_and_rejected_rows_come_from_one_scan(spark, tmp_path):
     assert Counter(r["line"] for r in d.rejected(checked).collect()) == lines
     expected = trx.where(~kind.isin(1, 3, 4)).withColumn("units", F.when(kind != 2, F.col("units")))
     assert spark_bag(d.accepted(checked)) == spark_bag(expected)
+
+
+def test_lines_are_made_and_split_once(spark):
+    """A filter on the reasons doesn't put the making and splitting of a line in place of each of its columns."""
+    lines = spark.range(3).select(F.concat_ws("\t", F.col("id").cast("string"), F.lit("2021-02-03")).alias("value"))
+    checked = d.check_lines(lines, {1: ("number", "int"), 2: ("day", "date")}, 2)
+    for rows in (d.accepted(checked), d.rejected(checked)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == plan.count("concat_ws(") == 1
