@@ -147,3 +147,10 @@ def test_lines_are_made_and_split_once(spark):
     for rows in (d.accepted(checked), d.rejected(checked)):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("split(") == plan.count("concat_ws(") == 1
+
+
+def test_values_are_not_made_again_to_test_them_for_null(spark):
+    target = star_tables(spark, DATA)["wealth_assets"]
+    plan = target.where("source_system = 'SYS_A' AND market_value IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert "0.50" in plan
+    assert not [line for line in plan.splitlines() if ("Join" in line or "Filter" in line) and "0.50" in line]
