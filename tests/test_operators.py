@@ -235,3 +235,40 @@ def test_sort_reads_a_shuffle_twice_and_not_the_table(spark):
     plan = sort_once(spark.range(10).where("id > 3"), ["id"], ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "REBALANCE_PARTITIONS_BY_COL" in plan
     assert "rangepartitioning" in plan
+
+
+def test_days_of_whole_years_are_counted(spark):
+    """Ranges over year ends, leap days and years without a day, open-ended ones too."""
+    priced = {"a": [date(2020, 1, 1), date(2020, 2, 29), date(2020, 3, 2), date(2020, 12, 31), date(2023, 1, 1)], "b": [date(2021, 6, 30)]}
+    days = spark.createDataFrame([(k, d) for k, ds in priced.items() for d in ds] + [("a", date(2020, 2, 29)), ("a", None)], "k string, d date")
+    edges = [date(1, 1, 1), date(2019, 12, 31), *priced["a"], date(2020, 3, 3), date(2021, 6, 30), date(2022, 7, 1), date(9999, 12, 31)]
+    ranges = [(k, low, high) for k in ("a", "b", "c") for low in edges for high in edges]
+    first, last = date(2020, 1, 1), date(2023, 1, 1)
+    found = count_days_inside(
+        spark.createDataFrame(ranges, "k string, low date, high date"), days, ["k"], "d", "low", "high",
+        (F.lit(first), F.lit(last)), "n",
+    ).collect()
+    assert len(found) == len(ranges)
+    for r in found:
+        assert r["n"] == sum(r["low"] <= d <= r["high"] for d in priced.get(r["k"], [])), r
+
+
+def test_days_are_listed_by_year(spark):
+    """A key with two days seven years apart is looked up in eight rows, not in one for each month between them."""
+    days = spark.createDataFrame([(1, date(2014, 1, 1)), (1, date(2021, 12, 31))], "k int, d date")
+    ranges = spark.createDataFrame([(1, date(2014, 1, 1), date(2021, 12, 31))], "k int, low date, high date")
+    span = (F.lit(date(2014, 1, 1)), F.lit(date(2021, 12, 31)))
+    counted = count_days_inside(ranges, days, ["k"], "d", "low", "high", span, "n")
+    assert counted.first()["n"] == 2
+    assert "year(" in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "trunc(" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("bucket", ["week", "month", "quarter", "year"])
+def test_buckets_are_numbered_in_a_row(spark, bucket):
+    from plumbline.operators.joins import bucket_number
+
+    days = spark.sql("SELECT explode(sequence(date'1968-12-20', date'1972-03-05', interval 1 day)) AS d")
+    rows = days.select("d", F.trunc("d", bucket).alias("start"), bucket_number(F.col("d"), bucket).alias("n")).orderBy("d").collect()
+    for a, b in zip(rows, rows[1:], strict=False):
+        assert b["n"] - a["n"] == (1 if b["start"] != a["start"] else 0), b
