@@ -9,7 +9,7 @@ from conftest import DATA, REFERENCE_SCHEMA, TARGET_SCHEMA, frame, reference_row
 from plumbline.plans.checks import CHECKS_BY_ID, RECORD_RULES, matched_records
 from plumbline.plans.suite import count_totals, suite_results
 from plumbline.plans.transactions import running_balance
-from plumbline.plans.variance import reference_variance
+from plumbline.plans.variance import reference_variance, source_variance
 from plumbline.sources.star import star_config, star_tables
 from plumbline.sources.tables import TableSet
 
@@ -149,3 +149,23 @@ def test_windows_reach_the_files_of_line_items(spark, star_root):
     lines = plan_of(reference_variance(cfg, star_tables(spark, star_root), "A1"))
     filters = [line for line in lines.splitlines() if "Filter" in line and "isnotnull(l_orderkey" in line]
     assert filters and all("add_months" in line for line in filters)
+
+
+@pytest.mark.parametrize("report_id, grain", [("B1", "policy"), ("B1", "fund"), ("B2", "policy"), ("B5", "policy")])
+def test_source_reports_make_prices_once_and_shuffle_both_sides_once(spark, star_root, report_id, grain):
+    """Both paths meet the prices in one join, and account and month serve sums, match and account level."""
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        plan = plan_of(source_variance(star_config(grain=grain), star_tables(spark, star_root), report_id, ordered=False))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    exchanges = re.findall(r"(?m)^[^A-Za-z]*Exchange hashpartitioning\((\w+)#\d+L?, (\w+)", plan)
+    assert exchanges.count(("account", "report_month")) == 1
+    assert not [e for e in exchanges if e[0] in ("account", "policy_number") and e[1] != "report_month"]
+    # Once for the interval join, and once for the distinct rows behind it and behind the span of days.
+    assert len([e for e in exchanges if e[0] == "fund_code"]) == 2
+    assert exchanges.count(("l_partkey", "l_linestatus")) == 1
