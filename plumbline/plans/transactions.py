@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.compare import beyond
-from plumbline.operators.ordered import add_offsets, chunk_offsets, cut_groups, group_cuts, rank_dates, running_total
+from plumbline.operators.ordered import add_offsets, all_columns, chunk_offsets, cut_groups, group_cuts, rank_dates, running_total
 
 BALANCE_TOLERANCE = Decimal("0.0011")
 BALANCE_KEYS = ["account_id", "fund_code"]
@@ -176,14 +176,16 @@ def transfer_unmatched(trx: DataFrame, parts: int | None = None) -> DataFrame:
     cuts = group_cuts(trx, TRANSFER_KEYS, LEG_ORDER, parts)
     leaves = F.coalesce(_leaves(), F.lit(False))
     out, into = F.when(leaves, 1).otherwise(0), F.when(leaves, 0).otherwise(1)
-    offsets = chunk_offsets(trx, cuts, TRANSFER_KEYS, LEG_ORDER, out=out, into=into)
-    group = Window.partitionBy(*TRANSFER_KEYS, "_chunk")
-    side = Window.partitionBy(*TRANSFER_KEYS, "_chunk", "_out").orderBy(*LEG_ORDER)
-    numbered = (
-        cut_groups(trx, cuts, TRANSFER_KEYS, LEG_ORDER)
-        .withColumn("_out", leaves)
-        .withColumns({"_place": F.row_number().over(side), "_outs": F.sum(out).over(group), "_intos": F.sum(into).over(group)})
-    )
+    chunked = cut_groups(trx, cuts, TRANSFER_KEYS, LEG_ORDER, parts)
+    offsets = chunk_offsets(chunked, TRANSFER_KEYS, out=out, into=into)
+    # One order for all three, so a chunk is sorted once.
+    side = Window.partitionBy(*TRANSFER_KEYS, "_chunk").orderBy("_out", *LEG_ORDER)
+    whole = side.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = all_columns(
+        chunked.withColumn("_out", leaves).withColumns(
+            {"_row": F.row_number().over(side), "_outs": F.sum(out).over(whole), "_intos": F.sum(into).over(whole)}
+        )
+    ).withColumn("_place", F.col("_row") - F.when(F.col("_out"), F.col("_intos")).otherwise(0))
     placed = add_offsets(numbered, offsets, TRANSFER_KEYS)
     before = F.when(F.col("_out"), F.col("_before_out")).otherwise(F.col("_before_into"))
     other = F.when(F.col("_out"), F.coalesce("_all_into", "_intos")).otherwise(F.coalesce("_all_out", "_outs"))

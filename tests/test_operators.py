@@ -1,6 +1,7 @@
 """Joins, ranks and running totals: against plain forms, on skewed keys, and by plan."""
 
 import random
+import re
 from datetime import date, timedelta
 from decimal import Decimal
 
@@ -17,7 +18,7 @@ from plumbline.operators.joins import (
     match_rows,
     missing_from,
 )
-from plumbline.operators.ordered import group_cuts, running_total, sort_once
+from plumbline.operators.ordered import cut_groups, group_cuts, running_total, sort_once
 from plumbline.operators.skew import group_hash, hot_groups, hot_pairs
 
 START = date(2024, 1, 1)
@@ -29,6 +30,11 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
+def shared_plan(df):
+    """The plan, in which a shuffle that is used again stands as ``ReusedExchange``."""
+    return re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     points=st.lists(st.tuples(key, day), max_size=8),
@@ -146,6 +152,43 @@ def test_number_of_cuts_follows_the_rows(spark, step):
     assert tuple(total) == (20_000, 20_000 * 20_001 // 2)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5, 7, 8, 33])
+def test_chunk_is_the_number_of_cuts_passed(spark, parts):
+    """Any number of cuts up to ``parts``, repeated and null places, places equal to a cut, groups without cuts."""
+    rng = random.Random(parts)
+    places = [None, *range(0, 60, 2)]
+    listed = {k: sorted(rng.sample(places, min(n, len(places))), key=lambda n: -1 if n is None else n)
+              for k, n in (("a", parts), ("b", parts - 1), (None, 1)) if n}
+    cuts = spark.createDataFrame(
+        [(k, [(n, 0) for n in own]) for k, own in listed.items()], "k string, _cuts array<struct<n:int,m:int>>"
+    )
+    rows = [(k, n, m) for k in ("a", "b", None, "c") for n in (None, *range(-1, 61)) for m in (None, 0, 1)]
+    df = spark.createDataFrame(rows * 2, "k string, n int, m int")
+
+    def place(n, m):
+        return tuple(-9 if x is None else x for x in (n, m))
+
+    expected = [
+        (k, n, m, sum(place(c, 0) <= place(n, m) for c in listed[k]) if k in listed else None) for k, n, m in rows * 2
+    ]
+    got = rows_of(cut_groups(df, cuts, ["k"], ["n", "m"], parts).select("k", "n", "m", "_chunk"))
+    assert got == sorted(expected, key=str)
+
+
+def test_running_total_makes_its_rows_twice(spark):
+    """Once for the sample and once for one shuffle that sums and totals share, whatever columns are kept of them; no cut is
+    looked up by an interpreted function."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id", F.lit(1).alias("v"), F.lit("x").alias("more"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = shared_plan(running_total(df, ["k"], ["id"], F.col("v"), "s", 30).select("k", "s"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Range (") == 2
+    assert plan.count("REPARTITION_BY_COL") == plan.count("ReusedExchange") + 1 == 2
+    assert "filter(_cuts" not in plan
+
+
 def test_a_group_with_a_third_of_all_rows_is_spread_over_tasks(spark, eager_skew):
     """Rows that each task of the last shuffle gets, with every key in the same place of one order column."""
     n = 30_000
