@@ -116,6 +116,29 @@ def test_hot_group_of_legs_gives_the_same_surplus(spark):
     assert len(group_cuts(hot, t.TRANSFER_KEYS, t.LEG_ORDER, 60).first()["_cuts"]) > 10
 
 
+def test_unmatched_legs_are_made_twice_and_sorted_once(spark, trx):
+    """Once for the sample and once for one shuffle, which the counts of ranges read, too; one order gives all numbers."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = t.transfer_unmatched(trx(dict(order_id=1), dict(order_id=2, unit_factor=-1), dict(order_id=3)))
+        plan = found.select("order_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [r["order_id"] for r in found.collect()] == [3]
+    assert plan.count("Scan ExistingRDD") == 2 and plan.count("ReusedExchange") == 1
+    assert plan.count("Window [row_number()") == 1 and plan.count("Window [") == 3
+
+
+def test_legs_without_a_factor_come_in(trx):
+    """Each side in order, also with legs of no factor; a group cut into ranges or not."""
+    factors = [-1, None, 1, -1, -1, None, -1, -1, 1, -1] * 30
+    rows = trx(*(dict(order_id=n, unit_factor=f) for n, f in enumerate(factors)))
+    out = [n for n, f in enumerate(factors) if f == -1]
+    expected = out[len(factors) - len(out) :]
+    for parts in (1, 7, 14):
+        assert sorted(r["order_id"] for r in t.transfer_unmatched(rows, parts).collect()) == expected
+
+
 def test_gross_exceptions(trx):
     rows = trx(dict(order_id=1), dict(order_id=2, gross=Decimal("2.02")), dict(order_id=3, gross=Decimal("2.01")))
     (row,) = t.gross_exceptions(rows).collect()
