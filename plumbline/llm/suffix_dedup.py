@@ -17,8 +17,9 @@ further left) is removed; strings never cross documents.
   winner; the longer one wins without looking at the strings, and only equal lengths are compared, from there on.
 * Repeats. Equal records that meet are repeats but for the earliest. Records of the same gram that differ are held
   against each other window by window, as far as the prefixes shared with their neighbours reach.
-* A gram that occurs in very many chunks would send all its contexts to one range. Its records are dealt out window by
-  window instead, by the hash of the whole window, so a hot phrase spreads out.
+* A gram that occurs very many times would send all its contexts to one range. Its records are dealt out window by
+  window instead, by the hash of the whole window, so a hot phrase spreads out. Occurrences are counted for this, not
+  chunks: in a large table common phrases are in all chunks, and window by window each takes 35 times the work.
 
 Texts are shuffled once, into a table bucketed by chunk, which the later steps join without moving it again.
 
@@ -50,8 +51,9 @@ MOST_CHUNK_BYTES, CHUNKS = 8 << 20, 2_000
 CHUNK_BYTES, SLICE, RANGE_BYTES, BUCKET_BYTES = 1 << 20, 50_000, 16 << 20, 64 << 20
 #: Window starts that are hashed at once.
 STEP = 1 << 19
-#: A gram in more chunks than this is dealt out by windows.
-HOT_CHUNKS = 512
+#: A gram with more records than this is dealt out by windows: a record then stands for one window instead of 35 or so, and
+#: a range that takes the records of a gram as they are holds about a kilobyte for each.
+HOT_RECORDS = 1 << 16
 #: Record: hash, suffix, its length, reversed context before it, its length.
 _HASH, _RIGHT, _LEFT = 8, LENGTH, LENGTH - GRAM
 WIDTH = _HASH + _RIGHT + 1 + _LEFT + 1
@@ -214,35 +216,48 @@ def _ranges(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-_HASHES = pa.schema([("range", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary())])
+_HASHES = pa.schema([("range", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _BITS = pa.schema([("chunk", pa.int64()), ("range", pa.int64()), ("seen", pa.binary())])
 
 
 def gram_hashes(chunks: DataFrame, ranges: int) -> DataFrame:
-    """The distinct gram hashes of each chunk, sorted, in one row for each range."""
+    """The distinct gram hashes of each chunk, sorted, and how often each occurs there, in one row for each range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 (row,) = batch.slice(i, 1).to_pylist()
-                own = np.unique(anchors(Chunk.of(row)).hash)
+                own, count = np.unique(anchors(Chunk.of(row)).hash, return_counts=True)
+                count = np.minimum(count, np.iinfo(np.uint16).max).astype(np.uint16)
                 cut = np.searchsorted(_ranges(own, ranges), np.arange(ranges + 1))
                 rows = [
-                    {"range": r, "chunk": row["chunk"], "hashes": own[cut[r] : cut[r + 1]].tobytes()}
+                    {
+                        "range": r,
+                        "chunk": row["chunk"],
+                        "hashes": own[cut[r] : cut[r + 1]].tobytes(),
+                        "counts": count[cut[r] : cut[r + 1]].tobytes(),
+                    }
                     for r in np.flatnonzero(np.diff(cut)).tolist()
                 ]
                 yield pa.RecordBatch.from_pylist(rows, schema=_HASHES)
 
-    return chunks.mapInArrow(run, "range long, chunk long, hashes binary")
+    return chunks.mapInArrow(run, "range long, chunk long, hashes binary, counts binary")
+
 
+def shared_grams(hashes: DataFrame, hot_records: int, hot_chunks: int | None = None) -> DataFrame:
+    """For each row of ``gram_hashes`` a byte for each hash: in this chunk only (0), in others (1), very often (2).
 
-def shared_grams(hashes: DataFrame, hot_chunks: int) -> DataFrame:
-    """For each row of ``gram_hashes`` a byte for each hash: in this chunk only (0), in others (1), in very many (2)."""
+    The last are in others, too, and have more records than ``hot_records`` or are in more chunks than ``hot_chunks``.
+    """
 
     def meet(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         _, where, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        level = (count > 1).astype(np.uint8) + (count > hot_chunks)
+        records = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("counts").to_pylist()])
+        hot = (np.bincount(where, weights=records) > hot_records) & (count > 1)
+        if hot_chunks is not None:
+            hot |= count > hot_chunks
+        level = (count > 1).astype(np.uint8) + hot
         seen = np.split(level[where], np.cumsum([len(p) for p in parts])[:-1])
         return pa.table(
             [table.column("chunk"), table.column("range"), pa.array([s.tobytes() for s in seen], pa.binary())],
@@ -598,8 +613,11 @@ def _cut_out(chunk: Chunk, gone: pa.Table, keep: bool) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=_RESULT)
 
 
-def remove_repeats(docs: DataFrame, keep: bool = True, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep``, the kept bytes of every document."""
+def remove_repeats(docs: DataFrame, keep: bool = True, hot_chunks: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep``, the kept bytes of every document.
+
+    With ``hot_chunks`` a gram in more chunks than that is dealt out by windows, however few its records are.
+    """
     spark = docs.sparkSession
     size = columns(docs, text="string").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Not fewer than other shuffles have, or Spark would deal the table out again.
@@ -607,7 +625,7 @@ def remove_repeats(docs: DataFrame, keep: bool = True, hot_chunks: int = HOT_CHU
     ranges = size // RANGE_BYTES + 1
     chunk_bytes = min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, size // CHUNKS))
     chunks = bucketed(gather(docs, chunk_bytes), buckets)
-    seen = shared_grams(gram_hashes(chunks, ranges), hot_chunks)
+    seen = shared_grams(gram_hashes(chunks, ranges), HOT_RECORDS, hot_chunks)
     gone = merged_repeats(sorted_runs(chunks, seen, ranges))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

@@ -125,3 +125,24 @@ def test_loser_tree_never_compares_known_prefixes():
         assert out == sorted(x for keys in lists for x in keys)
         for a, b, k in zip(out, out[1:], lengths[1:], strict=False):
             assert k == next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), s.WIDTH)
+
+
+@pytest.mark.parametrize("records, level", [(5_000, 1), (1_000, 2)])
+def test_grams_are_hot_by_their_records(spark, records, level):
+    """A phrase in 600 chunks, twice in each, is dealt out by windows only if its records are too many for one range."""
+    import numpy as np
+
+    def packed(values, kind):
+        return np.array(values, kind).tobytes()
+
+    rows = [(0, chunk, packed([7, 1000 + chunk], np.uint64), packed([2, 1], np.uint16)) for chunk in range(600)]
+    hashes = spark.createDataFrame(rows, "range long, chunk long, hashes binary, counts binary")
+    assert {bytes(r["seen"]) for r in s.shared_grams(hashes, records).collect()} == {bytes([level, 0])}
+
+
+def test_hot_records_leave_the_result(documents, monkeypatch):
+    monkeypatch.setattr(s, "SLICE", 500)
+    monkeypatch.setattr(s, "HOT_RECORDS", 5)
+    rows = corpus(4, 60)
+    got = s.digest(s.remove_repeats(documents(rows).repartition(5), keep=False)).collect()
+    assert sorted_rows(got) == sorted_rows(plain(rows))
